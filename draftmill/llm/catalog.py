@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftmill.llm import exact_dedup, license_scan, line_dedup, sharding
+from draftmill.llm import bpe, exact_dedup, license_scan, line_dedup, packing, sharding
 from draftmill.llm.common import table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +24,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.extendible_shards(docs, F.col("doc_id"), F.col("n_bytes"), SHARD_BYTES)
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_texts(table(spark, sf_dir, "documents"), tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -45,6 +50,14 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "n_lines", "n_dropped", "clean_text")
 
 
+def byte_bpe() -> Callable[[], packing.Encoder]:
+    return packing.byte_bpe_encoder(tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.path("byte_bpe_50k.json"), tokenizers.PATTERN)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), byte_bpe())
+
+
 def _op1_sql() -> str:
     return f"""
 WITH d AS (
@@ -118,7 +131,14 @@ SELECT page_id, host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - l
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_sharding": op1_sharding, "op6_license_scan": op6_license_scan, "op7_exact_dedup": op7_exact_dedup, "op8_line_dedup": op8_line_dedup}
+    return {
+        "op1_sharding": op1_sharding,
+        "op5_bpe": op5_bpe,
+        "op6_license_scan": op6_license_scan,
+        "op7_exact_dedup": op7_exact_dedup,
+        "op8_line_dedup": op8_line_dedup,
+        "op9_packing": op9_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
