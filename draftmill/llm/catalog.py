@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftmill.llm import bpe, exact_dedup, license_scan, line_dedup, packing, sharding
+from draftmill.llm import bpe, exact_dedup, license_scan, line_dedup, packing, quality, sharding
 from draftmill.llm.common import table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score")
+    return scored.withColumn("predicted", F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0))
+
+
 def _op1_sql() -> str:
     return f"""
 WITH d AS (
@@ -138,6 +145,7 @@ def queries() -> dict[str, Query]:
         "op7_exact_dedup": op7_exact_dedup,
         "op8_line_dedup": op8_line_dedup,
         "op9_packing": op9_packing,
+        "op10_quality": op10_quality,
     }
 
 
