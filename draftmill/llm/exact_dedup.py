@@ -32,8 +32,11 @@ from draftmill.llm.common import SPACE_CLASS, free_name, save, text_of, work_dir
 
 #: Digests of hits are broadcast up to this many (16 MB); beyond it the join shuffles.
 BROADCAST_HITS = 500_000
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Settings of the stream: state on disk; no preallocated files, of which each state partition would hold several megabytes.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: str = "text") -> Column:
@@ -79,7 +82,7 @@ def _best() -> Column:
 def _stream(spark: SparkSession, landing: str, bytes_per_batch: int, files_per_batch: int | None) -> DataFrame:
     out, at = work_dir(spark, "dedup-state"), work_dir(spark, "dedup-checkpoint")
     source = spark.read.parquet(landing)
-    had = spark.conf.get(_PROVIDER, None)
+    had = {k: spark.conf.get(k, None) for k in _STATE}
     limit = {"maxFilesPerTrigger": files_per_batch} if files_per_batch else {"maxBytesPerTrigger": bytes_per_batch}
     grouped = (
         spark.readStream.schema(source.schema)
@@ -92,12 +95,14 @@ def _stream(spark: SparkSession, landing: str, bytes_per_batch: int, files_per_b
     def put(batch: DataFrame, number: int) -> None:  # a batch that runs again replaces its own folder
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/{number}")
 
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    for k, v in _STATE.items():
+        spark.conf.set(k, v)
     try:
         query = grouped.writeStream.outputMode("update").option("checkpointLocation", at).trigger(availableNow=True).foreachBatch(put).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(_PROVIDER, had) if had else spark.conf.unset(_PROVIDER)
+        for k, v in had.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = source.select("digest", F.struct(F.col("chars").alias("less"), F.lit(True).alias("no_id"), "id", "row").alias("best"), F.lit(0).cast("long").alias("group_size"), F.lit(0).cast("int").alias("batch")).schema
     batches = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out) if source.limit(1).count() else spark.createDataFrame([], schema)
     return batches.groupBy("digest").agg(F.max_by(F.struct("best", "group_size"), "batch").alias("s")).select("digest", "s.best", "s.group_size")
