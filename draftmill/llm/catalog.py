@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftmill.llm import bpe, exact_dedup, license_scan, line_dedup, packing, quality, sharding, simhash
+from draftmill.llm import bpe, exact_dedup, imatch, license_scan, line_dedup, packing, quality, sharding, simhash
 from draftmill.llm.common import table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.extendible_shards(docs, F.col("doc_id"), F.col("n_bytes"), SHARD_BYTES)
 
 
+def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -145,6 +149,7 @@ SELECT page_id, host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - l
 def queries() -> dict[str, Query]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_imatch": op2_imatch,
         "op4_simhash": op4_simhash,
         "op5_bpe": op5_bpe,
         "op6_license_scan": op6_license_scan,
