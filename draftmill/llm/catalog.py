@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers as tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftmill.llm import bpe, exact_dedup, imatch, license_scan, line_dedup, packing, quality, sharding, simhash
+from draftmill.llm import bpe, exact_dedup, imatch, license_scan, line_dedup, packing, pii, quality, sharding, simhash
 from draftmill.llm.common import table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,18 @@ def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found, cols = pii.find_spans(docs, pii.judge(spark))
+    base = F.col(cols["base"])
+    counts = [_count(base, kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col(cols["all"])).alias("spans"))
+
+
+def _count(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -150,6 +162,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_sharding": op1_sharding,
         "op2_imatch": op2_imatch,
+        "op3_pii": op3_pii,
         "op4_simhash": op4_simhash,
         "op5_bpe": op5_bpe,
         "op6_license_scan": op6_license_scan,
