@@ -26,6 +26,7 @@ through untouched; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -108,7 +109,7 @@ def valid(kind: str, m: Column) -> Column:
         # At most 255; leading zeros do not count.
         return F.forall(F.split(m, r"\."), lambda p: F.regexp_replace(p, "^0+", "").rlike(r"^(?:|[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])\z"))
     if kind == "card":
-        return F.when(F.length(digits(m)).between(12, 19), luhn(digits(m))).otherwise(False)
+        return bound(digits(m), lambda d: F.when(F.length(d).between(12, 19), luhn(d)).otherwise(False))
     if kind == "phone":
         return F.length(digits(m)).between(9, 15)
     return F.lit(True)
@@ -138,8 +139,17 @@ def proposals(text: Column, generator: str) -> Column:
 FEATURES = ["kind", "length", "digits", "groups", "longest_group", "marks", "dots", "slashes", "parens", "letters", "distinct_digits", "luhn", "most_part", "first_digit", *(f"cue_{k}" for k in CUES), "glued_before", "glued_after", "spelled"]
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def features(s: Column, kind: str) -> Column:
-    m, d = s["m"], digits(s["m"])
+    return bound(digits(s["m"]), lambda d: _features(s, d, kind))
+
+
+def _features(s: Column, d: Column, kind: str) -> Column:
+    m = s["m"]
     groups = F.filter(F.split(m, "[^0-9]+"), lambda g: g != "")
 
     def flag(c: Column) -> Column:
@@ -197,7 +207,7 @@ class Judge:
 
     def of_span(self, s: Column, kind: str) -> Column:
         """The probability that a proposal is of the kind; its features are bound once, not in every node."""
-        return F.get(F.transform(F.array(features(s, kind)), self.probability), F.lit(0))
+        return bound(features(s, kind), self.probability)
 
 
 def parse_tree(text: str) -> tuple | float:
@@ -336,8 +346,7 @@ def find_spans(df: DataFrame, model: Judge, text: str = "text") -> tuple[DataFra
     def judged(generator: str) -> Column:
         def best(s: Column) -> Column:
             options = [F.struct((model.of_span(s, k) - model.thresholds[k]).alias("over"), (-F.lit(KINDS.index(k))).alias("less"), F.lit(k).alias("kind")) for k in PROPOSES[generator]]
-            top = F.array_max(F.array(*options))
-            return F.struct(s["start"].alias("start"), F.abs(top["less"]).alias("rank"), top["kind"].alias("kind"), s["end"].alias("end"), top["over"].alias("over"))
+            return bound(F.array_max(F.array(*options)), lambda top: F.struct(s["start"].alias("start"), F.abs(top["less"]).alias("rank"), top["kind"].alias("kind"), s["end"].alias("end"), top["over"].alias("over")))
 
         apart = F.filter(proposals(t, generator), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
         taken = F.filter(F.transform(apart, best), lambda s: s["over"] >= 0)
