@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from draftmill.llm import bpe, exact_dedup, imatch, license_scan, line_dedup, packing, pii, quality, sharding, simhash
-from draftmill.llm.common import table, text_of
+from draftmill.llm.common import table, text_of, with_row
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,7 +54,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, row = exact_dedup.with_row(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs, row = with_row(table(spark, sf_dir, "documents").select("doc_id", "text"))
     groups = exact_dedup.exact_groups(docs, row)
     return groups.select(
         F.col("id").alias("doc_id"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +58,16 @@ def free_name(df: DataFrame, *names: str) -> list[str]:
         taken.add(new.lower())
         out.append(new)
     return out
+
+
+def with_row(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a unique row locator, the file's path and the row's number there, which any later scan gives again.
+
+    A frame that isn't a scan of Parquet files is stored first.
+    """
+    (row,) = free_name(docs, "row")
+    locator = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias(row)
+    try:
+        return docs.select("*", locator), row
+    except AnalysisException:  # no such metadata
+        return save(docs, "rows").select("*", locator), row

@@ -24,11 +24,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftmill.llm.common import SPACE_CLASS, free_name, save, text_of, work_dir
+from draftmill.llm.common import SPACE_CLASS, save, text_of, with_row, work_dir
 
 #: Digests of hits are broadcast up to this many (16 MB); beyond it the join shuffles.
 BROADCAST_HITS = 500_000
@@ -108,19 +107,6 @@ def _stream(spark: SparkSession, landing: str, bytes_per_batch: int, files_per_b
     return batches.groupBy("digest").agg(F.max_by(F.struct("best", "group_size"), "batch").alias("s")).select("digest", "s.best", "s.group_size")
 
 
-def with_row(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a unique row locator, the file's path and the row's number there, which any later scan gives again.
-
-    A frame that isn't a scan of Parquet files is stored first.
-    """
-    (row,) = free_name(docs, "row")
-    locator = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias(row)
-    try:
-        return docs.select("*", locator), row
-    except AnalysisException:  # no such metadata
-        return save(docs, "dedup-source").select("*", locator), row
-
-
 def dedup_exact(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Only the rows that stay, with all columns of docs."""
     docs, row = with_row(docs)

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from draftmill.llm.common import save, text_of
+from draftmill.llm.common import save, text_of, with_row
 
 BITS = 64
 RADIUS = 3
@@ -318,12 +318,22 @@ def components(edges: DataFrame) -> DataFrame:
         before = (now["n"], now["s"])
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: its id, ``fp`` and ``component_id``, the least id reachable by links."""
-    rows = save(fingerprints(docs.select(id_column, text), [id_column], text), "simhash-fp")
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """One row a document: its id, the columns to ``keep``, ``fp``, ``component`` (a fingerprint of it) and ``component_id``, the least id reachable by links."""
+    keep = [id_column, *(keep or [])]
+    rows = save(fingerprints(docs.select(*keep, text), keep, text), "simhash-fp")
     least = save(rows.groupBy("fp").agg(F.min(id_column).alias("m")), "simhash-distinct")
     roots = components(links(least.select("fp")))
-    named = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    comp = named.groupBy("root").agg(F.min("m").alias("component_id"))
-    named = named.join(comp, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(id_column, "fp", "component_id")
+    named = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("root", "fp"))
+    comp = named.groupBy("component").agg(F.min("m").alias("component_id"))
+    named = named.join(comp, "component").select("fp", "component", "component_id")
+    return rows.join(named, "fp").select(*keep, "fp", "component", "component_id")
+
+
+def dedup_near(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component stays, with all columns of docs: that of the least id; of rows that share it, the first by fingerprint and locator."""
+    docs, row = with_row(docs)
+    found = near_duplicates(docs, id_column, text, keep=[row])
+    best = found.groupBy("component").agg(F.min(F.struct(F.col(id_column).isNull().alias("z"), F.col(id_column).alias("id"), F.col("fp").alias("fp"), F.col(row).alias("row"))).alias("best"))
+    stays = best.select(F.col("best.row").alias(row))
+    return docs.join(stays, row, "left_semi").drop(row)
