@@ -37,8 +37,8 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-#: Texts of about this many characters are encoded together.
-CHARS_AT_ONCE = 8_000_000
+#: Texts encoded together: at most so many, and about so many characters.
+ROWS_AT_ONCE, CHARS_AT_ONCE = 2500, 8_000_000
 #: Other characters than these may be classed or composed otherwise by another Unicode version; texts that hold them are split by the library itself.
 SETTLED = re.compile("[^\\x00-\u052f\u05d0-\u05ea\u0620-\u064a\u0904-\u0939\u0e01-\u0e3a\u2010-\u2064\u20a0-\u20bf\u2100-\u214f\u2190-\u23ff\u2500-\u27bf\u3000-\u3096\u30a0-\u30fe\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e\U0001f300-\U0001f64f]")
 #: Encodings of words kept from batch to batch in a task; beyond it the store starts anew.
@@ -261,7 +261,7 @@ def encode_texts(df: DataFrame, path: str, id_column: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = WordBpe(path)
-        for batch in batches:
+        for batch in (w.slice(k, ROWS_AT_ONCE) for w in batches for k in range(0, w.num_rows, ROWS_AT_ONCE)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):
                 rows = bpe.encode(texts[a:b])

@@ -35,8 +35,8 @@ PASSAGE = 512
 TRAIN_DOCS, TRAIN_BYTES = 4000, 1 << 17
 THRESHOLD = 0.3
 HIDDEN, ATTENTION, STEPS, BATCH, SEED = 24, 12, 1500, 64, 7
-#: Texts encoded together, in bytes.
-BYTES_AT_ONCE = 4 << 20
+#: Texts encoded together: at most so many, and about so many bytes.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 512, 1 << 20
 
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[]_{|}~"
 _CLASS = np.zeros(256, np.int64)  # 0: other
@@ -207,16 +207,17 @@ def score(df: DataFrame, model: Model | None, text: str = "text", name: str = "s
     at = schema.fieldNames().index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(at).to_pylist()]
-            scores, start, held = [], 0, 0
-            for k, t in enumerate(texts):
-                held += len(t)
-                if held >= BYTES_AT_ONCE or k == len(texts) - 1:
-                    x, counts = encode(texts[start : k + 1])
-                    scores.append(model.score(x, counts) if model else np.full(len(counts), 0.5))
-                    start, held = k + 1, 0
-            values = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*batch.schema.names, name])
+        for whole in batches:
+            for at_row in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at_row, ROWS_AT_ONCE)
+                texts = [(t or "").encode() for t in batch.column(at).to_pylist()]
+                scores, start, held = [], 0, 0
+                for k, t in enumerate(texts):
+                    held += len(t)
+                    if held >= BYTES_AT_ONCE or k == len(texts) - 1:
+                        x, counts = encode(texts[start : k + 1])
+                        scores.append(model.score(x, counts) if model else np.full(len(counts), 0.5))
+                        start, held = k + 1, 0
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores), pa.float64())], [*batch.schema.names, name])
 
     return out.mapInArrow(run, StructType([*schema.fields, StructField(name, DoubleType())]))
