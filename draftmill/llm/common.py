@@ -66,8 +66,12 @@ def with_row(docs: DataFrame) -> tuple[DataFrame, str]:
     A frame that isn't a scan of Parquet files is stored first.
     """
     (row,) = free_name(docs, "row")
-    locator = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias(row)
+
+    def located(df: DataFrame) -> DataFrame:
+        meta = df.metadataColumn("_metadata")
+        return df.select("*", F.struct(meta["file_path"].alias("file"), meta["row_index"].alias("at")).alias(row))
+
     try:
-        return docs.select("*", locator), row
+        return located(docs), row
     except AnalysisException:  # no such metadata
-        return save(docs, "rows").select("*", locator), row
+        return located(save(docs, "rows")), row

@@ -294,7 +294,7 @@ def judge(spark: SparkSession, rows: int = TRAIN_ROWS) -> Judge:
     if rows not in _TRAINED:
         # A bounded table of examples: rows by len(PROPOSES) at most a few.
         table = labelled(examples(spark, rows)).select("*", array_to_vector("f").alias("features"), (F.col("id") % 4 == 0).alias("held")).repartition(2, "id").sortWithinPartitions("id", "kind", "f").cache()
-        model = GBTClassifier(maxIter=16, maxDepth=4, stepSize=0.3, seed=SEED).fit(table.where(~F.col("held")))
+        model = GBTClassifier(maxIter=10, maxDepth=3, stepSize=0.4, seed=SEED).fit(table.where(~F.col("held")))
         trees = tuple((float(w), parse_tree(t.toDebugString)) for w, t in zip(model.treeWeights, model.trees, strict=True))
         plain = Judge(trees, 1.0, 0.0, {})
         held = table.where("held").select("kind", "label", plain.probability(F.col("f")).alias("p")).collect()  # at most some rows an example

@@ -12,8 +12,9 @@ Edge cases: a null key hashes as the empty string; a null size counts as 0; an
 empty table gives an empty result; a row larger than the limit gets a shard of
 its own.  Rows that share a key share all hash bits, so a key that is itself
 over the limit cannot be split by them: its rows go to overflow pages
-(``prefix/pK.J``), each within the limit.  All input columns are kept; the
-added ones are named by the caller.
+(``prefix/pK.J``), each within the limit.  All input columns are kept, but
+those by the names of the added ones, which the caller can choose, are
+replaced.
 """
 
 from __future__ import annotations
@@ -50,8 +51,9 @@ def extendible_shards(
         raise ValueError("rounds must be 1 to 8")
     h, n, parent = free_name(df, "hash", "size", "parent")
     added = (shard, depth, shard_bytes, shard_rows)
+    columns = [c for c in df.columns if c.lower() not in {a.lower() for a in added}]
     rows = df.select(
-        "*",
+        *(df[c] for c in columns),
         F.md5(F.coalesce(key.cast("string"), F.lit(""))).alias(h),
         F.coalesce(size.cast("long"), F.lit(0).cast("long")).alias(n),
         F.lit("").alias(parent),
@@ -70,7 +72,7 @@ def extendible_shards(
             break
     else:
         done.append(_overflow(rows, parent, n, limit_bytes, added))
-    return reduce(DataFrame.unionByName, (d.select(*df.columns, *added) for d in done))
+    return reduce(DataFrame.unionByName, (d.select(*columns, *added) for d in done))
 
 
 def _leaves(rows: DataFrame, parent: str, chunk: Column, n: str, limit: int, added: tuple[str, ...]) -> DataFrame:
