@@ -60,7 +60,7 @@ def normalise(df: DataFrame) -> DataFrame:
         scalars.clean_routing(r["routing_number"]).alias("routing_number"),
         scalars.clean_account(r["account_number"]).alias("account_number"),
         r["memo"].alias("memo"),
-        F.when(r["payor_name"].isNotNull(), r["payor_name"].withField("is_joint", F.coalesce(r["payor_name.is_joint"], F.lit(False)))).alias("payor"),
+        F.when(r["payor_name"].isNotNull(), r["payor_name"].withField("is_joint", F.coalesce(r["payor_name"]["is_joint"], F.lit(False)))).alias("payor"),
         r["payor_address"].alias("payor_address"),
         r["amounts_match"].alias("amounts_match"),
         r["check_age_days"].alias("age_days"),

@@ -76,6 +76,12 @@ def receipt(doc: Column, number: Column, date: Column, amount: Column, customer:
     )
 
 
+def customer_ref(customer_id: Column, payee: Column, payor: Column) -> Column:
+    """By id, or else by the payee's or payor's name."""
+    name = F.coalesce(F.nullif(payee, F.lit("")), F.nullif(payor, F.lit("")), F.lit("Unknown Customer"))
+    return F.struct(customer_id.alias("value"), F.when(customer_id.isNull(), name).alias("name"))
+
+
 def details_text(number: Column, amount: Column, payee: Column, payor: Column, date: Column, confidence: Column) -> Column:
     na = F.lit("N/A")
     return F.concat_ws(

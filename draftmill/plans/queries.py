@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from draftmill.functions import ids, scalars, validation
-from draftmill.operators import dedup, detect, payload, routing, scoring, store
-from draftmill.plans import fixtures
+from draftmill.operators import dedup, detect, extraction, payload, routing, scoring, store
 from draftmill.plans.fixtures import AS_OF, CHECKS_RAW_SQL, COMPONENTS_SQL, checks_raw, components, table
 from draftmill.plans.settings import Settings
+from draftmill.sources import pixels
+from draftmill.sources.workdir import shared
+from draftmill.streaming import intake
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -584,6 +586,127 @@ def explode_lists(spark: SparkSession, d: str) -> DataFrame:
     return parts.select("s_suppkey", F.trim("p").alias("path")).where("path <> ''")
 
 
+# ---------------------------------------------------------------- extraction
+
+
+def _responses(spark: SparkSession, d: str) -> DataFrame:
+    """Extraction responses: most are valid, some have a bare key, some are no JSON."""
+    raw = checks_raw(spark, d)
+    record = F.to_json(
+        F.struct(
+            "check_number",
+            F.col("check_date").alias("date"),
+            F.concat(F.lit("$"), F.format_number("amount", 2)).alias("amount_numeric"),
+            "routing_number",
+            "account_number",
+            F.when(F.col("rid") % 3 == 0, F.struct(F.col("customer_name").alias("full_name"))).alias("payor_name"),
+            "amounts_match",
+            F.when(F.col("rid") % 4 != 0, F.col("check_condition")).alias("check_condition"),
+            F.when(F.col("rid") % 7 != 0, F.col("confidence")).alias("confidence"),
+            F.concat(F.lit("text "), F.col("rid").cast("string")).alias("raw_text"),
+        )
+    )
+    bare = F.regexp_replace(record, '"check_number":', "check_number: ")
+    return raw.select("rid", F.when(F.col("rid") % 10 == 6, "no json").when(F.col("rid") % 10 == 4, bare).otherwise(record).alias("response"))
+
+
+_PARSED = "CASE WHEN rid % 10 = 6 THEN 'failed' WHEN rid % 10 = 4 AND check_number IS NOT NULL THEN 'repaired' ELSE 'as_is' END"
+
+
+@query(
+    "c01_c09_extraction",
+    RAW
+    + f""", e AS (SELECT *, {_PARSED} AS parsed, rid % 10 <> 6 AS ok FROM checks_raw)
+SELECT rid, parsed, CASE WHEN ok THEN check_number END AS check_number, CASE WHEN ok THEN check_date END AS check_date, CASE WHEN ok THEN CAST(amount AS DOUBLE) END AS amount,
+CASE WHEN ok AND length(routing_number) = 9 THEN routing_number END AS routing_number, CASE WHEN ok THEN account_number END AS account_number, CASE WHEN ok THEN amounts_match END AS amounts_match,
+CASE WHEN NOT ok THEN 'poor' WHEN rid % 4 = 0 THEN 'fair' ELSE check_condition END AS check_condition, CASE WHEN NOT ok THEN 0 WHEN rid % 7 = 0 THEN 50 ELSE confidence END AS confidence, NOT ok AS requires_manual_review,
+CASE WHEN ok THEN 'text ' || rid ELSE 'no json' END AS raw_text, CASE WHEN ok AND rid % 3 = 0 THEN customer_name ELSE 'Unknown' END AS customer_name, CASE WHEN ok AND rid % 3 = 0 THEN false END AS is_joint, CASE WHEN ok THEN 50 ELSE 0 END AS fc_payee FROM e""",
+)
+def extracted(spark: SparkSession, d: str) -> DataFrame:
+    rows = extraction.flat_fields(extraction.normalise(extraction.parse(_responses(spark, d))))
+    names = ("rid", "parsed", "check_number", "check_date", "amount", "routing_number", "account_number", "amounts_match", "check_condition", "confidence", "requires_manual_review", "raw_text", "customer_name")
+    return rows.select(*names, F.col("payor.is_joint").alias("is_joint"), F.col("field_confidences.payee").alias("fc_payee"))
+
+
+@query("c02_repair")
+def repaired(spark: SparkSession, d: str) -> DataFrame:
+    return _responses(spark, d).select("rid", extraction.repair(F.col("response")).alias("text"))
+
+
+@query("a11_raw_text", RAW + f"SELECT rid, 'text ' || rid AS raw_text FROM checks_raw WHERE {_PARSED} <> 'failed'")
+def raw_text(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.parse(_responses(spark, d)).where("parsed <> 'failed'").select("rid", F.col("record.raw_text").alias("raw_text"))
+
+
+# ------------------------------------------------------- more of the store
+
+
+@query("b04_append_event", "SELECT event_id AS id, CAST(user_id AS VARCHAR) AS check_id, event_type, ts AS timestamp FROM events")
+def append_event(spark: SparkSession, d: str) -> DataFrame:
+    out = shared(spark, "logs")
+    rows = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("check_id"), "event_type", F.col("ts").alias("timestamp"))
+    for part in (0, 1):  # two appends
+        rows.where(F.col("id") % 2 == part).write.mode("append").parquet(out)
+    return spark.read.schema(rows.schema).parquet(out)
+
+
+@query("f04_mapping_lookup", _IDS + "SELECT check_id, rid FROM ids WHERE check_id = (SELECT check_id FROM ids WHERE rid = 2000)")
+def mapping_lookup(spark: SparkSession, d: str) -> DataFrame:
+    rows = dedup.with_hash_ids(checks_raw(spark, d)).select("check_id", "rid")
+    return rows.join(rows.where("rid = 2000").select("check_id"), "check_id", "left_semi")
+
+
+@query("f07_existence", "SELECT DISTINCT event_type AS service, event_type IN (SELECT event_type FROM events WHERE event_id < 5) AS known FROM events")
+def existence(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    old = e.where("event_id < 5").select("event_type").distinct().withColumn("hit", F.lit(True))
+    return e.select("event_type").distinct().join(old, "event_type", "left").select(F.col("event_type").alias("service"), F.coalesce("hit", F.lit(False)).alias("known"))
+
+
+@query("e08_manual_flag", JUDGED + "SELECT rid, NOT (overall >= 75 AND NOT coalesce(fc_routing_number < 70, false) AND NOT coalesce(fc_amount < 70, false) AND NOT coalesce(fc_check_number < 70, false)) AS manual FROM judged")
+def manual_flag(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.recommendation(scoring.with_scores(checks_raw(spark, d))).select("rid", (F.col("action") == "manual_review").alias("manual"))
+
+
+@query(
+    "c16_mapped_receipt",
+    JUDGED + """SELECT rid, coalesce(check_number, 'CHK-' || rid) AS doc_number, CASE WHEN rid % 3 = 0 THEN '{"value":"' || rid || '"}' ELSE '{"name":"' || customer_name || '"}' END AS customer_ref, coalesce(amount, 0) AS total FROM judged WHERE route = 'processed'""",
+)
+def mapped_receipt(spark: SparkSession, d: str) -> DataFrame:
+    customer = F.when(F.col("rid") % 3 == 0, F.col("rid").cast("string"))
+    ref = payload.customer_ref(customer, F.lit(None).cast("string"), F.col("customer_name"))
+    return judged(spark, d).where("route = 'processed'").select("rid", F.coalesce("check_number", F.concat(F.lit("CHK-"), F.col("rid").cast("string"))).alias("doc_number"), F.to_json(ref).alias("customer_ref"), F.coalesce("amount", F.lit(0).cast("decimal(12,2)")).alias("total"))
+
+
+@query("b26_error_facts", "SELECT event_id, 'HTTP ' || (CASE WHEN event_id % 2 = 0 THEN 500 ELSE 404 END) AS message, CAST(a AS INT) AS attempt FROM events, range(0, 3) AS r(a) WHERE a = 0 OR event_id % 2 = 0")
+def error_facts(spark: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.col("event_id") % 2 == 0, 500).otherwise(404)
+    tries = table(spark, d, "events").select("event_id", status.alias("s"), F.explode(F.sequence(F.lit(0), F.lit(S.api_attempts - 1))).alias("attempt"))
+    seen = (F.col("attempt") == 0) | validation.should_retry(F.col("s"), F.col("attempt") - 1, S.api_attempts)
+    return tries.where(seen).select("event_id", payload.api_error(F.lit("{}"), F.col("s"))["message"].alias("message"), F.col("attempt").cast("int").alias("attempt"))
+
+
+# ------------------------------------------------------------ streams, pixels
+
+
+@query("s01_s06_stream", JUDGED + "SELECT rid, route AS event_type FROM judged")
+def stream(spark: SparkSession, d: str) -> DataFrame:
+    """Two polls over a landing folder; the second sees what the first stored."""
+    rows, home = checks_raw(spark, d), shared(spark, "intake")
+    for early in (True, False):
+        (rows.where("rid < 5000") if early else rows.where("rid >= 5000")).write.mode("append").parquet(f"{home}/in")
+        intake.poll(intake.landing(spark, f"{home}/in", rows.schema), intake.intake(f"{home}/out", AS_OF), f"{home}/at", once=True).awaitTermination()
+    return spark.read.schema("rid long, event_type string").parquet(f"{home}/out/logs/*")
+
+
+@query("h01_h02_h16_pixels")
+def pixel_stages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages drawn from their components, found again from pixels; a page is one row and one kernel call."""
+    small = components(spark, d).where("page % 40 = 1").select("page", (F.col("x") / 8).cast("int").alias("x"), (F.col("y") / 8).cast("int").alias("y"), F.greatest(F.lit(1), (F.col("w") / 4).cast("int")).alias("w"), F.greatest(F.lit(1), (F.col("h") / 4).cast("int")).alias("h"))
+    pages = pixels.draw(small.groupBy("page").agg(F.collect_list(F.struct("x", "y", "w", "h")).alias("boxes")), 760, 330)
+    return pixels.page_components(pages).groupBy("page").agg(F.count("*").alias("n"), F.sum("area").alias("ink"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -136,6 +136,22 @@ def upscale(image: np.ndarray, height: int, width: int) -> np.ndarray:
     return np.repeat(np.repeat(image, k, 0), k, 1)
 
 
+def draw(pages: DataFrame, height: int, width: int) -> DataFrame:
+    """(page, height, width, gray): white pages with dark boxes, given as (page, boxes)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for page, boxes in zip(f["page"], f["boxes"], strict=True):
+                image = np.full((height, width), 250, np.uint8)
+                for b in boxes:
+                    image[b["y"] : b["y"] + b["h"], b["x"] : b["x"] + b["w"]] = 10
+                rows.append((page, height, width, image.tobytes()))
+            yield pd.DataFrame(rows, columns=["page", "height", "width", "gray"])
+
+    return pages.mapInPandas(run, "page long, height int, width int, gray binary")
+
+
 def page_components(pages: DataFrame) -> DataFrame:
     """(page, label, x, y, w, h, area, cx, cy) of pages given as (page, height, width, gray)."""
 

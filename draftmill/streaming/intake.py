@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructType
 
 from draftmill.operators import dedup, routing
 from draftmill.plans.settings import Settings
@@ -30,7 +30,7 @@ def landing(spark: SparkSession, path: str, schema: StructType, files_per_batch:
 def history(spark: SparkSession, store: str, schema: StructType, before: int) -> DataFrame:
     """Rows that earlier batches stored; a batch that runs again does not see its own."""
     try:
-        return spark.read.schema(StructType([*schema.fields]).add("batch", "int")).parquet(f"{store}/checks").where(F.col("batch") < before).drop("batch")
+        return spark.read.schema(StructType([*schema.fields]).add("batch", IntegerType())).parquet(f"{store}/checks").where(F.col("batch") < before).drop("batch")
     except AnalysisException:  # nothing stored yet
         return spark.createDataFrame([], schema)
 
