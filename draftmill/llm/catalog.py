@@ -101,6 +101,48 @@ WHERE n.shard_bytes <= {SHARD_BYTES} OR n.shard_rows = 1
 QUALIFY row_number() OVER (PARTITION BY d.doc_id ORDER BY n.depth) = 1"""
 
 
+def _op2_sql() -> str:
+    zeros = "CASE " + " ".join(f"WHEN b & {1 << k} <> 0 THEN {k}" for k in range(imatch.LEVELS)) + f" ELSE {imatch.LEVELS} END"
+    chains, levels = imatch.CHAINS, imatch.LEVELS
+    depth = " + ".join(f"depths[{c + 1}] * {16**c}" for c in range(chains))
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+nx AS (
+  SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id
+  FROM d WINDOW w AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+v AS (
+  SELECT doc_id, 1 AS of, text AS x FROM nx UNION ALL
+  SELECT doc_id, 2, left(text, n - n // 4) || left(next_text, n // 4) FROM nx),
+t AS (SELECT doc_id, of, unnest(list_distinct(list_filter(regexp_split_to_array(lower(x), '{imatch.TERM_BREAK}'), lambda w: w <> ''))) AS term FROM v),
+band AS (
+  SELECT term, md5(term) AS h FROM t WHERE of = 1 GROUP BY term
+  HAVING count(*) >= {imatch.LEAST_SHARE}e0 * (SELECT count(*) FROM d) AND count(*) <= {imatch.MOST_SHARE}e0 * (SELECT count(*) FROM d)),
+lex0 AS (SELECT term, h, list_transform(range({chains}), lambda c: CAST('0x' || substr(h, 10 + 3 * c, 3) AS BIGINT)) AS bits FROM band),
+lex1 AS (SELECT term, h, list_transform(bits, lambda b: {zeros}) AS depths FROM lex0),
+lex AS (SELECT term, depths, CAST('0x' || substr(h, 1, 9) AS BIGINT) * {16**chains} + {depth} AS packed FROM lex1),
+inb AS (SELECT doc_id, of, depths, packed FROM t JOIN lex USING (term)),
+whole AS (SELECT doc_id, of, substr(md5(string_agg(CAST(packed AS VARCHAR), ' ' ORDER BY packed)), 1, 8) AS s FROM inb GROUP BY 1, 2),
+spare AS (SELECT doc_id, of, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 8) AS s FROM t GROUP BY 1, 2),
+kept AS (
+  SELECT doc_id, of, c, l, CASE WHEN count(*) > {imatch.FEW} THEN '+' ELSE substr(md5(string_agg(CAST(packed AS VARCHAR), ' ' ORDER BY packed)), 1, 8) END AS s
+  FROM inb, range(1, {chains + 1}) AS rc(c), range(1, {levels + 1}) AS rl(l) WHERE depths[c] >= l GROUP BY 1, 2, 3, 4),
+slot AS (
+  SELECT v.doc_id, v.of, 0 AS k, coalesce(whole.s, spare.s, '') AS s FROM v LEFT JOIN whole USING (doc_id, of) LEFT JOIN spare USING (doc_id, of) UNION ALL
+  SELECT v.doc_id, v.of, (c - 1) * {levels} + l, coalesce(kept.s, '') FROM v CROSS JOIN range(1, {chains + 1}) AS rc(c) CROSS JOIN range(1, {levels + 1}) AS rl(l) LEFT JOIN kept USING (doc_id, of, c, l)),
+fp AS (SELECT doc_id, of, string_agg(s, '-' ORDER BY k) AS f FROM slot GROUP BY 1, 2),
+pairs AS (
+  SELECT doc_id, 'e' AS what, doc_id AS other, 2 AS other_of FROM nx UNION ALL
+  SELECT doc_id, 'n', next_id, 1 FROM nx),
+near AS (
+  SELECT p.doc_id, p.what, count(*) FILTER (length(a.s) = 8 OR length(b.s) = 8) AS used, count(*) FILTER (length(a.s) = 8 AND a.s = b.s) AS same
+  FROM pairs p JOIN slot a ON a.doc_id = p.doc_id AND a.of = 1 JOIN slot b ON b.doc_id = p.other AND b.of = p.other_of AND b.k = a.k GROUP BY 1, 2)
+SELECT nx.doc_id, nx.n AS n_chars, sha256(left(text, n - n // 4) || left(next_text, n // 4)) AS edited_sha256, f1.f AS fingerprint, f2.f AS edited_fingerprint,
+       CASE WHEN e.used > 0 THEN CAST(e.same AS DOUBLE) / e.used WHEN f1.f = f2.f THEN 1e0 ELSE 0e0 END AS near_edited,
+       CASE WHEN m.used > 0 THEN CAST(m.same AS DOUBLE) / m.used WHEN f1.f = f3.f THEN 1e0 ELSE 0e0 END AS near_next
+FROM nx JOIN fp f1 ON f1.doc_id = nx.doc_id AND f1.of = 1 JOIN fp f2 ON f2.doc_id = nx.doc_id AND f2.of = 2 JOIN fp f3 ON f3.doc_id = nx.next_id AND f3.of = 1
+JOIN near e ON e.doc_id = nx.doc_id AND e.what = 'e' JOIN near m ON m.doc_id = nx.doc_id AND m.what = 'n'"""
+
+
 def _op6_sql() -> str:
     rows = []
     for name, grams in license_scan.template_table():
@@ -174,4 +216,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": _op1_sql(), "op6_license_scan": _op6_sql(), "op7_exact_dedup": _op7_sql(), "op8_line_dedup": _op8_sql()}
+    return {"op1_sharding": _op1_sql(), "op2_imatch": _op2_sql(), "op6_license_scan": _op6_sql(), "op7_exact_dedup": _op7_sql(), "op8_line_dedup": _op8_sql()}
