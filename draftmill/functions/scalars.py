@@ -23,7 +23,7 @@ def truthy(x: Column) -> Column:
 
 def parse_amount(x: Column) -> Column:
     """'$1,234.50' as a number; null if it isn't one."""
-    return F.expr("try_cast(null as double)") if x is None else F.trim(F.regexp_replace(x, "[$,]", "")).try_cast("double")
+    return F.trim(F.regexp_replace(x, "[$,]", "")).try_cast("double")
 
 
 def clean_routing(x: Column) -> Column:
@@ -132,6 +132,10 @@ def receipt_url(receipt_id: Column, realm: Column, environment: str) -> Column:
     return F.concat(F.lit(f"{host}/app/salesreceipt?txnId="), receipt_id, F.lit("&companyid="), realm)
 
 
+def api_base(environment: str) -> str:
+    return API_HOSTS["production" if environment == "production" else "sandbox"]
+
+
 def callback_parameter(url: Column, name: str) -> Column:
     return F.try_parse_url(url, F.lit("QUERY"), F.lit(name))
 

@@ -41,12 +41,23 @@ def fresh_against(new: DataFrame, history: DataFrame) -> DataFrame:
     return mark_duplicates(known).where(~F.col("is_duplicate")).drop("is_duplicate", "first_rid")
 
 
-def with_hash_ids(df: DataFrame, order: str = "rid") -> DataFrame:
-    """Adds ``check_id``; later rows with an equal input text get |1, |2, ... before hashing.
+def numbered(df: DataFrame, key: str, order: str, name: str, block: int = 1 << 16) -> DataFrame:
+    """Adds each row's place, from 0, among the rows of its key by a whole-number order.
 
-    Only rows that share a text are numbered, and by their order within it.
+    Rows are numbered within blocks of the order, and a block starts after the
+    rows of the key's earlier blocks, so no task sorts more than a block of a
+    key, however many rows share it.
     """
+    df = df.withColumn("_block", F.floor(F.col(order) / block))
+    sizes = df.groupBy(key, "_block").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(key, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    within = Window.partitionBy(key, "_block").orderBy(order)
+    return df.withColumn("_at", F.row_number().over(within)).join(starts, [key, "_block"]).withColumn(name, F.col("_start") + F.col("_at") - 1).drop("_block", "_at", "_start")
+
+
+def with_hash_ids(df: DataFrame, order: str = "rid") -> DataFrame:
+    """Adds ``check_id``; later rows with an equal input text get |1, |2, ... before hashing."""
     text = ids.hash_input(*(F.col(c) for c in ("routing_number", "account_number", "check_number", "check_date", "amount")))
-    df = df.withColumn("id_text", text)
-    w = Window.partitionBy("id_text").orderBy(order)
-    return df.withColumn("occurrence", F.row_number().over(w) - 1).withColumn("check_id", ids.hash_id(F.col("id_text"), F.col("occurrence")))
+    df = numbered(df.withColumn("id_text", text), "id_text", order, "occurrence")
+    return df.withColumn("check_id", ids.hash_id(F.col("id_text"), F.col("occurrence")))

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from draftmill.functions import scalars
 
 
+# The labels, rules and sentences of notes, summaries and notifications below are part of their texts.
+
+
 def _line(label: str, x: Column) -> Column:
     """'label: x', null where x is null or empty, so that concat_ws leaves it out."""
     return F.when(scalars.truthy(x.cast("string")), F.concat(F.lit(label), x.cast("string")))

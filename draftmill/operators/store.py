@@ -107,13 +107,14 @@ def lookup(ids: DataFrame, mappings: DataFrame) -> DataFrame:
 def trailing_calls(calls: DataFrame, seconds: int, at: str = "ts") -> DataFrame:
     """Calls in the window of so many seconds that ends with each call.
 
-    Calls are dealt by minute-like blocks; a call's window reaches at most one
-    block back, so each block is joined with itself and the one before by
-    counting, not by pairs: earlier calls of both blocks less those that have
-    left the window, both ranks within a block pair.
+    Calls are counted by second first.  Seconds are dealt into blocks as long
+    as the window, which then reaches at most one block back; each block also
+    gets the seconds of the one before, so a task holds two windows' seconds,
+    however many calls there are.
     """
-    block = F.floor(F.col(at) / seconds)
-    own = calls.withColumn("block", block).withColumn("mine", F.lit(True))
-    both = own.unionByName(own.withColumn("block", F.col("block") + 1).withColumn("mine", F.lit(False)))
-    w = Window.partitionBy("block").orderBy(F.col(at).cast("long")).rangeBetween(-seconds, Window.currentRow)
-    return both.withColumn("calls", F.count("*").over(w)).where("mine").drop("mine", "block")
+    by = calls.groupBy(F.col(at).cast("long").alias("_s")).agg(F.count("*").alias("_n"))
+    own = by.withColumn("_block", F.floor(F.col("_s") / seconds)).withColumn("_mine", F.lit(True))
+    both = own.unionByName(own.withColumn("_block", F.col("_block") + 1).withColumn("_mine", F.lit(False)))
+    w = Window.partitionBy("_block").orderBy("_s").rangeBetween(-seconds, Window.currentRow)
+    sums = both.withColumn("calls", F.sum("_n").over(w)).where("_mine").select("_s", "calls")
+    return calls.join(sums, F.col(at).cast("long") == F.col("_s")).drop("_s")

@@ -227,7 +227,18 @@ def notes(spark: SparkSession, d: str) -> DataFrame:
     return checks_raw(spark, d).select("rid", payload.minimal_note(F.col("memo"), micr).alias("note"))
 
 
-@query("c14_full_note")
+_BANK = "concat_ws(chr(10), 'Routing Number: ' || nullif(routing_number, ''), 'Account Number: ' || nullif(account_number, ''))"
+
+
+@query(
+    "c14_full_note",
+    JUDGED
+    + f"""SELECT rid, concat_ws(chr(10), 'Check #' || coalesce(check_number, 'Unknown') || ' from ' || customer_name, '', 'Payor Information:' || chr(10) || 'Name: ' || customer_name || chr(10),
+CASE WHEN {_BANK} <> '' THEN 'Bank Information:' || chr(10) || {_BANK} || chr(10) END, 'Memo: ' || memo || chr(10), 'Amount Details:', 'Numeric: $' || printf('%,.2f', coalesce(amount, 0)),
+CASE WHEN amounts_match THEN 'Amounts Match: ✓' WHEN NOT amounts_match THEN 'Amounts Match: ✗ WARNING - MISMATCH!' END, '', 'Validation:', 'Check Condition: ' || check_condition,
+'Check Age: ' || age_days || CASE WHEN age_days < 0 THEN ' days (POST-DATED)' ELSE ' days' END, CASE WHEN is_post_dated THEN 'Post-Dated: ✓ WARNING' END, CASE WHEN is_stale THEN 'Stale-Dated: ✓ WARNING - >180 days old' END,
+CASE WHEN flagged THEN 'Requires Manual Review: ✓' END, '', 'Confidence: ' || confidence || '%') AS note FROM judged""",
+)
 def full_note(spark: SparkSession, d: str) -> DataFrame:
     c = {k: F.col(v) for k, v in {"check_number": "check_number", "payor": "customer_name", "routing": "routing_number", "account": "account_number", "memo": "memo", "amount": "amount", "amounts_match": "amounts_match", "condition": "check_condition", "age": "age_days", "post": "is_post_dated", "stale": "is_stale", "review": "flagged", "confidence": "confidence"}.items()}
     return judged(spark, d).select("rid", payload.full_note(c).alias("note"))
@@ -272,7 +283,17 @@ def mail_headers(spark: SparkSession, d: str) -> DataFrame:
     return c.select("conv_id", "turn", F.get(got, F.lit(0)).alias("reply_to"), F.array_join(got, " ").alias("refs"), subject.alias("subject"), F.size(scalars.id_spellings(F.concat(F.lit("<<"), one, F.lit(">")))).alias("spellings"))
 
 
-@query("c27_details_html")
+def _row(label: str, value: str) -> str:
+    return f"""'<div class="detail-row"><span class="label">{label}:</span> <span class="value">' || {value} || '</span></div>'"""
+
+
+@query(
+    "c27_details_html",
+    JUDGED
+    + """SELECT rid, '<div class="callout" style="border-left-color:#f39c12"><h3>Review</h3><p>' || coalesce(review_reason, '') || '</p></div><div class="check-details"><h3>Check Information</h3>' || """
+    + " || ".join([_row("Check Number", "coalesce(check_number, 'N/A')"), _row("Amount", "CASE WHEN amount IS NULL THEN 'N/A' ELSE printf('$%,.2f', amount) END"), _row("Payor", "customer_name"), _row("Date", "coalesce(check_date, 'N/A')")])
+    + " || '</div>' AS html FROM judged",
+)
 def details_html(spark: SparkSession, d: str) -> DataFrame:
     rows = [("Check Number", F.col("check_number")), ("Amount", scalars.money(F.col("amount"))), ("Payor", F.col("customer_name")), ("Date", F.col("check_date"))]
     return judged(spark, d).select("rid", F.concat(payload.callout_html("Review", "#f39c12", F.coalesce("review_reason", F.lit(""))), payload.details_html(rows)).alias("html"))
@@ -286,7 +307,15 @@ def details_text(spark: SparkSession, d: str) -> DataFrame:
     return checks_raw(spark, d).select("rid", payload.details_text(F.col("check_number"), F.col("amount"), F.lit(None).cast("string"), F.col("customer_name"), F.col("check_date"), F.col("confidence")).alias("text"))
 
 
-@query("c28_summary")
+@query(
+    "c28_summary",
+    JUDGED
+    + """SELECT rid, concat_ws(chr(10), repeat('=', 80), 'CHECK PROCESSED SUCCESSFULLY', repeat('=', 80), '', 'Key Information:', repeat('-', 80), 'Check Number: ' || coalesce(check_number, 'N/A'), 'Date: ' || coalesce(check_date, 'N/A'),
+'Amount: $' || printf('%,.2f', coalesce(amount, 0)), 'Payor: ' || customer_name, '', 'Bank Information:', repeat('-', 80), 'Routing: ' || coalesce(routing_number, 'N/A'), 'Account: ' || coalesce(account_number, 'N/A'), '',
+'Validation Status:', repeat('-', 80), CASE WHEN amounts_match THEN 'Amounts Match: ✓ Yes' WHEN NOT amounts_match THEN 'Amounts Match: ✗ No - REQUIRES REVIEW' ELSE 'Amounts Match: Unknown' END,
+CASE WHEN is_post_dated THEN 'Post-Dated: ⚠ WARNING - Check is dated in the future' END, CASE WHEN is_stale THEN 'Stale-Dated: ⚠ WARNING - Check is >180 days old' END, CASE WHEN flagged THEN 'Manual Review: ⚠ Required' END, 'Confidence: ' || confidence || '%') AS text
+FROM judged WHERE route = 'processed'""",
+)
 def summary(spark: SparkSession, d: str) -> DataFrame:
     c = [F.col(x) for x in ("check_number", "check_date", "amount", "customer_name", "routing_number", "account_number", "amounts_match", "is_post_dated", "is_stale", "flagged", "confidence")]
     return judged(spark, d).where("route = 'processed'").select("rid", payload.summary(*c).alias("text"))

@@ -10,7 +10,7 @@ LOG_LEVELS = ("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL")
 
 @dataclass(frozen=True)
 class Settings:
-    """Defaults are the reference values of the intake rules."""
+    """The defaults of the intake rules."""
 
     auto_confidence: float = 85.0
     review_confidence: float = 70.0

@@ -47,6 +47,16 @@ def test_colliding_texts_get_suffixes(spark):
     assert [out[k].occurrence for k in (1, 2, 3)] == [0, 1, 0] and len({r.check_id for r in out.values()}) == 3
 
 
+def test_numbering_crosses_blocks(spark):
+    df = spark.createDataFrame([(k, "a" if k % 3 else "b") for k in range(0, 400, 2)], "rid long, t string")
+    got = {r.rid: r.n for r in dedup.numbered(df, "t", "rid", "n", block=16).collect()}
+    seen = {"a": 0, "b": 0}
+    for k in range(0, 400, 2):
+        t = "a" if k % 3 else "b"
+        assert got[k] == seen[t]
+        seen[t] += 1
+
+
 # -------------------------------------------------------------------- scalars
 
 
