@@ -138,7 +138,8 @@ def within(disagree: np.ndarray, most: int) -> float:
 
 def allot(n: int, both: np.ndarray, radius: int = RADIUS) -> list[tuple[list[int], int]]:
     """Partitions of bits with their thresholds, at the least estimated cost over all numbers of partitions."""
-    p = np.diag(both) / max(n, 1)
+    n = max(n, 1)  # without fingerprints all schemes would cost nothing, and the first one has 41,664 keys
+    p = np.diag(both) / n
     disagree = 2 * p * (1 - p)
     best: tuple[float, list[tuple[list[int], int]]] | None = None
     for m in range(1, radius + 2):

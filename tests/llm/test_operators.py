@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from math import comb
 
 import numpy as np
 import pytest
@@ -262,6 +263,8 @@ def test_thresholds_meet_the_principle():
         scheme = simhash.allot(n, x.T @ x * n / 4000)
         m = len(simhash.group_bits(n, x.T @ x, len(scheme)))
         assert sum(t + 1 for _, t in scheme) == 4 and m >= 1  # sum of thresholds is 3 - m + 1, skipped parts count -1
+    for n in (0, 1, 2):
+        assert sum(comb(len(part), t) for part, t in simhash.allot(n, np.zeros((64, 64)))) <= 64
     assert len(simhash.allot(4000, x.T @ x)) >= len(simhash.allot(10**10, x.T @ x * 2.5e6))
 
 
