@@ -730,10 +730,15 @@ def stream(spark: SparkSession, d: str) -> DataFrame:
 
 @query("h01_h02_h16_pixels")
 def pixel_stages(spark: SparkSession, d: str) -> DataFrame:
-    """Pages drawn from their components, found again from pixels; a page is one row and one kernel call."""
-    small = components(spark, d).where("page % 40 = 1").select("page", (F.col("x") / 8).cast("int").alias("x"), (F.col("y") / 8).cast("int").alias("y"), F.greatest(F.lit(1), (F.col("w") / 4).cast("int")).alias("w"), F.greatest(F.lit(1), (F.col("h") / 4).cast("int")).alias("h"))
-    pages = pixels.draw(small.groupBy("page").agg(F.collect_list(F.struct("x", "y", "w", "h")).alias("boxes")), 760, 330)
-    return pixels.page_components(pages).groupBy("page").agg(F.count("*").alias("n"), F.sum("area").alias("ink"))
+    """All pages drawn from their components, found again from pixels, with the detections cut out; a page is one row and one kernel call."""
+    scaled = components(spark, d).select("page", (F.col("x") / 8).cast("int").alias("x"), (F.col("y") / 8).cast("int").alias("y"), F.greatest(F.lit(1), (F.col("w") / 4).cast("int")).alias("w"), F.greatest(F.lit(1), (F.col("h") / 4).cast("int")).alias("h"))
+    pages = pixels.draw(scaled.groupBy("page").agg(F.collect_list(F.struct("x", "y", "w", "h")).alias("boxes")), 760, 330)
+    found = pixels.page_components(pages).groupBy("page").agg(F.count("*").alias("n"), F.sum("area").alias("ink"))
+    # Detections at the scale of the drawn pages; rounding outwards loses no pixel.
+    left, top, right, bottom = ((F.floor(F.col("x") / 8)), F.floor(F.col("y") / 8), F.ceil((F.col("x") + F.col("w")) / 8), F.ceil((F.col("y") + F.col("h")) / 8))
+    boxes = h_detect(spark, d).select("page", "det", *(c.cast("int").alias(n) for n, c in (("x", left), ("y", top), ("w", right - left), ("h", bottom - top))))
+    cut = pixels.crops(pages, boxes).groupBy("page").agg(F.count("*").alias("crops"), F.sum(F.col("height").cast("long") * F.col("width")).alias("crop_pixels"))
+    return found.join(cut, "page", "left").na.fill(0, ["crops", "crop_pixels"])
 
 
 def queries() -> dict[str, Query]:

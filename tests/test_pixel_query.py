@@ -1,0 +1,28 @@
+"""The pixel query over every page, against brute force."""
+
+from collections import Counter, defaultdict
+
+import numpy as np
+
+from draftmill.plans import queries
+from draftmill.sources import pixels
+
+
+def test_pixel_query_takes_every_page_and_cuts_every_detection(spark, monkeypatch):
+    parts = queries.components(spark, "/root/testdata/sf0.01").where("page < 100").localCheckpoint()
+    monkeypatch.setattr(queries, "components", lambda s, d: parts)
+    got = {r.page: r for r in queries.queries()["h01_h02_h16_pixels"](spark, "").collect()}
+    images = defaultdict(lambda: np.full((760, 330), 250, np.uint8))
+    for r in parts.collect():
+        x, y = r.x // 8, r.y // 8
+        images[r.page][y : y + max(1, r.h // 4), x : x + max(1, r.w // 4)] = 10
+    assert set(got) == set(images) and len(got) > 10
+    count, area = Counter(), Counter()
+    for r in queries.h_detect(spark, "").collect():
+        count[r.page] += 1
+        area[r.page] += images[r.page][r.y // 8 : -(-(r.y + r.h) // 8), r.x // 8 : -(-(r.x + r.w) // 8)].size
+    for page, image in images.items():
+        r = got[page]
+        assert (r.n, r.ink) == (len(pixels.connected(image == 10)), int((image == 10).sum()))
+        assert (r.crops, r.crop_pixels) == (count[page], area[page])
+    assert sum(count.values()) > 0
