@@ -10,13 +10,18 @@ Training reads a bounded sample of labelled documents (``TRAIN_DOCS``,
 ``TRAIN_BYTES``): the ids with the least MD5 among those that may be learned
 from.  Only their passage features reach the driver, at most
 ``TRAIN_DOCS * TRAIN_BYTES / PASSAGE`` rows and far fewer in practice.  Scoring
-runs over all texts in Arrow batches, a few megabytes of text at a time, with
-no shuffle.
+runs over all texts in Arrow batches with no shuffle.  Texts are encoded
+``SLICE`` bytes at a time, straight from the batch's buffer: a slice holds many
+short texts or a part of a long one, and attention's sums (greatest logit,
+denominator, numerator) are carried from slice to slice, so that a text of any
+length takes the memory of a slice.
 
-Edge cases: null and empty texts are one empty passage and get a score; a
-document with several labels counts with the greatest; null labels and ids are
-not learned from; without labels of both kinds every score is 0.5, which
-rejects nothing; repeated rows get equal scores.
+Edge cases: null and empty texts are one empty passage and get a score; a very
+long text is one bag of all its passages; a document with several labels counts
+with the greatest; null labels and ids are not learned from; without labels of
+both kinds every score is 0.5, which rejects nothing; equal texts and repeated
+rows get equal scores; a column named like the score is replaced, all others
+come through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,8 +40,8 @@ PASSAGE = 512
 TRAIN_DOCS, TRAIN_BYTES = 4000, 1 << 17
 THRESHOLD = 0.3
 HIDDEN, ATTENTION, STEPS, BATCH, SEED = 24, 12, 1500, 64, 7
-#: Texts encoded together: at most so many, and about so many bytes.
-ROWS_AT_ONCE, BYTES_AT_ONCE = 512, 1 << 20
+#: Bytes encoded together, a multiple of PASSAGE.
+SLICE = 1 << 19
 
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[]_{|}~"
 _CLASS = np.zeros(256, np.int64)  # 0: other
@@ -51,16 +56,43 @@ PAIRS = 1024
 FEATURES = CLASSES + 8
 
 
-def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all passages, and how many each text has."""
-    sizes = np.array([len(t) for t in texts], np.int64)
+def spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of an Arrow column and the len + 1 bounds of its texts; null is empty.  Nothing is copied."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    if texts.null_count:
+        texts = texts.fill_null("")
+    wide = pa.types.is_large_string(texts.type)
+    _, bounds, data = texts.buffers()
+    at = np.frombuffer(bounds, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if bounds else np.zeros(len(texts) + 1, np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), at
+
+
+def slices(at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(texts, begin, end) of what to encode together: at most SLICE bytes and as many texts; a text is cut at passage ends only."""
+    k, start, n = 0, int(at[0]) if len(at) else 0, len(at) - 1
+    while k < n:
+        if at[k + 1] - start > SLICE:  # part of a long text
+            yield np.array([k]), np.array([start]), np.array([start + SLICE])
+            start += SLICE
+            continue
+        end = min(int(np.searchsorted(at, start + SLICE, "right")) - 1, k + SLICE // PASSAGE, n)
+        begin = at[k:end].copy()
+        begin[0] = start
+        yield np.arange(k, end), begin, at[k + 1 : end + 1]
+        k, start = end, int(at[end])
+
+
+def encode(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all passages of the byte ranges, which lie end to end, and how many passages each has."""
+    sizes = end - begin
     counts = np.maximum(1, -(-sizes // PASSAGE))
-    data = np.frombuffer(b"".join(texts), np.uint8)
     passages = int(counts.sum())
     # The passage of each byte.
-    text_of = np.repeat(np.arange(len(texts)), sizes)
-    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    inside = np.arange(len(data)) - begin[text_of]
+    text_of = np.repeat(np.arange(len(sizes)), sizes)
+    first = begin[0] if len(begin) else 0
+    data = data[first : first + int(sizes.sum())]
+    inside = np.arange(len(data)) - (begin - first)[text_of]
     owner = (np.concatenate([[0], np.cumsum(counts)[:-1]])[text_of] + inside // PASSAGE).astype(np.int64)
     kind = _CLASS[data]
     hist = np.bincount(owner * CLASSES + kind, minlength=passages * CLASSES).reshape(passages, CLASSES).astype(np.float32)
@@ -97,17 +129,60 @@ class Model:
     scale: np.ndarray
     weights: dict[str, np.ndarray]
 
-    def score(self, x: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def passages(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The representation of each passage and the logit of its attention."""
         p = self.weights
         x = (x - self.mean) / self.scale
         h = np.tanh(x @ p["w"] + p["b"])
-        a = (np.tanh(h @ p["v"]) / (1 + np.exp(-(h @ p["u"])))) @ p["a"]
+        return h, (np.tanh(h @ p["v"]) / (1 + np.exp(-(h @ p["u"])))) @ p["a"]
+
+    def of_bags(self, z: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(z @ self.weights["c"] + self.weights["d"])))
+
+    def score(self, x: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        sums = Pooled(len(counts), len(self.weights["b"]))
+        sums.add(np.arange(len(counts)), *self.passages(x), counts)
+        return self.of_bags(sums.mean())
+
+
+class Pooled:
+    """Attention-weighted means of bags whose passages come in parts."""
+
+    def __init__(self, bags: int, width: int):
+        self.most, self.below, self.above = np.full(bags, -np.inf), np.zeros(bags), np.zeros((bags, width))
+
+    def add(self, bags: np.ndarray, h: np.ndarray, a: np.ndarray, counts: np.ndarray) -> None:
+        """Adds passages to distinct bags, ``counts`` to each."""
         start = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        bag = np.repeat(np.arange(len(counts)), counts)
-        a = np.exp(a - np.maximum.reduceat(a, start)[bag])
-        a /= np.add.reduceat(a, start)[bag]
-        z = np.add.reduceat(h * a[:, None], start, axis=0)
-        return 1 / (1 + np.exp(-(z @ p["c"] + p["d"])))
+        most = np.maximum(self.most[bags], np.maximum.reduceat(a, start))
+        e = np.exp(a - np.repeat(most, counts))
+        shrink = np.exp(self.most[bags] - most)
+        self.below[bags] = self.below[bags] * shrink + np.add.reduceat(e, start)
+        self.above[bags] = self.above[bags] * shrink[:, None] + np.add.reduceat(h * e[:, None], start, axis=0)
+        self.most[bags] = most
+
+    def mean(self) -> np.ndarray:
+        return self.above / self.below[:, None]
+
+
+def score_texts(texts: pa.Array, model: Model) -> np.ndarray:
+    data, at = spans(texts)
+    sums = Pooled(len(texts), len(model.weights["b"]))
+    for rows, begin, end in slices(at):
+        x, counts = encode(data, begin, end)
+        sums.add(rows, *model.passages(x), counts)
+    return model.of_bags(sums.mean())
+
+
+def encode_texts(texts: pa.Array) -> list[np.ndarray]:
+    """The features of each text's passages."""
+    data, at = spans(texts)
+    parts: list[list[np.ndarray]] = [[] for _ in range(len(texts))]
+    for rows, begin, end in slices(at):
+        x, counts = encode(data, begin, end)
+        for k, part in zip(rows, np.split(x, np.cumsum(counts)[:-1]), strict=True):
+            parts[k].append(part)
+    return [np.concatenate(p) for p in parts]
 
 
 def train(x: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> Model | None:
@@ -187,9 +262,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 b = batch.slice(k, 64)
-                x, counts = encode([t.encode() for t in b.column(2).to_pylist()])
-                ends = np.cumsum(counts)
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), pa.array([x[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)], pa.binary())], ["id", "y", "x"])
+                x = [f.tobytes() for f in encode_texts(b.column(2))]
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), pa.array(x, pa.binary())], ["id", "y", "x"])
 
     found = sorted(rows.mapInArrow(run, "id string, y int, x binary").collect(), key=lambda r: (r["id"], r["y"], bytes(r["x"])))
     # Repeated rows of an id count once.
@@ -207,17 +281,8 @@ def score(df: DataFrame, model: Model | None, text: str = "text", name: str = "s
     at = schema.fieldNames().index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at_row in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(at_row, ROWS_AT_ONCE)
-                texts = [(t or "").encode() for t in batch.column(at).to_pylist()]
-                scores, start, held = [], 0, 0
-                for k, t in enumerate(texts):
-                    held += len(t)
-                    if held >= BYTES_AT_ONCE or k == len(texts) - 1:
-                        x, counts = encode(texts[start : k + 1])
-                        scores.append(model.score(x, counts) if model else np.full(len(counts), 0.5))
-                        start, held = k + 1, 0
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores), pa.float64())], [*batch.schema.names, name])
+        for batch in batches:
+            scores = score_texts(batch.column(at), model) if model else np.full(batch.num_rows, 0.5)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, name])
 
     return out.mapInArrow(run, StructType([*schema.fields, StructField(name, DoubleType())]))
