@@ -64,10 +64,16 @@ def iso_from_any(x: Column, as_of: Column) -> Column:
     return F.coalesce(day, F.when(F.try_to_date(x, "yyyy-M-d").isNotNull(), x), F.date_format(as_of, "yyyy-MM-dd"))
 
 
-def payor_name(payor: Column, full: Column, first: Column, middle: Column, last: Column) -> Column:
-    """The first that isn't blank of the payor text, the full name, the parts together."""
+def payor_name(payor: Column, full: Column, first: Column, middle: Column, last: Column, text: Column | None = None) -> Column:
+    """The first that isn't blank of the payor text, the full name, the parts together, a name that came as plain text."""
     parts = F.concat_ws(" ", *(blank_to_null(p) for p in (first, middle, last)))
-    return F.coalesce(blank_to_null(payor), blank_to_null(full), F.nullif(parts, F.lit("")), F.lit("Unknown"))
+    plain = [] if text is None else [blank_to_null(text)]
+    return F.coalesce(blank_to_null(payor), blank_to_null(full), F.nullif(parts, F.lit("")), *plain, F.lit("Unknown"))
+
+
+def sender_name(email_from: Column) -> Column:
+    """The display part of a sender, before the address in angle brackets, without quotes."""
+    return F.regexp_replace(F.trim(F.substring_index(email_from, "<", 1)), '^"+|"+$', "")
 
 
 def given_name(name: Column) -> Column:
@@ -90,6 +96,12 @@ def content_type(filename: Column) -> Column:
     return out
 
 
+def crop_name(filename: Column, page: Column, index: Column, stamp: Column) -> Column:
+    """The file name of a cropped check: pages count from 1, checks from 0."""
+    stem = F.coalesce(F.nullif(F.regexp_replace(filename, r"\.[^.]+$", ""), F.lit("")), F.lit("check"))
+    return F.concat(stem, F.lit("_p"), (page + 1).cast("string"), F.lit("_idx"), index.cast("string"), F.lit("_"), stamp, F.lit(".png"))
+
+
 def safe_filename(name: Column) -> Column:
     return F.trim(F.regexp_replace(name, r"[^\p{L}\p{N} _-]", ""))
 

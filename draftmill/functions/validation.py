@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from draftmill.functions.scalars import extension, truthy
 
-# Attachment kinds, extensions, status codes.
+# Attachment kinds, extensions, status codes, shapes of fields, words and types of accounting entities.
 ATTACHMENT_TYPES = ("application/pdf", "image/jpeg", "image/png", "image/tiff")
 ATTACHMENT_EXTENSIONS = (".pdf", ".jpg", ".jpeg", ".png", ".tiff", ".tif")
 NEVER_RETRIED = (400, 401, 403, 404)
 RETRIED = (429, 500, 502, 503, 504)
+ROUTING_FORMAT = "^[0-9]{9}$"
+ACCOUNT_FORMAT = "^[0-9]{4,17}$"
+CHECK_NUMBER_FORMAT = "^[0-9]{1,6}$"
+DATE_FORMATS = ("[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}", "[0-9]{4}-[0-9]{2}-[0-9]{2}", "[0-9]{1,2}-[0-9]{1,2}-[0-9]{2,4}")
+ACCOUNT_WORDS = ("undeposited", "checking", "savings")
+ACCOUNT_TYPE = "Bank"
+ITEM_TYPES = ("Service", "NonInventory")
+PAYMENT_WORD = "check"
 
 
 def is_attachment(content_type: Column, filename: Column) -> Column:
@@ -19,15 +29,15 @@ def is_attachment(content_type: Column, filename: Column) -> Column:
 
 
 def routing_format(x: Column) -> Column:
-    return x.rlike("^[0-9]{9}$")
+    return x.rlike(ROUTING_FORMAT)
 
 
 def account_format(x: Column) -> Column:
-    return x.rlike("^[0-9]{4,17}$")
+    return x.rlike(ACCOUNT_FORMAT)
 
 
 def check_number_format(x: Column) -> Column:
-    return x.rlike("^[0-9]{1,6}$")
+    return x.rlike(CHECK_NUMBER_FORMAT)
 
 
 def amount_format(x: Column) -> Column:
@@ -36,7 +46,7 @@ def amount_format(x: Column) -> Column:
 
 
 def date_format(x: Column) -> Column:
-    return x.rlike("^([0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{2,4})$")
+    return x.rlike(f"^({'|'.join(DATE_FORMATS)})$")
 
 
 def routing_checksum(x: Column) -> Column:
@@ -67,5 +77,16 @@ def token_expiring(now: Column, expires_at: Column) -> Column:
 
 
 def account_highlight(name: Column, kind: Column) -> Column:
+    """Accounts that a receipt may be deposited to."""
     low = F.lower(name)
-    return low.contains("undeposited") | low.contains("checking") | low.contains("savings") | (kind == "Bank")
+    return reduce(Column.__or__, (low.contains(w) for w in ACCOUNT_WORDS)) | (kind == ACCOUNT_TYPE)
+
+
+def item_highlight(kind: Column) -> Column:
+    """Items that a receipt may sell."""
+    return kind.isin(*ITEM_TYPES)
+
+
+def payment_highlight(name: Column) -> Column:
+    """Payment methods that stand for a check."""
+    return F.lower(name).contains(PAYMENT_WORD)

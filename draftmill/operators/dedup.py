@@ -10,23 +10,25 @@ from draftmill.functions import ids, validation
 KEY = ("routing_number", "account_number", "check_number", "check_date")
 
 
-def first_of_key(df: DataFrame, order: str = "rid") -> DataFrame:
-    """Adds ``first_rid``: the earliest stored row of the four-part key, null where a part is null.
-
-    Failed rows store no key.  The earliest row of a key is a map-side-combined
-    minimum, joined back: a key that a third of all rows share sends a row a
-    task, and the join can split it.
+def first_of_key(df: DataFrame, order: str = "rid", keys: DataFrame | None = None) -> DataFrame:
+    """Adds ``first_rid``: the earliest stored row of the four-part key, where the key is whole and has several rows; else null.
+
+    Failed rows store no key.  Only keys of several rows are joined back, and the
+    minimum is combined on the map side: a key that a third of all rows share
+    sends a row a task, and the join's small side tells nothing of single rows.
+    ``keys`` is df or what it was derived from; it should be a stored relation,
+    as it is read for its keys alone.
     """
-    keyed = df.where(F.col("error").isNull())
-    firsts = keyed.dropna(subset=list(KEY)).groupBy(*KEY).agg(F.min(order).alias("first_rid"))
+    keyed = (df if keys is None else keys).where(F.col("error").isNull()).dropna(subset=list(KEY))
+    firsts = keyed.groupBy(*KEY).agg(F.min(order).alias("first_rid"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     return df.join(firsts, list(KEY), "left")
 
 
-def mark_duplicates(df: DataFrame, order: str = "rid") -> DataFrame:
+def mark_duplicates(df: DataFrame, order: str = "rid", keys: DataFrame | None = None) -> DataFrame:
     """Adds ``is_duplicate``: an earlier row has the same key; null keys never match."""
     gate = validation.duplicate_gate(F.col("routing_number"), F.col("check_number"))
     dup = gate & F.col("error").isNull() & F.coalesce(F.col("first_rid") < F.col(order), F.lit(False))
-    return first_of_key(df, order).withColumn("is_duplicate", dup)
+    return first_of_key(df, order, keys).withColumn("is_duplicate", dup)
 
 
 def duplicates_of(new: DataFrame, history: DataFrame) -> DataFrame:

@@ -1,4 +1,9 @@
-"""The extraction record: parsing, repair, defaults and the flat field list."""
+"""The extraction record: parsing, repair, defaults and the flat field list.
+
+A response is read field by field: its top level becomes a map of texts, and
+each field is cast on its own, so that one field of an unexpected type never
+costs the others.  Only text that is no JSON object fails.
+"""
 
 from __future__ import annotations
 
@@ -7,75 +12,110 @@ from pyspark.sql import functions as F
 
 from draftmill.functions import scalars
 
-# The record's fields and those with a confidence of their own.
-TEXT_FIELDS = ("check_number", "date", "amount_numeric", "amount_written", "payee", "bank_name", "bank_address", "micr_line", "routing_number", "account_number", "memo")
+# The record's fields, those with a confidence of their own, and the parts of names and addresses.
 CONFIDENCE_FIELDS = ("check_number", "date", "amount_numeric", "amount_written", "payee", "payor_name", "payor_address", "bank_name", "bank_address", "micr_line", "routing_number", "account_number", "memo")
-NAME_FIELDS = "first_name STRING, middle_name STRING, last_name STRING, is_joint BOOLEAN, full_name STRING"
-ADDRESS_FIELDS = "street STRING, city STRING, state STRING, zip STRING, country STRING"
-RECORD = (
-    ", ".join(f"{f} STRING" for f in TEXT_FIELDS)
-    + f", payor_name STRUCT<{', '.join(x.replace(' ', ': ') for x in NAME_FIELDS.split(', '))}>, payor_address STRUCT<{', '.join(x.replace(' ', ': ') for x in ADDRESS_FIELDS.split(', '))}>"
-    + ", signature_present BOOLEAN, signature_matches_payor BOOLEAN, amounts_match BOOLEAN, check_age_days INT, is_stale_dated BOOLEAN, is_post_dated BOOLEAN"
-    + ", check_condition STRING, requires_manual_review BOOLEAN, raw_text STRING, confidence INT"
-    + f", field_confidences STRUCT<{', '.join(f'{f}: INT' for f in CONFIDENCE_FIELDS)}>, _corrupt STRING"
-)
+NAME_FIELDS = ("first_name", "middle_name", "last_name", "full_name")
+ADDRESS_FIELDS = ("street", "city", "state", "zip", "country")
+
+#: Tokens of JSON, well-formed or not: text, number, word, mark, white space, anything else.
+TOKEN = r'"(?:[^"\\]++|\\.)*+"|-?[0-9][0-9.eE+-]*+|[A-Za-z_][A-Za-z0-9_]*+|[{}\[\]:,]|\s++|(?s:.)'
 
 
 def repair(text: Column) -> Column:
-    """Quotes bare keys, then puts missing commas before quoted keys."""
-    quoted = F.regexp_replace(text, r'([{,]\s*)([A-Za-z_][A-Za-z0-9_]*)\s*:(?=\s|["-])', '$1"$2":')
-    return F.regexp_replace(quoted, r'(["}\]0-9truefalsn])\s*(?="[^"]+":)', "$1, ")
+    """Compact JSON from text that lacks quotes around keys, or commas between members.
+
+    A bare word before a colon is a key and gets quotes.  A key right after the
+    end of a value (a text, a number, a word such as true, a closing bracket)
+    lacks a comma and gets one.  Texts are whole tokens, so nothing within them
+    changes.
+    """
+    tokens = F.filter(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: ~t.rlike(r"^\s"))
+
+    def mend(tokens: Column) -> Column:
+        def one(t: Column, i: Column) -> Column:
+            before, after = F.get(tokens, i - 1), F.get(tokens, i + 1)
+            word = t.rlike("^[A-Za-z_]")
+            key = (word | t.startswith('"')) & F.coalesce(after == ":", F.lit(False))
+            ended = F.coalesce(before.rlike(r'^(?:["\]}A-Za-z_0-9]|-[0-9])'), F.lit(False))
+            quoted = F.when(key & word, F.concat(F.lit('"'), t, F.lit('"'))).otherwise(t)
+            return F.when(key & ended, F.concat(F.lit(","), quoted)).otherwise(quoted)
+
+        return F.array_join(F.transform(tokens, one), "")
+
+    return F.get(F.transform(F.array(tokens), mend), F.lit(0))
+
+
+def _object(text: Column) -> Column:
+    """A JSON object as a map from its keys to texts (nested values as their JSON); null for anything else."""
+    return F.when(F.ltrim(text).startswith("{"), F.from_json(text, "map<string,string>"))
 
 
 def parse(df: DataFrame, text: str = "response") -> DataFrame:
-    """Adds ``record`` and ``parsed``: as_is, repaired or failed."""
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    df = df.withColumn("_first", F.from_json(F.col(text), RECORD, options))
-    bad = F.col("_first").isNull() | F.col("_first._corrupt").isNotNull()
-    df = df.withColumn("_second", F.when(bad, F.from_json(repair(F.col(text)), RECORD, options)))
-    bad_too = F.col("_second").isNull() | F.col("_second._corrupt").isNotNull()
-    state = F.when(~bad, "as_is").when(~bad_too, "repaired").otherwise("failed")
-    return df.withColumn("parsed", state).withColumn("record", F.when(F.col("parsed") == "as_is", F.col("_first")).when(F.col("parsed") == "repaired", F.col("_second"))).drop("_first", "_second")
-
-
-def normalise(df: DataFrame) -> DataFrame:
-    """One flat, cleaned row a record; a failed one gets the values of the error record."""
+    """Adds ``record``, a map from field to text, and ``parsed``: as_is, repaired or failed."""
+    first = df.withColumn("_first", _object(F.col(text)))
+    both = first.withColumn("_second", F.when(F.col("_first").isNull(), _object(repair(F.col(text)))))
+    state = F.when(F.col("_first").isNotNull(), "as_is").when(F.col("_second").isNotNull(), "repaired").otherwise("failed")
+    return both.withColumn("parsed", state).withColumn("record", F.coalesce("_first", "_second")).drop("_first", "_second")
+
+
+def normalise(df: DataFrame, text: str = "response") -> DataFrame:
+    """One flat, cleaned row a record: its 24 fields and ``error``.
+
+    A default stands for a missing field only; a field that is null stays null.
+    A failed record gets the values of the error record.  A name or address that
+    is no object is null; ``payor_text`` keeps a name that came as plain text.
+    """
     r, failed = F.col("record"), F.col("parsed") == "failed"
 
-    def or_default(name: str, ok: object, bad: object) -> Column:
-        return F.when(failed, F.lit(bad)).otherwise(F.coalesce(r[name], F.lit(ok))).alias(name)
+    def field(name: str, kind: str | None = None) -> Column:
+        return r[name] if kind is None else r[name].try_cast(kind)
+
+    def or_default(name: str, kind: str, ok: object, bad: object) -> Column:
+        value = F.when(F.map_contains_key(r, name), field(name, kind)).otherwise(F.lit(ok).cast(kind))
+        return F.when(failed, F.lit(bad).cast(kind)).otherwise(value).alias(name)
+
+    def flag(name: str, bad: bool = False) -> Column:
+        return or_default(name, "boolean", False, bad)
 
+    name, address, sure = (F.col(c) for c in ("_name", "_address", "_sure"))
+    joint = F.when(F.map_contains_key(name, "is_joint"), name["is_joint"].try_cast("boolean")).otherwise(False)
+    payor = F.struct(*(name[f].alias(f) for f in NAME_FIELDS[:3]), joint.alias("is_joint"), name[NAME_FIELDS[3]].alias(NAME_FIELDS[3]))
+    sureness = F.struct(*(F.when(failed, 0.0).when(F.map_contains_key(sure, f), sure[f].try_cast("double")).otherwise(50.0).alias(f) for f in CONFIDENCE_FIELDS))
     keep = [c for c in df.columns if c not in ("record", "parsed")]
-    return df.select(
+    with_parts = df.withColumns({"_name": _object(r["payor_name"]), "_address": _object(r["payor_address"]), "_sure": F.coalesce(_object(r["field_confidences"]), F.create_map().cast("map<string,string>"))})
+    return with_parts.select(
         *keep,
         "parsed",
-        r["check_number"].alias("check_number"),
-        r["date"].alias("check_date"),
+        field("check_number").alias("check_number"),
+        field("date").alias("check_date"),
         scalars.parse_amount(r["amount_numeric"]).alias("amount"),
-        r["amount_written"].alias("amount_written"),
-        r["payee"].alias("payee"),
-        r["bank_name"].alias("bank_name"),
-        r["bank_address"].alias("bank_address"),
-        r["micr_line"].alias("micr_line"),
+        field("amount_written").alias("amount_written"),
+        field("payee").alias("payee"),
+        F.when(name.isNotNull(), payor).alias("payor"),
+        F.when(name.isNull(), r["payor_name"]).alias("payor_text"),
+        F.when(address.isNotNull(), F.struct(*(address[f].alias(f) for f in ADDRESS_FIELDS))).alias("payor_address"),
+        field("bank_name").alias("bank_name"),
+        field("bank_address").alias("bank_address"),
+        field("micr_line").alias("micr_line"),
         scalars.clean_routing(r["routing_number"]).alias("routing_number"),
         scalars.clean_account(r["account_number"]).alias("account_number"),
-        r["memo"].alias("memo"),
-        F.when(r["payor_name"].isNotNull(), r["payor_name"].withField("is_joint", F.coalesce(r["payor_name"]["is_joint"], F.lit(False)))).alias("payor"),
-        r["payor_address"].alias("payor_address"),
-        r["amounts_match"].alias("amounts_match"),
-        r["check_age_days"].alias("age_days"),
-        or_default("signature_present", False, False),
-        or_default("is_stale_dated", False, False),
-        or_default("is_post_dated", False, False),
-        or_default("check_condition", "fair", "poor"),
-        or_default("requires_manual_review", False, True),
-        F.coalesce(r["raw_text"], F.when(failed, F.col("response")), F.lit("")).alias("raw_text"),
-        or_default("confidence", 50, 0),
-        F.struct(*(F.when(failed, F.lit(0)).otherwise(F.coalesce(r["field_confidences"][f], F.lit(50))).alias(f) for f in CONFIDENCE_FIELDS)).alias("field_confidences"),
+        field("memo").alias("memo"),
+        flag("signature_present"),
+        field("signature_matches_payor", "boolean").alias("signature_matches_payor"),
+        field("amounts_match", "boolean").alias("amounts_match"),
+        field("check_age_days", "double").cast("int").alias("age_days"),
+        flag("is_stale_dated"),
+        flag("is_post_dated"),
+        or_default("check_condition", "string", "fair", "poor"),
+        flag("requires_manual_review", True),
+        F.when(failed, F.coalesce(F.col(text), F.lit(""))).when(F.map_contains_key(r, "raw_text"), r["raw_text"]).otherwise("").alias("raw_text"),
+        or_default("confidence", "double", 50.0, 0.0),
+        sureness.alias("field_confidences"),
+        F.when(failed, "response is not a JSON object").alias("error"),
     )
 
 
 def flat_fields(df: DataFrame) -> DataFrame:
     """The short field list that later steps use, with the customer's name."""
-    name = scalars.payor_name(F.lit(None).cast("string"), F.col("payor.full_name"), F.col("payor.first_name"), F.col("payor.middle_name"), F.col("payor.last_name"))
-    return df.withColumn("customer_name", name)
+    parts = (F.col(f"payor.{f}") for f in ("full_name", "first_name", "middle_name", "last_name"))
+    return df.withColumn("customer_name", scalars.payor_name(F.lit(None).cast("string"), *parts, text=F.col("payor_text")))

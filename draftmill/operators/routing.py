@@ -13,12 +13,16 @@ ROUTES = ("failed", "duplicate", "manual_review", "processed")
 
 
 def judge(raw: DataFrame, as_of: str, settings: Settings = Settings()) -> DataFrame:
-    """Scores, ages, flags, review reasons, duplicates and the route of each submission."""
+    """Scores, ages, flags, review reasons, duplicates and the route of each submission; raw is read twice, for its keys."""
+    return dedup.mark_duplicates(judge_alone(raw, as_of, settings), keys=raw).withColumn("route", route())
+
+
+def judge_alone(raw: DataFrame, as_of: str, settings: Settings = Settings()) -> DataFrame:
+    """What a submission's own fields tell: all but duplicates and the route."""
     df = scoring.with_scores(raw)
     df = scoring.with_age(df, F.lit(as_of).cast("date"), scalars.any_date(F.col("check_date")), settings.stale_days)
     df = df.withColumn("flagged", scoring.review_flag(settings.prompt_confidence, settings.field_confidence))
-    df = df.withColumn("review_reason", scoring.review_reason(settings.review_confidence))
-    return dedup.mark_duplicates(df).withColumn("route", route())
+    return df.withColumn("review_reason", scoring.review_reason(settings.review_confidence))
 
 
 def route() -> Column:
@@ -45,10 +49,9 @@ def batch_outcome(judged: DataFrame, settings: Settings = Settings()) -> DataFra
 
 
 def work_units(pages: DataFrame, detections: DataFrame) -> DataFrame:
-    """One unit a detection, or the full page where there is none; with the scenario of the file."""
-    found = detections.groupBy("file", "page").agg(F.count("*").alias("n"))
-    per_page = pages.join(found, ["file", "page"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    shape = per_page.groupBy("file").agg(F.count("*").alias("pages"), F.sum("n").alias("found"))
-    scenario = F.when(F.col("pages") > 1, "multi_page").when(F.col("found") == 0, "full_page").when(F.col("found") == 1, "single_crop").otherwise("multi_check")
-    units = pages.join(detections, ["file", "page"], "left").withColumn("used_detection", F.col("det").isNotNull())
-    return units.join(shape.select("file", scenario.alias("scenario")), "file")
+    """One unit a detection, numbered from 0 on its page, or the full page where there is none; with the scenario of the file."""
+    units = pages.join(detections, "page", "left").withColumn("used_detection", F.col("det").isNotNull())
+    file = Window.partitionBy("file")  # a file's own pages
+    n_pages, found = F.sum(F.when(F.coalesce("det", F.lit(0)) == 0, 1)).over(file), F.count("det").over(file)
+    scenario = F.when(n_pages > 1, "multi_page").when(found == 0, "full_page").when(found == 1, "single_crop").otherwise("multi_check")
+    return units.withColumn("scenario", scenario)

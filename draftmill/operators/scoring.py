@@ -100,8 +100,8 @@ def with_age(df: DataFrame, as_of: Column, day: Column, stale_days: int) -> Data
 
 
 def review_flag(prompt_confidence: float, field_threshold: float) -> Column:
-    """The review flag as the extraction rules define it."""
-    low = reduce(Column.__or__, (F.coalesce(F.col(f"fc_{f}") < field_threshold, F.lit(False)) for f in ("amount", "routing_number", "account_number")))
+    """The review flag as the extraction rules define it; ``payee_confidence`` is the extraction's own, the other fields' are scored here."""
+    low = reduce(Column.__or__, (F.coalesce(F.col(c) < field_threshold, F.lit(False)) for c in ("fc_amount", "payee_confidence", "fc_routing_number", "fc_account_number")))
     return (F.col("confidence") < prompt_confidence) | F.coalesce(~F.col("amounts_match"), F.lit(False)) | low | (F.col("check_condition") == "poor") | F.col("is_stale") | F.col("is_post_dated")
 
 

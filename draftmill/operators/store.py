@@ -17,10 +17,15 @@ INSERT_COLUMNS = (
 MAPPING_REQUIRED = ("check_id", "routing_number", "account_number", "check_number", "amount", "check_date")
 
 
-def insert_rows(df: DataFrame, now: Column) -> DataFrame:
-    """Stamps new rows and gives them the default status; all supplied columns stay."""
+def insert_rows(df: DataFrame, now: Column, listed_only: bool = False) -> DataFrame:
+    """Stamps new rows and gives them the default status; all supplied columns stay.
+
+    ``listed_only`` gives the columns that a plain insert lists, null where none
+    was supplied, and drops all others.
+    """
     status = F.coalesce(F.col("status"), F.lit("pending")) if "status" in df.columns else F.lit("pending")
-    return df.withColumns({"status": status, "created_at": now, "updated_at": now})
+    out = df.withColumns({"status": status, "created_at": now, "updated_at": now})
+    return out.select(*(F.col(c) if c in out.columns else F.lit(None).cast("string").alias(c) for c in INSERT_COLUMNS)) if listed_only else out
 
 
 def update_rows(table: DataFrame, key: str, changes: DataFrame, columns: list[str], now: Column) -> DataFrame:
@@ -79,8 +84,9 @@ def entity_listing(accounts: DataFrame) -> DataFrame:
 
 
 def grouped_listing(accounts: DataFrame) -> DataFrame:
-    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "id"))), lambda x: x["name"]), "|")
-    return accounts.where("active").groupBy("type").agg(names.alias("names"), F.count("*").alias("n"))
+    """Active entities with the size of their type, by type, then name: rows, as a type may have any number of members."""
+    sizes = accounts.where("active").groupBy("type").agg(F.count("*").alias("n"))
+    return accounts.where("active").join(sizes, "type").orderBy("type", "name", "id").select("type", "name", "id", "n")
 
 
 def find_customers(checks: DataFrame, customers: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from draftmill.sources.workdir import shared
+
 AS_OF = "1998-08-02"
 
 
@@ -43,11 +45,19 @@ def checks_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_name").alias("customer_name"),
         F.col("n_name").alias("state"),
         F.when(k % 6 == 0, F.concat(F.lit("order "), k.cast("string"))).alias("memo"),
-        (k % 500).alias("file"),
+        F.when(k % 29 != 0, 45 + (11 * k) % 56).cast("int").alias("payee_confidence"),
+        F.expr("k div 8").alias("file"),
         (k % 3).alias("page"),
     )
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df as a stored table: a relation that several branches of a plan read is derived once, and a lost executor never makes it run again."""
+    path = shared(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 CHECKS_RAW_SQL = """
 o AS (
   SELECT o_orderkey AS k, o_custkey, o_totalprice, CAST(o_orderdate AS DATE) AS d, o_orderpriority, c_name, c_nationkey, n_name,
@@ -70,7 +80,8 @@ checks_raw AS (
     CASE WHEN k % 71 = 0 THEN 'unreadable response' END AS error,
     c_name AS customer_name, n_name AS state,
     CASE WHEN k % 6 = 0 THEN 'order ' || CAST(k AS VARCHAR) END AS memo,
-    k % 500 AS file, k % 3 AS page
+    CASE WHEN k % 29 <> 0 THEN CAST(45 + (11 * k) % 56 AS INT) END AS payee_confidence,
+    k // 8 AS file, k % 3 AS page
   FROM q)"""
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from draftmill.functions import ids, scalars, validation
-from draftmill.operators import dedup, detect, extraction, payload, routing, scoring, store
-from draftmill.plans.fixtures import AS_OF, CHECKS_RAW_SQL, COMPONENTS_SQL, checks_raw, components, table
+from draftmill.operators import dedup, detect, extraction, outcomes, payload, routing, scoring, store
+from draftmill.plans.fixtures import AS_OF, CHECKS_RAW_SQL, COMPONENTS_SQL, checks_raw, components, stored, table
 from draftmill.plans.settings import Settings
 from draftmill.sources import pixels
 from draftmill.sources.workdir import shared
@@ -32,7 +32,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def judged(spark: SparkSession, d: str) -> DataFrame:
-    return routing.judge(checks_raw(spark, d), AS_OF)
+    return routing.judge(stored(checks_raw(spark, d), "raw"), AS_OF)
+
+
+def judged_alone(spark: SparkSession, d: str) -> DataFrame:
+    """Without duplicates and routes, for what asks for neither."""
+    return routing.judge_alone(checks_raw(spark, d), AS_OF)
 
 
 RAW = f"WITH {CHECKS_RAW_SQL} "
@@ -58,7 +63,7 @@ s AS (
     coalesce(age_days > 180, false) AS is_stale, coalesce(age_days < 0, false) AS is_post_dated FROM f),
 t AS (
   SELECT *, round(char_score * 0.4e0 + format_score * 0.2e0 + checksum_score * 0.2e0 + 0e0 * 0.2e0, 6) AS overall,
-    confidence < 75 OR coalesce(NOT amounts_match, false) OR coalesce(fc_amount < 60, false) OR coalesce(fc_routing_number < 60, false) OR coalesce(fc_account_number < 60, false)
+    confidence < 75 OR coalesce(NOT amounts_match, false) OR coalesce(fc_amount < 60, false) OR coalesce(fc_routing_number < 60, false) OR coalesce(fc_account_number < 60, false) OR coalesce(payee_confidence < 60, false)
       OR check_condition = 'poor' OR is_stale OR is_post_dated AS flagged FROM s),
 u AS (
   SELECT *, concat_ws(', ', CASE WHEN is_post_dated THEN 'post-dated (' || abs(age_days) || ' days in future)' END, CASE WHEN is_stale THEN 'stale-dated (' || age_days || ' days old)' END,
@@ -137,7 +142,7 @@ def _accounts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), (F.col("p_size") % 5 != 0).alias("active"))
 
 
-@query("f13_grouped_listing", "SELECT p_type AS type, string_agg(p_name, '|' ORDER BY p_name, p_partkey) AS names, count(*) AS n FROM part WHERE p_size % 5 <> 0 GROUP BY p_type")
+@query("f13_grouped_listing", "SELECT p_type AS type, p_name AS name, p_partkey AS id, count(*) OVER (PARTITION BY p_type) AS n FROM part WHERE p_size % 5 <> 0 ORDER BY p_type, p_name, p_partkey")
 def grouped_listing(spark: SparkSession, d: str) -> DataFrame:
     return store.grouped_listing(_accounts(spark, d))
 
@@ -164,6 +169,17 @@ def customers_to_create(spark: SparkSession, d: str) -> DataFrame:
     return store.customers_to_create(checks_raw(spark, d), _customers(spark, d))
 
 
+_LISTED = "check_id shareable_id check_number routing_number account_number amount check_date customer_name customer_id email_uid email_from email_subject email_received_at ocr_confidence status image_path image_filename created_at updated_at metadata".split()
+_GIVEN = {"check_id": "'c' || rid", "check_number": "check_number", "routing_number": "routing_number", "account_number": "account_number", "amount": "amount", "check_date": "check_date", "customer_name": "customer_name", "email_uid": "CAST(file AS VARCHAR)", "ocr_confidence": "confidence", "status": "CASE WHEN rid % 4 = 0 THEN 'processed' ELSE 'pending' END", "created_at": "TIMESTAMP '1998-08-02 00:00:00'", "updated_at": "TIMESTAMP '1998-08-02 00:00:00'"}
+
+
+@query("b01_insert_listed", RAW + "SELECT " + ", ".join(f"{_GIVEN.get(c, 'CAST(NULL AS VARCHAR)')} AS {c}" for c in _LISTED) + " FROM checks_raw")
+def insert_listed(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 columns of a plain insert; what else the rows have is dropped, what they lack is null."""
+    rows = checks_raw(spark, d).withColumns({"check_id": F.concat(F.lit("c"), F.col("rid").cast("string")), "email_uid": F.col("file").cast("string"), "ocr_confidence": F.col("confidence"), "status": F.when(F.col("rid") % 4 == 0, "processed"), "processed_at": F.lit("dropped")})
+    return store.insert_rows(rows, F.lit(AS_OF).cast("timestamp_ntz"), listed_only=True)
+
+
 @query("b01_insert", RAW + "SELECT rid, 'pending' AS status, TIMESTAMP '1998-08-02 00:00:00' AS created_at, TIMESTAMP '1998-08-02 00:00:00' AS updated_at FROM checks_raw")
 def insert(spark: SparkSession, d: str) -> DataFrame:
     return store.insert_rows(checks_raw(spark, d), F.lit(AS_OF).cast("timestamp_ntz")).select("rid", "status", "created_at", "updated_at")
@@ -184,11 +200,6 @@ def insert_or_ignore(spark: SparkSession, d: str) -> DataFrame:
     return store.insert_or_ignore(raw, raw.where("rid % 10 = 0"), "check_number", ("check_number", "amount"), "rid")
 
 
-@query("b06_b08_stored_rows", JUDGED + "SELECT rid, route, CASE WHEN route = 'failed' THEN 'error_' || rid END AS error_id FROM judged WHERE route <> 'duplicate'")
-def stored_rows(spark: SparkSession, d: str) -> DataFrame:
-    return judged(spark, d).where("route <> 'duplicate'").select("rid", "route", F.when(F.col("route") == "failed", F.concat(F.lit("error_"), F.col("rid").cast("string"))).alias("error_id"))
-
-
 # ------------------------------------------------------------------ scalars
 
 
@@ -217,47 +228,29 @@ def dates(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("c11_c20_c22_c23_notice", RAW + "SELECT rid, CASE WHEN amount IS NULL THEN 'N/A' ELSE printf('$%,.2f', amount) END AS amount, CASE WHEN confidence >= 90 THEN '#2ca01c' WHEN confidence >= 70 THEN '#f39c12' ELSE '#e74c3c' END AS colour, coalesce(TRY_CAST(check_date AS DOUBLE), 0e0) AS number, coalesce(check_date, 'N/A') AS date FROM checks_raw")
-def notice(spark: SparkSession, d: str) -> DataFrame:
+def notice_formats(spark: SparkSession, d: str) -> DataFrame:
     return checks_raw(spark, d).select("rid", scalars.money(F.col("amount")).alias("amount"), scalars.colour(F.col("confidence")).alias("colour"), scalars.safe_number(F.col("check_date")).alias("number"), F.coalesce("check_date", F.lit("N/A")).alias("date"))
 
 
-@query("c14_notes", JUDGED + "SELECT rid, concat_ws(chr(10), 'Memo: ' || memo, 'MICR: ' || routing_number || ' ' || account_number) AS note FROM judged")
-def notes(spark: SparkSession, d: str) -> DataFrame:
-    micr = F.concat("routing_number", F.lit(" "), "account_number")
-    return checks_raw(spark, d).select("rid", payload.minimal_note(F.col("memo"), micr).alias("note"))
+_INFO_SQL = "coalesce(check_number, 'N/A') AS i_number, coalesce(CAST(amount AS VARCHAR), '0') AS i_amount, CASE WHEN rid % 5 = 0 THEN customer_name ELSE 'N/A' END AS i_payee, CASE WHEN rid % 3 = 0 THEN customer_name WHEN rid % 3 = 1 THEN 'Ann ' || state ELSE 'Unknown' END AS i_payor, coalesce(check_date, 'N/A') AS i_date, CAST(confidence AS DOUBLE) AS i_confidence"
 
 
-_BANK = "concat_ws(chr(10), 'Routing Number: ' || nullif(routing_number, ''), 'Account Number: ' || nullif(account_number, ''))"
+def _info() -> Column:
+    payor, payee = F.when(F.col("rid") % 3 == 0, F.col("customer_name")), F.when(F.col("rid") % 5 == 0, F.col("customer_name")).otherwise("")
+    sender = F.when(F.col("rid") % 3 == 1, F.concat(F.lit('"Ann '), F.col("state"), F.lit('" <ann@bank.example>'))).otherwise("<no@name.example>")
+    return payload.check_info(F.col("check_number"), F.col("amount"), payee, payor, sender, F.col("check_date"), F.col("confidence"))
 
 
-@query(
-    "c14_full_note",
-    JUDGED
-    + f"""SELECT rid, concat_ws(chr(10), 'Check #' || coalesce(check_number, 'Unknown') || ' from ' || customer_name, '', 'Payor Information:' || chr(10) || 'Name: ' || customer_name || chr(10),
-CASE WHEN {_BANK} <> '' THEN 'Bank Information:' || chr(10) || {_BANK} || chr(10) END, 'Memo: ' || memo || chr(10), 'Amount Details:', 'Numeric: $' || printf('%,.2f', coalesce(amount, 0)),
-CASE WHEN amounts_match THEN 'Amounts Match: ✓' WHEN NOT amounts_match THEN 'Amounts Match: ✗ WARNING - MISMATCH!' END, '', 'Validation:', 'Check Condition: ' || check_condition,
-'Check Age: ' || age_days || CASE WHEN age_days < 0 THEN ' days (POST-DATED)' ELSE ' days' END, CASE WHEN is_post_dated THEN 'Post-Dated: ✓ WARNING' END, CASE WHEN is_stale THEN 'Stale-Dated: ✓ WARNING - >180 days old' END,
-CASE WHEN flagged THEN 'Requires Manual Review: ✓' END, '', 'Confidence: ' || confidence || '%') AS note FROM judged""",
-)
-def full_note(spark: SparkSession, d: str) -> DataFrame:
-    c = {k: F.col(v) for k, v in {"check_number": "check_number", "payor": "customer_name", "routing": "routing_number", "account": "account_number", "memo": "memo", "amount": "amount", "amounts_match": "amounts_match", "condition": "check_condition", "age": "age_days", "post": "is_post_dated", "stale": "is_stale", "review": "flagged", "confidence": "confidence"}.items()}
-    return judged(spark, d).select("rid", payload.full_note(c).alias("note"))
+@query("c11_notice", RAW + f"SELECT rid, {_INFO_SQL} FROM checks_raw")
+def notice(spark: SparkSession, d: str) -> DataFrame:
+    names = ("check_number", "amount", "payee", "payor", "date", "confidence")
+    return checks_raw(spark, d).withColumn("i", _info()).select("rid", *(F.col(f"i.{n}").alias(f"i_{n.removeprefix('check_')}") for n in names))
 
 
-@query(
-    "c15_c17_receipt",
-    JUDGED
-    + """SELECT rid, '{"CustomerRef":{"value":"' || customer_name || '"},"TxnDate":"' || CASE WHEN try_strptime(check_date, '%m/%d/%Y') IS NULL AND try_strptime(check_date, '%Y-%m-%d') IS NOT NULL THEN check_date ELSE strftime(coalesce(CAST(try_strptime(check_date, '%m/%d/%Y') AS DATE), DATE '1998-08-02'), '%Y-%m-%d') END
-|| '","DocNumber":"' || rid || '"' || coalesce(',"PaymentRefNum":"' || check_number || '"', '') || ',"PaymentMethodRef":{"value":"1"},"DepositToAccountRef":{"value":"2"},"Line":[{' || coalesce('"Amount":' || CAST(amount AS VARCHAR) || ',', '')
-|| '"DetailType":"SalesItemLineDetail","SalesItemLineDetail":{"ItemRef":{"value":"3"}},"Description":"Check #' || coalesce(check_number, 'None') || '"}],"PrivateNote":"' || coalesce('Memo: ' || memo, '') || '","BillAddr":{"CountrySubDivisionCode":"' || state || '","Country":"USA"}}' AS payload
-FROM judged WHERE route = 'processed'""",
-)
-def receipts(spark: SparkSession, d: str) -> DataFrame:
-    null = F.lit(None).cast("string")
-    address = payload.bill_address(null, null, F.col("state"), F.lit(""), F.lit("USA"))
-    date = scalars.iso_from_any(F.col("check_date"), F.lit(AS_OF).cast("date"))
-    body = payload.receipt(F.col("rid").cast("string"), F.col("check_number"), date, F.col("amount"), F.col("customer_name"), payload.minimal_note(F.col("memo"), null), address, "1", "2", "3")
-    return judged(spark, d).where("route = 'processed'").select("rid", body.alias("payload"))
+@query("c14_notes", RAW + "SELECT rid, concat_ws(chr(10), 'Memo: ' || memo, 'MICR: ' || routing_number || ' ' || account_number) AS note FROM checks_raw")
+def notes(spark: SparkSession, d: str) -> DataFrame:
+    micr = F.concat("routing_number", F.lit(" "), "account_number")
+    return checks_raw(spark, d).select("rid", payload.minimal_note(F.col("memo"), micr).alias("note"))
 
 
 @query("c19_c21_d01_attachments", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'application/pdf' WHEN 2 THEN 'image/tiff' ELSE 'application/octet-stream' END AS kind, trim(regexp_replace(p_name || '#?', '[^A-Za-z0-9 _-]', '', 'g')) AS saved, p_partkey % 4 < 2 AS usable FROM part")
@@ -287,24 +280,54 @@ def _row(label: str, value: str) -> str:
     return f"""'<div class="detail-row"><span class="label">{label}:</span> <span class="value">' || {value} || '</span></div>'"""
 
 
-@query(
-    "c27_details_html",
-    JUDGED
-    + """SELECT rid, '<div class="callout" style="border-left-color:#f39c12"><h3>Review</h3><p>' || coalesce(review_reason, '') || '</p></div><div class="check-details"><h3>Check Information</h3>' || """
-    + " || ".join([_row("Check Number", "coalesce(check_number, 'N/A')"), _row("Amount", "CASE WHEN amount IS NULL THEN 'N/A' ELSE printf('$%,.2f', amount) END"), _row("Payor", "customer_name"), _row("Date", "coalesce(check_date, 'N/A')")])
-    + " || '</div>' AS html FROM judged",
+_SCORE = "printf('%.1f', i_confidence) || '%'"
+_MONEY = "printf('$%,.2f', CAST(i_amount AS DOUBLE))"
+_COLOUR = "CASE WHEN i_confidence >= 90 THEN '#2ca01c' WHEN i_confidence >= 70 THEN '#f39c12' ELSE '#e74c3c' END"
+_DETAILS_TEXT = f"concat_ws(chr(10), 'Check Information:', 'Check Number: ' || i_number, 'Amount: ' || {_MONEY}, 'Payee: ' || i_payee, 'Payor: ' || i_payor, 'Date: ' || i_date, 'Confidence Score: ' || {_SCORE})"
+_DETAILS_HTML = (
+    "'<div class=\"check-details\"><h3>Check Information</h3>' || "
+    + " || ".join([_row("Check Number", "i_number"), _row("Amount", _MONEY), _row("Payee", "i_payee"), _row("Payor", "i_payor"), _row("Date", "i_date")])
+    + " || "
+    + _row("Confidence Score", f"""'<span style="color:' || {_COLOUR} || ';font-weight:bold">' || {_SCORE} || '</span>'""")
+    + " || '</div>'"
 )
-def details_html(spark: SparkSession, d: str) -> DataFrame:
-    rows = [("Check Number", F.col("check_number")), ("Amount", scalars.money(F.col("amount"))), ("Payor", F.col("customer_name")), ("Date", F.col("check_date"))]
-    return judged(spark, d).select("rid", F.concat(payload.callout_html("Review", "#f39c12", F.coalesce("review_reason", F.lit(""))), payload.details_html(rows)).alias("html"))
 
 
-@query(
-    "c27_details_text",
-    RAW + "SELECT rid, concat_ws(chr(10), 'Check Information:', 'Check Number: ' || coalesce(check_number, 'N/A'), 'Amount: ' || CASE WHEN amount IS NULL THEN 'N/A' ELSE printf('$%,.2f', amount) END, 'Payee: N/A', 'Payor: ' || customer_name, 'Date: ' || coalesce(check_date, 'N/A'), 'Confidence Score: ' || printf('%.1f', CAST(confidence AS DOUBLE)) || '%') AS text FROM checks_raw",
-)
+@query("c27_details_text", RAW + f"SELECT rid, {_DETAILS_TEXT} AS text FROM (SELECT rid, {_INFO_SQL} FROM checks_raw)")
 def details_text(spark: SparkSession, d: str) -> DataFrame:
-    return checks_raw(spark, d).select("rid", payload.details_text(F.col("check_number"), F.col("amount"), F.lit(None).cast("string"), F.col("customer_name"), F.col("check_date"), F.col("confidence")).alias("text"))
+    return checks_raw(spark, d).withColumn("i", _info()).select("rid", payload.details_text(F.col("i")).alias("text"))
+
+
+@query("c27_details_html", JUDGED + f"""SELECT rid, '<div class="callout" style="border-left-color:#f39c12"><h3>Review</h3>' || coalesce('<p>' || review_reason || '</p>', '') || '</div>' || {_DETAILS_HTML} AS html FROM (SELECT rid, review_reason, {_INFO_SQL} FROM judged)""")
+def details_html(spark: SparkSession, d: str) -> DataFrame:
+    return judged_alone(spark, d).withColumn("i", _info()).select("rid", F.concat(payload.callout_html("Review", "#f39c12", F.col("review_reason")), payload.details_html(F.col("i"))).alias("html"))
+
+
+def _mail_sql() -> str:
+    texts, pages, subjects = [], [], []
+    for kind, (suffix, header, accent, title) in payload.MAILS.items():
+        line = "'Check #' || i_number" if kind == "processed" else "coalesce(why, '')"
+        closing = "'View receipt: ' || link" if kind == "processed" else "NULL"
+        data = "NULL" if kind == "failed" else "'Extracted Data (JSON):' || chr(10) || record"
+        texts.append(f"WHEN '{kind}' THEN concat_ws(chr(10) || chr(10), concat_ws(chr(10), '{title}', nullif({line}, '')), {_DETAILS_TEXT}, {closing}, {data}, '---' || chr(10) || 'Automated Check Processing System')")
+        button = """'<a class="button" href="' || replace(link, '&', '&amp;') || '">View receipt</a>'""" if kind == "processed" else "NULL"
+        json = "NULL" if kind == "failed" else """'<div class="check-details"><h3>Extracted Data (JSON)</h3><pre>' || replace(record, '"', '&quot;') || '</pre></div>'"""
+        callout = f"""'<div class="callout" style="border-left-color:{accent}"><h3>{title}</h3>' || CASE WHEN {line} <> '' THEN '<p>' || {line} || '</p>' ELSE '' END || '</div>'"""
+        pages.append(f"""WHEN '{kind}' THEN '<html><body><div class="header" style="background-color:{accent};color:white"><h1>{header}</h1></div><div class="content">' || concat_ws('', {callout}, {_DETAILS_HTML}, {button}, {json}) || '</div><div class="footer"><p>Automated Check Processing System</p></div></body></html>'""")
+        subjects.append(f"WHEN '{kind}' THEN CASE WHEN rid % 2 = 0 THEN 'Re: scan' ELSE 'Re: Check #' || i_number || ' {suffix}' END")
+    link = "'https://app.qbo.intuit.com/app/salesreceipt?txnId=' || rid || '&companyid=9'"
+    rows = f"""SELECT rid, route, coalesce(error, review_reason) AS why, {link} AS link, '{{"rid":' || rid || '}}' AS record, {_INFO_SQL} FROM judged"""
+    return JUDGED + f"SELECT rid, CASE route {' '.join(subjects)} END AS subject, CASE route {' '.join(texts)} END AS text, CASE route {' '.join(pages)} END AS html FROM ({rows})"
+
+
+@query("b14_r07_mails", _mail_sql())
+def mails(spark: SparkSession, d: str) -> DataFrame:
+    """The notification of each submission by its route."""
+    rows = judged(spark, d).withColumn("i", _info())
+    subject = F.when(F.col("rid") % 2 == 0, "scan").otherwise("")
+    link = scalars.receipt_url(F.col("rid").cast("string"), F.lit("9"), "production")
+    mail = payload.mail(F.col("route"), subject, F.col("i"), F.coalesce("error", "review_reason"), link, F.to_json(F.struct("rid")))
+    return rows.withColumn("m", mail).select("rid", "m.subject", "m.text", "m.html")
 
 
 @query(
@@ -374,6 +397,14 @@ def highlights(spark: SparkSession, d: str) -> DataFrame:
     return joined.where(validation.account_highlight(F.col("p_name"), F.when(F.col("p_type") == F.col("least"), "Bank").otherwise(""))).select("p_partkey", "p_name", "p_type")
 
 
+@query("d09_items_and_methods", "SELECT p_partkey, k IN (0, 1) AS item, k = 3 AS method FROM (SELECT p_partkey, p_partkey % 5 AS k FROM part)")
+def items_and_methods(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey") % 5
+    kind = F.when(k == 0, "Service").when(k == 1, "NonInventory").when(k == 2, "Inventory")
+    name = F.when(k == 3, "Paper CHECK").otherwise("Cash")
+    return table(spark, d, "part").select("p_partkey", F.coalesce(validation.item_highlight(kind), F.lit(False)).alias("item"), validation.payment_highlight(name).alias("method"))
+
+
 @query("d13_token_expiry", "SELECT event_id, TIMESTAMP '2024-01-15 00:00:00' >= ts - INTERVAL 5 MINUTES AS expiring FROM events")
 def token_expiry(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", validation.token_expiring(F.lit("2024-01-15 00:00:00").cast("timestamp"), F.col("ts")).alias("expiring"))
@@ -418,12 +449,12 @@ def recommendation(spark: SparkSession, d: str) -> DataFrame:
 
 @query("e10_review_reason", JUDGED + "SELECT rid, review_reason FROM judged")
 def review_reason(spark: SparkSession, d: str) -> DataFrame:
-    return judged(spark, d).select("rid", "review_reason")
+    return judged_alone(spark, d).select("rid", "review_reason")
 
 
 @query("e11_e12_flags", JUDGED + "SELECT rid, age_days, is_stale, is_post_dated, flagged FROM judged")
 def flags(spark: SparkSession, d: str) -> DataFrame:
-    return judged(spark, d).select("rid", "age_days", "is_stale", "is_post_dated", "flagged")
+    return judged_alone(spark, d).select("rid", "age_days", "is_stale", "is_post_dated", "flagged")
 
 
 @query("e13_e14_route", JUDGED + "SELECT rid, is_duplicate, route FROM judged")
@@ -551,19 +582,22 @@ def h_total(spark: SparkSession, d: str) -> DataFrame:
 # ----------------------------------------------------------- routing, batches
 
 
+#: Every page is in a file of one, two or three pages: six pages make three files.
+_FILE = "page // 6 * 3 + CASE page % 6 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 2 END"
+
+
 @query(
     "r01_work_units",
     _BOXES
-    + """, pages AS (SELECT DISTINCT page FROM components), pf AS (SELECT page, page // 4 AS file FROM pages WHERE page % 16 <> 0 AND page % 4 < 1 + (page // 4) % 3),
+    + f""", pf AS (SELECT DISTINCT page, {_FILE} AS file FROM components),
 dets AS (SELECT file, page, det FROM pf JOIN detections USING (page)),
 shape AS (SELECT file, count(DISTINCT page) AS pages, count(det) AS found FROM pf LEFT JOIN dets USING (file, page) GROUP BY file)
 SELECT file, page, det, det IS NOT NULL AS used_detection, CASE WHEN pages > 1 THEN 'multi_page' WHEN found = 0 THEN 'full_page' WHEN found = 1 THEN 'single_crop' ELSE 'multi_check' END AS scenario FROM pf LEFT JOIN dets USING (file, page) JOIN shape USING (file)""",
 )
 def work_units(spark: SparkSession, d: str) -> DataFrame:
-    c = components(spark, d)
-    pages = c.select("page").distinct().withColumn("file", F.expr("page div 4")).where("page % 16 <> 0 and page % 4 < 1 + file % 3")
-    dets = detect.detect(c).select("page", "det").join(pages, "page").select("file", "page", "det")
-    return routing.work_units(pages, dets).select("file", "page", "det", "used_detection", "scenario")
+    page = F.expr("l_orderkey div 8")
+    pages = table(spark, d, "lineitem").select(page.alias("page")).distinct().withColumn("file", F.expr(_FILE.replace("//", "div")))
+    return routing.work_units(pages, detect.detect(components(spark, d)).select("page", "det")).select("file", "page", "det", "used_detection", "scenario")
 
 
 @query("r02_r03_batch_items", JUDGED + "SELECT rid, file, row_number() OVER (PARTITION BY file ORDER BY page, rid) - 1 AS item FROM judged")
@@ -619,52 +653,195 @@ def explode_lists(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _responses(spark: SparkSession, d: str) -> DataFrame:
-    """Extraction responses: most are valid, some have a bare key, some are no JSON."""
-    raw = checks_raw(spark, d)
-    record = F.to_json(
-        F.struct(
-            "check_number",
-            F.col("check_date").alias("date"),
-            F.concat(F.lit("$"), F.format_number("amount", 2)).alias("amount_numeric"),
-            "routing_number",
-            "account_number",
-            F.when(F.col("rid") % 3 == 0, F.struct(F.col("customer_name").alias("full_name"))).alias("payor_name"),
-            "amounts_match",
-            F.when(F.col("rid") % 4 != 0, F.col("check_condition")).alias("check_condition"),
-            F.when(F.col("rid") % 7 != 0, F.col("confidence")).alias("confidence"),
-            F.concat(F.lit("text "), F.col("rid").cast("string")).alias("raw_text"),
-        )
+    """Extraction responses as models give them: whole, partial, with null and mistyped fields, with a bare key or a lacking comma, cut off, or no JSON."""
+    raw, k = checks_raw(spark, d), F.col("rid")
+    null, quote = F.lit(None).cast("string"), F.lit('"')
+
+    def text(x: Column) -> Column:
+        return F.coalesce(F.concat(quote, x, quote), F.lit("null"))
+
+    def member(name: str, value: Column, given: Column | None = None) -> Column:
+        one = F.concat(F.lit(f'"{name}":'), value)
+        return one if given is None else F.when(given, one)
+
+    joint = F.when(k % 6 == 0, ',"is_joint":true').otherwise("")
+    name = F.when(k % 3 == 0, F.concat(F.lit('{"full_name":"'), F.col("customer_name"), quote, joint, F.lit("}"))).when(k % 3 == 1, F.lit('"Ann Lee"')).otherwise("null")
+    place = F.when(k % 4 == 0, F.concat(F.lit('{"street":"1 Elm","city":"Troy","state":"'), F.col("state"), F.lit('","zip":"12180","country":"Peru"}'))).when(k % 4 == 1, F.lit('["1 Elm"]')).otherwise("null")
+    flag = F.when(k % 3 == 0, "true").when(k % 3 == 1, "false").otherwise("null")
+    body = F.concat_ws(
+        ",",
+        member("check_number", F.when(k % 2 == 0, F.coalesce("check_number", F.lit("null"))).otherwise(text(F.col("check_number")))),
+        member("date", text(F.col("check_date"))),
+        member("amount_numeric", F.coalesce(F.when(k % 2 == 0, F.col("amount").cast("string")).otherwise(F.concat(F.lit('"$'), F.format_number("amount", 2), quote)), F.lit("null"))),
+        member("amount_written", F.lit('"ten \\"and\\" 00/100"'), k % 5 == 0),
+        member("payor_name", name),
+        member("payor_address", place),
+        member("payee", F.lit('"Bo, {x}: y"'), k % 7 != 0),
+        member("bank_name", text(F.when(k % 8 == 0, "First Bank")), k % 2 == 0),
+        member("bank_address", F.lit('"2 Oak"'), k % 9 == 0),
+        member("micr_line", F.lit('"⑆1⑆ 2"'), k % 9 == 1),
+        member("routing_number", F.when((k % 2 == 0) & ~F.col("routing_number").startswith("0"), F.col("routing_number")).otherwise(text(F.concat_ws("-", F.substring("routing_number", 1, 4), F.substring("routing_number", 5, 9))))),
+        member("account_number", F.when(k % 2 == 0, F.coalesce("account_number", F.lit("null"))).otherwise(text(F.concat(F.lit(" "), "account_number", F.lit(" "))))),
+        member("memo", text(F.col("memo"))),
+        member("signature_present", flag, k % 4 != 3),
+        member("signature_matches_payor", flag, k % 5 != 3),
+        member("amounts_match", F.coalesce(F.col("amounts_match").cast("string"), F.lit("null"))),
+        member("check_age_days", F.when(k % 2 == 0, "12.0").otherwise("-3"), k % 3 != 2),
+        member("is_stale_dated", flag, k % 6 != 5),
+        member("is_post_dated", F.lit("true"), k % 6 == 5),
+        member("check_condition", F.concat(quote, F.col("check_condition"), quote), k % 4 != 0),
+        member("requires_manual_review", flag, k % 7 != 6),
+        member("raw_text", F.concat(F.lit('"text '), k.cast("string"), quote)),
+        member("confidence", F.when(k % 7 == 1, "null").when(k % 7 == 2, "85.5").otherwise(F.col("confidence").cast("string")), k % 7 != 0),
+        member("field_confidences", F.when(k % 11 == 0, '{"payee":40,"memo":77.5}').otherwise('{"payee":null}'), k % 11 < 2),
     )
-    bare = F.regexp_replace(record, '"check_number":', "check_number: ")
-    return raw.select("rid", F.when(F.col("rid") % 10 == 6, "no json").when(F.col("rid") % 10 == 4, bare).otherwise(record).alias("response"))
-
-
-_PARSED = "CASE WHEN rid % 10 = 6 THEN 'failed' WHEN rid % 10 = 4 AND check_number IS NOT NULL THEN 'repaired' ELSE 'as_is' END"
+    bare = F.regexp_replace(body, '^"check_number":', "check_number: ")
+    run_on = F.regexp_replace(body, ',"date":', ' "date":')
+    cut = F.expr("substring(body, 1, length(body) - 9)")
+    whole = F.when(k % 10 == 6, F.lit("no json")).when(k % 10 == 4, F.concat(F.lit("{"), bare, F.lit("}"))).when(k % 10 == 8, F.concat(F.lit("{"), run_on, F.lit("}"))).when(k % 20 == 2, F.concat(F.lit("{"), cut)).otherwise(F.concat(F.lit("{"), F.col("body"), F.lit("}")))
+    return raw.withColumn("body", body).select("rid", whole.alias("response"), F.concat(F.lit("{"), F.col("body"), F.lit("}")).alias("meant"))
 
 
-@query(
-    "c01_c09_extraction",
+_BAD = "(rid % 10 = 6 OR rid % 20 = 2)"
+_PARSED = f"CASE WHEN {_BAD} THEN 'failed' WHEN rid % 10 IN (4, 8) THEN 'repaired' ELSE 'as_is' END"
+_FLAG = "CASE rid % 3 WHEN 0 THEN true WHEN 1 THEN false END"
+_EXTRACTED_SQL = (
     RAW
-    + f""", e AS (SELECT *, {_PARSED} AS parsed, rid % 10 <> 6 AS ok FROM checks_raw)
-SELECT rid, parsed, CASE WHEN ok THEN check_number END AS check_number, CASE WHEN ok THEN check_date END AS check_date, CASE WHEN ok THEN CAST(amount AS DOUBLE) END AS amount,
-CASE WHEN ok AND length(routing_number) = 9 THEN routing_number END AS routing_number, CASE WHEN ok THEN account_number END AS account_number, CASE WHEN ok THEN amounts_match END AS amounts_match,
-CASE WHEN NOT ok THEN 'poor' WHEN rid % 4 = 0 THEN 'fair' ELSE check_condition END AS check_condition, CASE WHEN NOT ok THEN 0 WHEN rid % 7 = 0 THEN 50 ELSE confidence END AS confidence, NOT ok AS requires_manual_review,
-CASE WHEN ok THEN 'text ' || rid ELSE 'no json' END AS raw_text, CASE WHEN ok AND rid % 3 = 0 THEN customer_name ELSE 'Unknown' END AS customer_name, CASE WHEN ok AND rid % 3 = 0 THEN false END AS is_joint, CASE WHEN ok THEN 50 ELSE 0 END AS fc_payee FROM e""",
+    + f""", b AS (SELECT *, {_PARSED} AS parsed, NOT {_BAD} AS ok FROM checks_raw),
+x AS (
+  SELECT rid, parsed, ok, CASE WHEN ok THEN check_number END AS check_number, CASE WHEN ok THEN check_date END AS check_date, CASE WHEN ok THEN CAST(amount AS DOUBLE) END AS amount,
+    CASE WHEN ok AND rid % 5 = 0 THEN 'ten "and" 00/100' END AS amount_written, CASE WHEN ok AND rid % 7 <> 0 THEN 'Bo, {{x}}: y' END AS payee,
+    CASE WHEN ok AND rid % 3 = 0 THEN customer_name END AS full_name, CASE WHEN ok AND rid % 3 = 0 THEN rid % 6 = 0 END AS is_joint, CASE WHEN ok AND rid % 3 = 1 THEN 'Ann Lee' END AS payor_text,
+    CASE WHEN ok AND rid % 4 = 0 THEN state END AS payor_state, CASE WHEN ok AND rid % 4 = 0 THEN '12180' END AS zip,
+    CASE WHEN ok AND rid % 8 = 0 THEN 'First Bank' END AS bank_name, CASE WHEN ok AND rid % 9 = 0 THEN '2 Oak' END AS bank_address, CASE WHEN ok AND rid % 9 = 1 THEN '⑆1⑆ 2' END AS micr_line,
+    CASE WHEN ok AND length(routing_number) = 9 THEN routing_number END AS routing_number, CASE WHEN ok THEN account_number END AS account_number, CASE WHEN ok THEN memo END AS memo,
+    CASE WHEN NOT ok OR rid % 4 = 3 THEN false ELSE {_FLAG} END AS signature_present, CASE WHEN ok AND rid % 5 <> 3 THEN {_FLAG} END AS signature_matches_payor, CASE WHEN ok THEN amounts_match END AS amounts_match,
+    CASE WHEN ok AND rid % 3 <> 2 THEN CASE WHEN rid % 2 = 0 THEN 12 ELSE -3 END END AS age_days, CASE WHEN NOT ok OR rid % 6 = 5 THEN false ELSE {_FLAG} END AS is_stale_dated, ok AND rid % 6 = 5 AS is_post_dated,
+    CASE WHEN NOT ok THEN 'poor' WHEN rid % 4 = 0 THEN 'fair' ELSE check_condition END AS check_condition, CASE WHEN NOT ok THEN true WHEN rid % 7 = 6 THEN false ELSE {_FLAG} END AS requires_manual_review,
+    CASE WHEN ok THEN 'text ' || rid END AS raw_text, CASE WHEN NOT ok THEN 0e0 WHEN rid % 7 = 0 THEN 50e0 WHEN rid % 7 = 1 THEN NULL WHEN rid % 7 = 2 THEN 85.5e0 ELSE CAST(confidence AS DOUBLE) END AS confidence,
+    CASE WHEN NOT ok THEN 0e0 WHEN rid % 11 = 0 THEN 40e0 WHEN rid % 11 = 1 THEN NULL ELSE 50e0 END AS fc_payee, CASE WHEN NOT ok THEN 0e0 WHEN rid % 11 = 0 THEN 77.5e0 ELSE 50e0 END AS fc_memo,
+    CASE WHEN NOT ok THEN 'response is not a JSON object' END AS error, CASE WHEN ok AND rid % 3 = 0 THEN customer_name WHEN ok AND rid % 3 = 1 THEN 'Ann Lee' ELSE 'Unknown' END AS customer_name FROM b)
+"""
 )
+_PLAIN = ("rid", "parsed", "check_number", "check_date", "amount", "amount_written", "payee", "payor_text", "bank_name", "bank_address", "micr_line", "routing_number", "account_number", "memo", "signature_present", "signature_matches_payor", "amounts_match", "age_days", "is_stale_dated", "is_post_dated", "check_condition", "requires_manual_review", "confidence", "error", "customer_name")
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.flat_fields(extraction.normalise(extraction.parse(_responses(spark, d))))
+
+
+@query("c01_c09_extraction", _EXTRACTED_SQL + f"SELECT {', '.join(_PLAIN)}, full_name, is_joint, payor_state, zip, coalesce(raw_text, 'unread') AS raw_text, fc_payee, fc_memo, 50e0 * CAST(ok AS INT) AS fc_date FROM x")
 def extracted(spark: SparkSession, d: str) -> DataFrame:
-    rows = extraction.flat_fields(extraction.normalise(extraction.parse(_responses(spark, d))))
-    names = ("rid", "parsed", "check_number", "check_date", "amount", "routing_number", "account_number", "amounts_match", "check_condition", "confidence", "requires_manual_review", "raw_text", "customer_name")
-    return rows.select(*names, F.col("payor.is_joint").alias("is_joint"), F.col("field_confidences.payee").alias("fc_payee"))
+    sure = F.col("field_confidences")
+    raw = F.when((F.col("parsed") == "failed") & (F.col("raw_text") == F.col("response")), "unread").otherwise(F.col("raw_text"))
+    return _records(spark, d).select(*_PLAIN, "payor.full_name", "payor.is_joint", F.col("payor_address.state").alias("payor_state"), "payor_address.zip", raw.alias("raw_text"), sure["payee"].alias("fc_payee"), sure["memo"].alias("fc_memo"), sure["date"].alias("fc_date"))
 
 
-@query("c02_repair")
+@query("c02_repair", RAW + f"SELECT rid, {_PARSED} <> 'failed' AS whole FROM checks_raw")
 def repaired(spark: SparkSession, d: str) -> DataFrame:
-    return _responses(spark, d).select("rid", extraction.repair(F.col("response")).alias("text"))
+    """Repaired texts are those that were meant."""
+    return _responses(spark, d).select("rid", (extraction.repair(F.col("response")) == F.col("meant")).alias("whole"))
 
 
 @query("a11_raw_text", RAW + f"SELECT rid, 'text ' || rid AS raw_text FROM checks_raw WHERE {_PARSED} <> 'failed'")
 def raw_text(spark: SparkSession, d: str) -> DataFrame:
-    return extraction.parse(_responses(spark, d)).where("parsed <> 'failed'").select("rid", F.col("record.raw_text").alias("raw_text"))
+    return extraction.parse(_responses(spark, d)).where("parsed <> 'failed'").select("rid", F.col("record")["raw_text"].alias("raw_text"))
+
+
+_NL = "chr(10)"
+
+
+def _section_sql(title: str, *lines: str) -> str:
+    body = f"concat_ws({_NL}, {', '.join(lines)})"
+    head = f"'{title}:' || {_NL} || " if title else ""
+    return f"CASE WHEN {body} <> '' THEN {head}{body} || {_NL} END"
+
+
+_NOTE_SQL = f"concat_ws({_NL}, " + ", ".join(
+    [
+        "'Check #' || coalesce(check_number, 'Unknown') || coalesce(' from ' || full_name, '')",
+        "''",
+        _section_sql("Payor Information", "'Name: ' || full_name", "CASE WHEN is_joint THEN '  (Joint Account)' END", "CASE WHEN payor_state IS NOT NULL THEN 'Address: 1 Elm' END", "CASE WHEN payor_state <> '' THEN 'City/State/ZIP: Troy, ' || payor_state || ' 12180' END", "CASE WHEN payor_state IS NOT NULL THEN 'Country: Peru' END"),
+        _section_sql("Bank Information", "'Bank Name: ' || bank_name", "'Routing Number: ' || routing_number", "'Account Number: ' || account_number"),
+        _section_sql("", "'Memo: ' || memo"),
+        _section_sql("Amount Details", "'Numeric: $' || printf('%,.2f', coalesce(amount, 0))", "'Written: ' || amount_written", "CASE WHEN amounts_match THEN 'Amounts Match: ✓' WHEN NOT amounts_match THEN 'Amounts Match: ✗ WARNING - MISMATCH!' END"),
+        _section_sql("Validation", "CASE WHEN signature_present THEN 'Signature Present: ✓' ELSE 'Signature Present: ✗' END", "'Check Condition: ' || check_condition", "'Check Age: ' || age_days || CASE WHEN age_days < 0 THEN ' days (POST-DATED)' ELSE ' days' END", "CASE WHEN is_post_dated THEN 'Post-Dated: ✓ WARNING' END", "CASE WHEN is_stale_dated THEN 'Stale-Dated: ✓ WARNING - >180 days old' END", "CASE WHEN requires_manual_review THEN 'Requires Manual Review: ✓' END"),
+        _section_sql("", "'Confidence: ' || CASE WHEN confidence = floor(confidence) THEN CAST(CAST(confidence AS BIGINT) AS VARCHAR) ELSE CAST(confidence AS VARCHAR) END || '%'"),
+        "'Extracted via Vertex AI Gemini Pro'",
+    ]
+) + ")"
+
+
+@query("c14_full_note", _EXTRACTED_SQL + f"SELECT rid, {_NOTE_SQL} AS note FROM x")
+def full_note(spark: SparkSession, d: str) -> DataFrame:
+    return _records(spark, d).select("rid", payload.full_note().alias("note"))
+
+
+_DATE_SQL = f"strftime(coalesce(CAST(try_strptime(check_date, '%m/%d/%Y') AS DATE), DATE '{AS_OF}'), '%Y-%m-%d')"
+_QUOTED_NOTE = f"""'"' || replace(replace({_NOTE_SQL}, '"', chr(92) || '"'), {_NL}, chr(92) || 'n') || '"'"""
+
+
+@query(
+    "c16_mapped_receipt",
+    _EXTRACTED_SQL
+    + f"""SELECT rid, '{{"DocNumber":"' || coalesce(check_number, 'CHK-' || rid) || '","TxnDate":"' || {_DATE_SQL} || '","Line":[{{' || coalesce('"Amount":' || m || ',', '') || '"DetailType":"SalesItemLineDetail","SalesItemLineDetail":{{"ItemRef":{{"value":"3"}},"Qty":1' || coalesce(',"UnitPrice":' || m, '')
+|| '}},"Description":"Check payment"}}]' || coalesce(',"TotalAmt":' || m, '') || ',"PaymentMethodRef":{{"value":"1"}},"DepositToAccountRef":{{"value":"2"}},"PrivateNote":' || {_QUOTED_NOTE} || ',"CustomerRef":{{' || CASE WHEN rid % 5 = 0 THEN '"value":"' || rid || '"' ELSE '"name":"' || coalesce(payee, full_name, 'Unknown Customer') || '"' END || '}}}}' AS payload
+FROM (SELECT *, CAST(CAST(amount AS DECIMAL(12, 2)) AS VARCHAR) AS m FROM x)""",
+)
+def mapped_receipt(spark: SparkSession, d: str) -> DataFrame:
+    customer = payload.customer_ref(F.when(F.col("rid") % 5 == 0, F.col("rid").cast("string")), F.col("payee"), F.col("payor.full_name"))
+    date = scalars.iso_from_us(F.col("check_date"), F.lit(AS_OF).cast("date"))
+    body = payload.mapped_receipt(F.col("check_number"), F.col("rid").cast("string"), date, F.col("amount").cast("decimal(12,2)"), customer, payload.full_note(), "1", "2", "3")
+    return _records(spark, d).select("rid", body.alias("payload"))
+
+
+# ------------------------------------------------------------------ outcomes
+
+_STORED_IDS = (
+    JUDGED
+    + f""", pt AS (SELECT *, coalesce(routing_number, 'None') || coalesce(account_number, 'None') || coalesce(check_number, 'None') || coalesce(check_date, 'None') || coalesce(CAST(amount AS VARCHAR), 'None') AS id_text FROM judged WHERE route IN ('processed', 'manual_review')),
+po AS (SELECT *, CASE WHEN route = 'processed' THEN row_number() OVER (PARTITION BY route, id_text ORDER BY rid) - 1 ELSE 0 END AS again FROM pt),
+kept AS (SELECT *, translate(to_base64(unhex(substr(sha256(CASE WHEN again > 0 THEN id_text || '|' || again ELSE id_text END), 1, 24))), '+/', '-_') AS check_id FROM po)
+"""
+)
+
+
+@query(
+    "b06_b08_stored_rows",
+    _STORED_IDS
+    + """SELECT rid, check_id, check_number, amount, CAST(confidence AS DOUBLE) AS ocr_confidence, route AS status, CASE WHEN route = 'manual_review' THEN review_reason END AS error_message FROM kept UNION ALL
+SELECT rid, 'error_' || rid, NULL, NULL, NULL, 'failed', error FROM judged WHERE route = 'failed'""",
+)
+def stored_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of processed, manual-review and failed submissions, read back from the store."""
+    j, home = judged(spark, d), shared(spark, "outcomes")
+    outcomes.write(j, home, 0)
+    return spark.read.parquet(f"{home}/checks/batch=0").select("rid", "check_id", "check_number", "amount", "ocr_confidence", "status", "error_message")
+
+
+@query(
+    "b06_g07_mappings",
+    _STORED_IDS + "SELECT check_id, routing_number, account_number, check_number, amount, check_date, customer_name FROM kept WHERE route = 'processed' AND routing_number IS NOT NULL AND account_number IS NOT NULL AND check_number IS NOT NULL AND amount IS NOT NULL AND check_date IS NOT NULL",
+)
+def mapping_rows(spark: SparkSession, d: str) -> DataFrame:
+    return outcomes.mappings(outcomes.with_ids(judged(spark, d)))
+
+
+@query(
+    "c15_c17_receipt",
+    _STORED_IDS
+    + """SELECT rid, check_id, '{"CustomerRef":{"value":"' || customer_name || '"},"TxnDate":"' || CASE WHEN try_strptime(check_date, '%m/%d/%Y') IS NULL AND try_strptime(check_date, '%Y-%m-%d') IS NOT NULL THEN check_date ELSE strftime(coalesce(CAST(try_strptime(check_date, '%m/%d/%Y') AS DATE), DATE '1998-08-02'), '%Y-%m-%d') END
+|| '","DocNumber":"' || check_id || '"' || coalesce(',"PaymentRefNum":"' || check_number || '"', '') || ',"PaymentMethodRef":{"value":"1"},"DepositToAccountRef":{"value":"2"},"Line":[{' || coalesce('"Amount":' || CAST(amount AS VARCHAR) || ',', '')
+|| '"DetailType":"SalesItemLineDetail","SalesItemLineDetail":{"ItemRef":{"value":"3"}},"Description":"Check #' || coalesce(check_number, 'None') || '"}],"PrivateNote":"' || coalesce('Memo: ' || memo, '') || '","BillAddr":{"CountrySubDivisionCode":"' || state || '","Country":"USA"}}' AS payload
+FROM kept WHERE route = 'processed'""",
+)
+def receipts(spark: SparkSession, d: str) -> DataFrame:
+    return outcomes.receipts(outcomes.with_ids(judged(spark, d)), F.lit(AS_OF).cast("date"), "1", "2", "3")
+
+
+@query("e15_log_events", _STORED_IDS + "SELECT check_id, 'processed' AS event_type, 'Successfully processed check' AS event_data FROM kept WHERE route = 'processed'")
+def log_events(spark: SparkSession, d: str) -> DataFrame:
+    return outcomes.log_events(outcomes.with_ids(judged(spark, d)))
 
 
 # ------------------------------------------------------- more of the store
@@ -697,16 +874,6 @@ def manual_flag(spark: SparkSession, d: str) -> DataFrame:
     return scoring.recommendation(scoring.with_scores(checks_raw(spark, d))).select("rid", (F.col("action") == "manual_review").alias("manual"))
 
 
-@query(
-    "c16_mapped_receipt",
-    JUDGED + """SELECT rid, coalesce(check_number, 'CHK-' || rid) AS doc_number, CASE WHEN rid % 3 = 0 THEN '{"value":"' || rid || '"}' ELSE '{"name":"' || customer_name || '"}' END AS customer_ref, coalesce(amount, 0) AS total FROM judged WHERE route = 'processed'""",
-)
-def mapped_receipt(spark: SparkSession, d: str) -> DataFrame:
-    customer = F.when(F.col("rid") % 3 == 0, F.col("rid").cast("string"))
-    ref = payload.customer_ref(customer, F.lit(None).cast("string"), F.col("customer_name"))
-    return judged(spark, d).where("route = 'processed'").select("rid", F.coalesce("check_number", F.concat(F.lit("CHK-"), F.col("rid").cast("string"))).alias("doc_number"), F.to_json(ref).alias("customer_ref"), F.coalesce("amount", F.lit(0).cast("decimal(12,2)")).alias("total"))
-
-
 @query("b26_error_facts", "SELECT event_id, 'HTTP ' || (CASE WHEN event_id % 2 = 0 THEN 500 ELSE 404 END) AS message, CAST(a AS INT) AS attempt FROM events, range(0, 3) AS r(a) WHERE a = 0 OR event_id % 2 = 0")
 def error_facts(spark: SparkSession, d: str) -> DataFrame:
     status = F.when(F.col("event_id") % 2 == 0, 500).otherwise(404)
@@ -730,15 +897,20 @@ def stream(spark: SparkSession, d: str) -> DataFrame:
 
 @query("h01_h02_h16_pixels")
 def pixel_stages(spark: SparkSession, d: str) -> DataFrame:
-    """All pages drawn from their components, found again from pixels, with the detections cut out; a page is one row and one kernel call."""
+    """All pages drawn from their components, found again from pixels, with the detections cut out; a page is one row and one kernel call, and no image leaves it."""
     scaled = components(spark, d).select("page", (F.col("x") / 8).cast("int").alias("x"), (F.col("y") / 8).cast("int").alias("y"), F.greatest(F.lit(1), (F.col("w") / 4).cast("int")).alias("w"), F.greatest(F.lit(1), (F.col("h") / 4).cast("int")).alias("h"))
-    pages = pixels.draw(scaled.groupBy("page").agg(F.collect_list(F.struct("x", "y", "w", "h")).alias("boxes")), 760, 330)
-    found = pixels.page_components(pages).groupBy("page").agg(F.count("*").alias("n"), F.sum("area").alias("ink"))
+    pages = scaled.groupBy("page").agg(F.collect_list(F.struct("x", "y", "w", "h")).alias("boxes"))  # what fits on a page
     # Detections at the scale of the drawn pages; rounding outwards loses no pixel.
     left, top, right, bottom = ((F.floor(F.col("x") / 8)), F.floor(F.col("y") / 8), F.ceil((F.col("x") + F.col("w")) / 8), F.ceil((F.col("y") + F.col("h")) / 8))
-    boxes = h_detect(spark, d).select("page", "det", *(c.cast("int").alias(n) for n, c in (("x", left), ("y", top), ("w", right - left), ("h", bottom - top))))
-    cut = pixels.crops(pages, boxes).groupBy("page").agg(F.count("*").alias("crops"), F.sum(F.col("height").cast("long") * F.col("width")).alias("crop_pixels"))
-    return found.join(cut, "page", "left").na.fill(0, ["crops", "crop_pixels"])
+    cuts = h_detect(spark, d).select("page", *(c.cast("int").alias(n) for n, c in (("x", left), ("y", top), ("w", right - left), ("h", bottom - top))))
+    cuts = cuts.groupBy("page").agg(F.collect_list(F.struct("x", "y", "w", "h")).alias("cuts"))
+    return pixels.drawn_pages(pages.join(cuts, "page", "left"), 760, 330)
+
+
+@query("b21_crop_names", _BOXES + "SELECT page, det, 'scan' || page || '_p' || (page % 3 + 1) || '_idx' || det || '_19980802000000000000.png' AS name FROM detections")
+def crop_names(spark: SparkSession, d: str) -> DataFrame:
+    name = scalars.crop_name(F.concat(F.lit("scan"), F.col("page").cast("string"), F.lit(".pdf")), F.col("page") % 3, F.col("det"), F.lit("19980802000000000000"))
+    return h_detect(spark, d).select("page", "det", name.alias("name"))
 
 
 def queries() -> dict[str, Query]:

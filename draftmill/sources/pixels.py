@@ -1,16 +1,25 @@
-"""Pixel kernels in numpy, for pages as 8-bit gray arrays, and the stages that run them on rows."""
+"""Page images as rows: components found in pixels, and checks cut out of pages.
+
+A page is one row and one call of a numpy kernel.  Kernels take a page at a
+time, and what they give is passed on a few pages at a time, so a task holds a
+few pages whatever their number.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
+import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+#: Rows of images passed on together.
+ROWS_AT_ONCE = 32
 
-def gray(rgb: np.ndarray) -> np.ndarray:
-    return rgb if rgb.ndim == 2 else np.round(rgb[..., :3] @ np.array([0.299, 0.587, 0.114])).astype(np.uint8)
+COMPONENT = ["page", "label", "x", "y", "w", "h", "area", "cx", "cy"]
+CROP = ["page", "det", "height", "width", "gray"]
 
 
 def portrait(image: np.ndarray) -> np.ndarray:
@@ -38,147 +47,127 @@ def connected(mask: np.ndarray) -> np.ndarray:
     edges = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     rows, starts = np.nonzero(edges == 1)
     ends = np.nonzero(edges == -1)[1]
-    parent = np.arange(len(rows))
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    first = np.searchsorted(rows, np.arange(mask.shape[0] + 1))
-    for y in range(1, mask.shape[0]):
-        i, j = first[y - 1], first[y]
-        while i < first[y] and j < first[y + 1]:
-            if starts[i] <= ends[j] and starts[j] <= ends[i]:  # touching, corners included
-                a, b = root(i), root(j)
-                parent[max(a, b)] = min(a, b)
-            if ends[i] < ends[j]:
-                i += 1
-            else:
-                j += 1
-    names = np.array([root(k) for k in range(len(rows))], np.int64)
-    out = []
-    for name in np.unique(names):
-        k = names == name
-        s, e, r = starts[k], ends[k], rows[k]
-        n = e - s
-        area = n.sum()
-        out.append((s.min(), r.min(), e.max() - s.min(), r.max() - r.min() + 1, area, ((s + e - 1) / 2 * n).sum() / area, (r * n).sum() / area))
-    return np.array(out).reshape(-1, 7)
-
-
-def drop_specks(mask: np.ndarray, least: int = 20) -> np.ndarray:
-    """Without components of fewer pixels."""
-    out = mask.copy()
-    for x, y, w, h, area, _, _ in connected(mask):
-        if area < least:
-            out[int(y) : int(y + h), int(x) : int(x + w)] = False
-    return out
-
-
-def _box_mean(image: np.ndarray, radius: int) -> np.ndarray:
-    pad = np.pad(image.astype(float), radius + 1, mode="edge")
-    total = pad.cumsum(0).cumsum(1)
-    n = 2 * radius + 1
-    h, w = image.shape
-    a, b = total[n : n + h, n : n + w], total[:h, :w]
-    return (a + b - total[:h, n : n + w] - total[n : n + h, :w]) / (n * n)
-
-
-def adaptive_ink(image: np.ndarray, block: int = 21, offset: float = 5.0) -> np.ndarray:
-    """Darker than the neighbourhood by more than the offset."""
-    return image < _box_mean(image, block // 2) - offset
-
-
-def flatten_light(image: np.ndarray, radius: int = 25) -> np.ndarray:
-    """Divides by the smoothed background."""
-    background = np.maximum(_box_mean(image, radius), 1)
-    return np.clip(image / background * 255, 0, 255).astype(np.uint8)
-
-
-def median3(image: np.ndarray) -> np.ndarray:
-    pad = np.pad(image, 1, mode="edge")
-    h, w = image.shape
-    return np.median(np.stack([pad[i : i + h, j : j + w] for i in range(3) for j in range(3)]), axis=0).astype(np.uint8)
-
-
-def whiten_borders(image: np.ndarray, strip: int = 20, dark: int = 200) -> np.ndarray:
-    """Dark scanner borders become white."""
-    out = image.copy()
-    for part in (np.s_[:strip], np.s_[-strip:], np.s_[:, :strip], np.s_[:, -strip:]):
-        if out[part].mean() < dark:
-            out[part] = 255
-    return out
-
-
-def content_box(mask: np.ndarray, density: float = 0.02, pad: int = 20) -> tuple[int, int, int, int] | None:
-    """The box of rows and columns with enough ink, if it is between a tenth and nearly all of the page."""
-    rows, cols = np.flatnonzero(mask.mean(1) > density), np.flatnonzero(mask.mean(0) > density)
-    if not len(rows) or not len(cols):
-        return None
-    h, w = mask.shape
-    y0, y1, x0, x1 = max(0, rows[0] - pad), min(h, rows[-1] + 1 + pad), max(0, cols[0] - pad), min(w, cols[-1] + 1 + pad)
-    share = (y1 - y0) * (x1 - x0) / (h * w)
-    return (int(x0), int(y0), int(x1 - x0), int(y1 - y0)) if 0.1 <= share <= 0.99 else None
-
-
-def code_line(mask: np.ndarray, lower: float = 0.3, density: float = 0.018) -> tuple[int, int] | None:
-    """First and end row of the densest band in the lower part of a check."""
-    start = int(mask.shape[0] * (1 - lower))
-    rows = np.flatnonzero(mask[start:].mean(1) > density)
-    return (start + int(rows[0]), start + int(rows[-1]) + 1) if len(rows) else None
-
-
-def upscale(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """By whole factors, to at least the size."""
-    k = max(1, -(-height // image.shape[0]), -(-width // image.shape[1]))
-    return np.repeat(np.repeat(image, k, 0), k, 1)
-
-
-def draw(pages: DataFrame, height: int, width: int) -> DataFrame:
-    """(page, height, width, gray): white pages with dark boxes, given as (page, boxes)."""
+    if not len(rows):
+        return np.zeros((0, 7))
+    # A run touches, corners included, a range of runs in the row above; keys number a row's places after those of earlier rows.
+    step = mask.shape[1] + 2
+    above = (rows - 1) * step
+    first = np.searchsorted(rows * step + ends, above + starts, "left")
+    after = np.searchsorted(rows * step + starts, above + ends, "right")
+    n = np.maximum(after - first, 0)
+    lower = np.repeat(np.arange(len(rows)), n)
+    upper = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    name = np.arange(len(rows))
+    while True:  # each round halves the way to a component's first run
+        least = name.copy()
+        low = np.minimum(name[lower], name[upper])
+        np.minimum.at(least, name[lower], low)
+        np.minimum.at(least, name[upper], low)
+        least = least[least]
+        least = np.minimum(least, least[name])
+        if (least == name).all():
+            break
+        name = least
+    order = np.argsort(name, kind="stable")
+    at = np.flatnonzero(np.diff(name[order], prepend=-1))
+    s, e, r = starts[order], ends[order], rows[order]
+    size = e - s
+    area = np.add.reduceat(size, at)
+    x, y = np.minimum.reduceat(s, at), np.minimum.reduceat(r, at)
+    cx, cy = np.add.reduceat((s + e - 1) / 2 * size, at) / area, np.add.reduceat(r * size, at) / area
+    return np.stack([x, y, np.maximum.reduceat(e, at) - x, np.maximum.reduceat(r, at) - y + 1, area, cx, cy], 1)
+
+
+def cut(image: np.ndarray, x: int, y: int, w: int, h: int) -> np.ndarray:
+    return np.ascontiguousarray(image[y : y + h, x : x + w])
+
+
+def png(image: np.ndarray) -> bytes:
+    """An 8-bit gray image as PNG."""
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    lines = np.pad(image, ((0, 0), (1, 0))).tobytes()  # a filter byte of 0 before each line
+    head = struct.pack(">IIBBBBB", image.shape[1], image.shape[0], 8, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def _batches(rows: Iterable[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == ROWS_AT_ONCE:
+            yield pd.DataFrame(held, columns=columns)
+            held = []
+    yield pd.DataFrame(held, columns=columns)
+
+
+def draw(boxes: Iterable[dict], height: int, width: int) -> np.ndarray:
+    """A white page with dark boxes."""
+    image = np.full((height, width), 250, np.uint8)
+    for b in boxes:
+        image[b["y"] : b["y"] + b["h"], b["x"] : b["x"] + b["w"]] = 10
+    return image
+
+
+def drawn_pages(pages: DataFrame, height: int, width: int) -> DataFrame:
+    """(page, n, ink, crops, crop_pixels) of pages given as (page, boxes, cuts): each is drawn, its components are found, and its crops are cut, without an image leaving its task."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for page, boxes in zip(f["page"], f["boxes"], strict=True):
-                image = np.full((height, width), 250, np.uint8)
-                for b in boxes:
-                    image[b["y"] : b["y"] + b["h"], b["x"] : b["x"] + b["w"]] = 10
-                rows.append((page, height, width, image.tobytes()))
-            yield pd.DataFrame(rows, columns=["page", "height", "width", "gray"])
+            for page, boxes, cuts in zip(f["page"], f["boxes"], f["cuts"], strict=True):
+                image = draw(boxes, height, width)
+                found = connected(ink(portrait(image)))
+                parts = [cut(image, c["x"], c["y"], c["w"], c["h"]) for c in (cuts if cuts is not None else [])]
+                rows.append((page, len(found), int(found[:, 4].sum()), len(parts), sum(p.size for p in parts)))
+            yield pd.DataFrame(rows, columns=["page", "n", "ink", "crops", "crop_pixels"])
 
-    return pages.mapInPandas(run, "page long, height int, width int, gray binary")
+    return pages.mapInPandas(run, "page long, n long, ink long, crops long, crop_pixels long")
 
 
 def page_components(pages: DataFrame) -> DataFrame:
-    """(page, label, x, y, w, h, area, cx, cy) of pages given as (page, height, width, gray)."""
+    """The components of stored pages, given as (page, height, width, gray)."""
+
+    def rows(f: pd.DataFrame) -> Iterator[tuple]:
+        for page, h, w, data in zip(f["page"], f["height"], f["width"], f["gray"], strict=True):
+            found = connected(ink(portrait(np.frombuffer(data, np.uint8).reshape(h, w))))
+            for label, c in enumerate(found.tolist(), 1):
+                yield (page, label, *map(int, c[:5]), *c[5:])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            parts = [pd.DataFrame(columns=["page", "label", "x", "y", "w", "h", "area", "cx", "cy"])]
-            for page, h, w, data in zip(f["page"], f["height"], f["width"], f["gray"], strict=True):
-                found = connected(ink(portrait(np.frombuffer(data, np.uint8).reshape(h, w))))
-                d = pd.DataFrame(found, columns=["x", "y", "w", "h", "area", "cx", "cy"])
-                d.insert(0, "page", page)
-                d.insert(1, "label", np.arange(1, len(d) + 1))
-                parts.append(d)
-            yield pd.concat(parts[1:] or parts).astype({c: "int64" for c in ("page", "label", "x", "y", "w", "h", "area")} | {"cx": float, "cy": float})
+            yield from _batches(rows(f), COMPONENT)
 
     return pages.select("page", "height", "width", "gray").mapInPandas(run, "page long, label long, x long, y long, w long, h long, area long, cx double, cy double")
 
 
 def crops(pages: DataFrame, boxes: DataFrame) -> DataFrame:
-    """(page, det, height, width, gray) of each box cut from its page."""
+    """(page, det, height, width, gray) of each box cut from its stored page."""
+
+    def rows(f: pd.DataFrame) -> Iterator[tuple]:
+        for r in f.itertuples():
+            part = cut(np.frombuffer(r.gray, np.uint8).reshape(r.height, r.width), r.x, r.y, r.w, r.h)
+            yield r.page, r.det, *part.shape, part.tobytes()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = []
-            for r in f.itertuples():
-                part = np.frombuffer(r.gray, np.uint8).reshape(r.height, r.width)[r.y : r.y + r.h, r.x : r.x + r.w]
-                rows.append((r.page, r.det, part.shape[0], part.shape[1], np.ascontiguousarray(part).tobytes()))
-            yield pd.DataFrame(rows, columns=["page", "det", "height", "width", "gray"])
+            yield from _batches(rows(f), CROP)
 
     joined = pages.join(boxes.select("page", "det", "x", "y", "w", "h"), "page")
     return joined.mapInPandas(run, "page long, det int, height int, width int, gray binary")
+
+
+def crop_files(found: DataFrame) -> DataFrame:
+    """(name, content): crops with a ``name`` as PNG files, for a writer to put away."""
+
+    def rows(f: pd.DataFrame) -> Iterator[tuple]:
+        for name, h, w, data in zip(f["name"], f["height"], f["width"], f["gray"], strict=True):
+            yield name, png(np.frombuffer(data, np.uint8).reshape(h, w))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield from _batches(rows(f), ["name", "content"])
+
+    return found.select("name", "height", "width", "gray").mapInPandas(run, "name string, content binary")

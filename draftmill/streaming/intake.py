@@ -1,20 +1,25 @@
-"""The polling job as a stream, duplicate suppression across batches, and call limits."""
+"""The polling job as a stream, with duplicate suppression across all batches by keyed state."""
 
 from __future__ import annotations
 
-import time
-from collections import deque
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import IntegerType, StructType
+from pyspark.sql.types import StructType
 
-from draftmill.operators import dedup, routing
+from draftmill.functions import validation
+from draftmill.operators import dedup, outcomes, routing
 from draftmill.plans.settings import Settings
 
+#: State on disk, of which a poll writes only what it changed.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+
 
 def poll(source: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, settings: Settings = Settings(), once: bool = False) -> StreamingQuery:
     """Runs handle on each micro-batch, every poll interval, or on all that is there when once is set."""
@@ -27,50 +32,46 @@ def landing(spark: SparkSession, path: str, schema: StructType, files_per_batch:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def history(spark: SparkSession, store: str, schema: StructType, before: int) -> DataFrame:
-    """Rows that earlier batches stored; a batch that runs again does not see its own."""
-    try:
-        return spark.read.schema(StructType([*schema.fields]).add("batch", IntegerType())).parquet(f"{store}/checks").where(F.col("batch") < before).drop("batch")
-    except AnalysisException:  # nothing stored yet
-        return spark.createDataFrame([], schema)
+def first_seen(batch: DataFrame, store: str, number: int) -> DataFrame:
+    """(key, first): where those of the batch's keys that came before, or come again in it, came first, as (batch, rid).
+
+    The keys of every batch run through a keyed aggregation whose state holds
+    each key's first place and never expires.  A batch reads and writes the
+    state of its own keys only, so a poll costs as much as its batch, however
+    long the history is.  A batch that runs again meets the same first places.
+    """
+    spark = batch.sparkSession.newSession()  # settings of its own
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
+    keys = batch.where(F.col("error").isNull()).dropna(subset=list(dedup.KEY)).select(*dedup.KEY, F.col("rid").cast("long").alias("rid"))
+    keys.write.mode("overwrite").parquet(f"{store}/keys/batch={number}")
+    source = spark.readStream.schema(StructType([*keys.schema.fields]).add("batch", "long")).parquet(f"{store}/keys")
+    grouped = source.groupBy(*dedup.KEY).agg(F.min(F.struct("batch", "rid")).alias("first"), F.count("*").alias("n"))
+    written: list[str] = []
+
+    def put(changed: DataFrame, at: int) -> None:  # a batch that runs again replaces its own folder
+        written.append(f"{store}/firsts/{at}")
+        changed.where("n > 1").drop("n").write.mode("overwrite").parquet(written[-1])
+
+    grouped.writeStream.outputMode("update").option("checkpointLocation", f"{store}/keys-state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    schema = StructType([keys.schema[c] for c in dedup.KEY]).add("first", StructType().add("batch", "long").add("rid", "long"))
+    back = batch.sparkSession
+    found = back.read.schema(schema).parquet(*written) if written else back.createDataFrame([], schema)
+    return found.groupBy(*dedup.KEY).agg(F.min("first").alias("first"))
 
 
 def intake(store: str, as_of: str, settings: Settings = Settings()) -> Callable[[DataFrame, int], None]:
-    """Routes a batch against all history and stores rows, and a log of routes, by batch number: running it again replaces the same folders."""
+    """Routes a batch against all history and stores its rows, mappings, events, moves and a log of routes by batch number."""
 
     def handle(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        judged = routing.judge(batch, as_of, settings)
-        stored = [*batch.columns, "route"]
-        old = history(spark, store, judged.select(*stored).schema, number)
-        seen = old.where("route <> 'failed'").select(*dedup.KEY).dropna().distinct().withColumn("seen", F.lit(True))
-        judged = judged.join(seen, list(dedup.KEY), "left")
-        route = F.when((F.col("route") != "failed") & F.col("seen"), "duplicate").otherwise(F.col("route"))
-        judged = judged.withColumn("route", route)
-        judged.where("route <> 'duplicate'").select(*stored).write.mode("overwrite").parquet(f"{store}/checks/batch={number}")
+        firsts = first_seen(batch, store, number)
+        judged = routing.judge_alone(batch, as_of, settings)
+        here = F.struct(F.lit(number).cast("long").alias("batch"), F.col("rid").cast("long").alias("rid"))
+        judged = judged.join(firsts, list(dedup.KEY), "left")
+        gate = validation.duplicate_gate(F.col("routing_number"), F.col("check_number"))
+        judged = judged.withColumn("is_duplicate", gate & F.col("error").isNull() & F.coalesce(F.col("first") < here, F.lit(False)))
+        judged = judged.withColumn("route", routing.route())
+        outcomes.write(judged, store, number)
         judged.select("rid", F.col("route").alias("event_type")).write.mode("overwrite").parquet(f"{store}/logs/batch={number}")
 
     return handle
-
-
-class SlidingLimiter:
-    """For adapters: at most so many calls in any minute, and so many at once.  Waits outside of any lock."""
-
-    def __init__(self, settings: Settings = Settings(), clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
-        self.settings, self.clock, self.sleep = settings, clock, sleep
-        self.calls: deque[float] = deque()
-        self.open = 0
-
-    def acquire(self) -> None:
-        while True:
-            now = self.clock()
-            while self.calls and self.calls[0] <= now - 60:
-                self.calls.popleft()
-            if len(self.calls) < self.settings.calls_per_minute and self.open < self.settings.calls_in_flight:
-                self.calls.append(now)
-                self.open += 1
-                return
-            self.sleep(max(0.01, self.calls[0] + 60 - now) if len(self.calls) >= self.settings.calls_per_minute else 0.01)
-
-    def release(self) -> None:
-        self.open = max(0, self.open - 1)

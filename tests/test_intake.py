@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import zlib
 
 import numpy as np
 import pytest
@@ -121,16 +122,67 @@ def test_settings_are_checked():
 # ----------------------------------------------------------------- extraction
 
 
-def test_repair_and_normalise(spark):
-    assert one(spark, extraction.repair(F.lit('{check_number: "1" "date": null}'))) == '{"check_number": "1", "date": null}'
+@pytest.mark.parametrize(
+    ("broken", "want"),
+    [
+        ('{check_number: "1" "date": null}', {"check_number": "1", "date": None}),
+        ('{"a": true "b": false\n"c": null "d": 1.5e-3 "e": -2 "f": {} "g": []}', {"a": True, "b": False, "c": None, "d": 0.0015, "e": -2, "f": {}, "g": []}),
+        ('{"truest": "elsefalse", refuse: "x null", "nul": "a\\" b: \\"c"}', {"truest": "elsefalse", "refuse": "x null", "nul": 'a" b: "c'}),
+        ('{"text": "key: value, other : {x: 1} \\"q\\" :", n: [1, {m: 2}]}', {"text": 'key: value, other : {x: 1} "q" :', "n": [1, {"m": 2}]}),
+        ('{"a": [1, 2] b: "c"}', {"a": [1, 2], "b": "c"}),
+        ('{"a":"é⑆", b :"z"}', {"a": "é⑆", "b": "z"}),
+    ],
+)
+def test_repair(spark, broken, want):
+    assert json.loads(one(spark, extraction.repair(F.lit(broken)))) == want
+
+
+def test_repair_changes_no_valid_json(spark):
+    rng = np.random.default_rng(2)
+    bits = ["true", 'say "x" : y', "a: b", "{", "}", ",", "null", "\\", "e", "0", "f\n"]
+
+    def value(depth):
+        k = int(rng.integers(0, 7 if depth else 5))
+        if k < 5:
+            return [None, True, -1.5, "".join(rng.choice(bits, 4)), 12][k]
+        return [value(depth - 1) for _ in range(3)] if k == 5 else {"".join(rng.choice(bits, 3)): value(depth - 1) for _ in range(3)}
+
+    meant = [{f"k{i}": value(2) for i in range(4)} for _ in range(200)]
+    rows = [(i, json.dumps(m, indent=int(rng.integers(0, 3)) or None, ensure_ascii=False)) for i, m in enumerate(meant)]
+    for r in spark.createDataFrame(rows, "i int, t string").select("i", extraction.repair(F.col("t")).alias("t")).collect():
+        assert json.loads(r.t) == meant[r.i]
+
+
+def test_repair_takes_long_texts(spark):
+    text = '{"raw_text": "' + "word \\n" * 200_000 + '" "a": ' + "[" * 50_000
+    assert len(one(spark, extraction.repair(F.lit(text)))) > 1_000_000
+
+
+def test_records_are_read_field_by_field(spark):
     good = '{"check_number": "7", "amount_numeric": "$1,200.50", "routing_number": "021-000-021", "payor_name": {"full_name": "Ann Lee"}, "confidence": null}'
-    rows = [(1, good), (2, '{check_number: "1" "date": "01/15/2024"}'), (3, "no json"), (4, None)]
+    rows = [
+        (1, good),
+        (2, '{check_number: "1" "date": "01/15/2024"}'),
+        (3, "no json"),
+        (4, None),
+        (5, '{"check_number":"2","confidence":85.5,"amounts_match":"maybe","check_age_days":"x","field_confidences":{"payee":"90","memo":null}}'),
+        (6, '{"check_number":1,"payor_name":"Ann Lee","payor_address":["x"],"amount_numeric":{"value":3},"raw_text":null}'),
+        (7, '{"check_number":"1","confidence":8'),
+        (8, "[1, 2]"),
+        (9, '"text"'),
+        (10, "{}"),
+    ]
     out = {r.i: r for r in extraction.flat_fields(extraction.normalise(extraction.parse(spark.createDataFrame(rows, "i int, response string")))).collect()}
-    a, b, c, d = (out[k] for k in (1, 2, 3, 4))
-    assert (a.parsed, a.amount, a.routing_number, a.confidence, a.customer_name, a.payor.is_joint, a.check_condition) == ("as_is", 1200.5, "021000021", 50, "Ann Lee", False, "fair")
-    assert (b.parsed, b.check_number, b.check_date, b.field_confidences.payee) == ("repaired", "1", "01/15/2024", 50)
-    for x in (c, d):
-        assert (x.parsed, x.confidence, x.check_condition, x.requires_manual_review, x.field_confidences.memo) == ("failed", 0, "poor", True, 0)
+    a, b, e, f = (out[k] for k in (1, 2, 5, 6))
+    assert (a.parsed, a.amount, a.routing_number, a.confidence, a.customer_name, a.payor.is_joint, a.check_condition, a.error) == ("as_is", 1200.5, "021000021", None, "Ann Lee", False, "fair", None)
+    assert (b.parsed, b.check_number, b.check_date, b.field_confidences.payee, b.confidence) == ("repaired", "1", "01/15/2024", 50, 50)
+    assert (e.parsed, e.confidence, e.amounts_match, e.age_days, e.field_confidences.payee, e.field_confidences.memo, e.field_confidences.date) == ("as_is", 85.5, None, None, 90, None, 50)
+    assert (f.parsed, f.check_number, f.payor, f.payor_address, f.customer_name, f.amount, f.raw_text, f.signature_matches_payor) == ("as_is", "1", None, None, "Ann Lee", None, None, None)
+    assert (out[10].parsed, out[10].confidence, out[10].customer_name, out[10].raw_text, out[10].signature_present) == ("as_is", 50, "Unknown", "", False)
+    for k in (3, 4, 7, 8, 9):
+        x = out[k]
+        assert (x.parsed, x.confidence, x.check_condition, x.requires_manual_review, x.field_confidences.memo, x.check_number) == ("failed", 0, "poor", True, 0, None)
+        assert x.error and x.raw_text == (rows[k - 1][1] or "")
 
 
 # ------------------------------------------------------------------ detection
@@ -204,8 +256,8 @@ def submissions(spark, n=60):
     rows = []
     for k in range(n):
         key = k % 40
-        rows.append((k, f"02100002{key % 2}", "12345678", None if key % 9 == 0 else str(100 + key), 10.5 + key, "07/01/1998", 60 + k % 40, True, "good", None, "err" if k % 13 == 5 else None, f"c{key}", "TX", None, k % 5, k % 3))
-    schema = "rid long, routing_number string, account_number string, check_number string, amount double, check_date string, confidence int, amounts_match boolean, check_condition string, received_on date, error string, customer_name string, state string, memo string, file long, page long"
+        rows.append((k, f"02100002{key % 2}", "12345678", None if key % 9 == 0 else str(100 + key), 10.5 + key, "07/01/1998", 60 + k % 40, 60 + k % 40, True, "good", None, "err" if k % 13 == 5 else None, f"c{key}", "TX", None, k % 5, k % 3))
+    schema = "rid long, routing_number string, account_number string, check_number string, amount double, check_date string, confidence int, payee_confidence int, amounts_match boolean, check_condition string, received_on date, error string, customer_name string, state string, memo string, file long, page long"
     return spark.createDataFrame(rows, schema).withColumn("amount", F.col("amount").cast("decimal(12,2)"))
 
 
@@ -229,20 +281,36 @@ def test_streamed_batches_equal_one_batch(spark, tmp_path):
         q = intake.poll(intake.landing(spark, inbox, rows.schema, 1), intake.intake(out, "1998-08-02"), str(tmp_path / "at"), once=True)
         q.awaitTermination()
     got = {r.rid: r.event_type for r in spark.read.parquet(f"{out}/logs").collect()}
-    want = {r.rid: r.route for r in routing.judge(rows, "1998-08-02").collect()}
+    judged = routing.judge(rows, "1998-08-02")
+    want = {r.rid: r.route for r in judged.collect()}
     assert got == want
     assert spark.read.parquet(f"{out}/checks").count() == sum(v != "duplicate" for v in want.values())
-
-
-def test_limiter():
-    now = [0.0]
-    limiter = intake.SlidingLimiter(Settings(calls_per_minute=3, calls_in_flight=2), clock=lambda: now[0], sleep=lambda s: now.__setitem__(0, now[0] + s))
-    for _ in range(3):
-        limiter.acquire()
-        limiter.release()
-    assert now[0] == 0
-    limiter.acquire()
-    assert now[0] >= 60
+    assert spark.read.parquet(f"{out}/events").count() == sum(v == "processed" for v in want.values())
+    assert {r.file for r in spark.read.parquet(f"{out}/moves").collect()} == {k % 5 for k in range(60)}
+
+
+def test_a_poll_reads_none_of_the_history(spark, tmp_path):
+    """What earlier polls stored may be gone; the state alone tells what came before."""
+    rows = submissions(spark).where("error is null and check_number is not null")
+    handle, out = intake.intake(str(tmp_path / "out"), "1998-08-02"), tmp_path / "out"
+    routes = []
+    for number in range(3):
+        handle(rows, number)
+        routes.append({r.rid: r.event_type for r in spark.read.parquet(f"{out}/logs/batch={number}").collect()})
+        for part in ("checks", "logs", "keys", "firsts", "mappings", "events", "moves"):
+            for old in (out / part).iterdir():
+                old.rename(tmp_path / f"{part}-{old.name}-{number}")
+    assert set(routes[0].values()) >= {"processed", "duplicate"}
+    assert set(routes[1].values()) == set(routes[2].values()) == {"duplicate"}
+
+
+def test_a_poll_that_runs_again_gives_the_same(spark, tmp_path):
+    rows, handle = submissions(spark), intake.intake(str(tmp_path), "1998-08-02")
+    seen = []
+    for number in (0, 1, 1):
+        handle(rows.where("rid < 30") if number == 0 else rows.where("rid >= 30"), number)
+        seen.append({r.rid: r.event_type for r in spark.read.parquet(f"{tmp_path}/logs/batch={number}").collect()})
+    assert seen[1] == seen[2] and seen[0] | seen[1] == {r.rid: r.route for r in routing.judge(rows, "1998-08-02").collect()}
 
 
 def test_updates_refuse_unknown_columns(spark):
@@ -260,7 +328,9 @@ def test_trailing_calls_cross_blocks(spark):
 
 
 def test_text_is_escaped(spark):
-    html = one(spark, payload.details_html([("Payor", F.lit("<b>&"))]))
+    n = F.lit(None).cast("string")
+    html = one(spark, payload.details_html(payload.check_info(n, n, n, F.lit("<b>&"), n, n, F.lit(91.0))))
+    assert "#2ca01c" in html and "$0.00" in html
     assert "&lt;b&gt;&amp;" in html
 
 
@@ -295,6 +365,9 @@ def test_pages_components_and_crops(spark, tmp_path):
     boxes = spark.createDataFrame([(7, 0, 20, 40, 18, 10)], "page long, det int, x int, y int, w int, h int")
     crop = pixels.crops(pages, boxes).first()
     assert (crop.height, crop.width) == (10, 18) and set(crop.gray) == {10}
+    named = pixels.crops(pages, boxes).withColumn("name", scalars.crop_name(F.lit("in.pdf"), F.col("page"), F.col("det"), F.lit("t")))
+    file = pixels.crop_files(named).first()
+    assert file.name == "in_p8_idx0_t.png" and bytes(file.content).endswith(b"IEND\xaeB`\x82")
 
 
 def test_components_equal_flood_fill():
@@ -319,18 +392,10 @@ def test_components_equal_flood_fill():
     assert sorted(tuple(int(v) for v in r[:5]) for r in pixels.connected(mask)) == sorted(want)
 
 
-def test_filters():
-    page = np.full((200, 300), 240, np.uint8)
-    page[:20] = 0
-    assert pixels.whiten_borders(page)[:20].min() == 255
-    assert pixels.portrait(page).shape == (300, 200)
-    page = np.full((200, 200), 255, np.uint8)
-    page[60:150, 40:160] = 0
-    assert pixels.content_box(pixels.ink(page)) == (20, 40, 160, 130)
-    assert pixels.code_line(pixels.ink(page)) == (140, 150)
-    speck = np.zeros((50, 50), bool)
-    speck[5, 5] = speck[20:30, 20:30] = True
-    assert pixels.drop_specks(speck).sum() == 100
-    assert pixels.upscale(page, 300, 500).shape == (600, 600)
-    assert pixels.adaptive_ink(page).any() and pixels.median3(page).shape == page.shape and pixels.flatten_light(page).dtype == np.uint8
-    assert pixels.gray(np.full((2, 2, 3), 9, np.uint8)).tolist() == [[9, 9], [9, 9]]
+def test_kernels():
+    assert pixels.portrait(np.zeros((200, 300))).shape == (300, 200)
+    assert pixels.connected(np.zeros((5, 5), bool)).shape == (0, 7) and len(pixels.connected(np.eye(50, dtype=bool))) == 1
+    raw = pixels.png(np.arange(12, dtype=np.uint8).reshape(3, 4))
+    assert raw[:8] == b"\x89PNG\r\n\x1a\n" and raw[16:24] == (4).to_bytes(4, "big") + (3).to_bytes(4, "big")
+    data = raw[raw.index(b"IDAT") + 4 :]
+    assert zlib.decompressobj().decompress(data) == bytes([0, 0, 1, 2, 3, 0, 4, 5, 6, 7, 0, 8, 9, 10, 11])

@@ -8,8 +8,9 @@ from draftmill.plans import queries
 from draftmill.sources import pixels
 
 
-def test_pixel_query_takes_every_page_and_cuts_every_detection(spark, monkeypatch):
-    parts = queries.components(spark, "/root/testdata/sf0.01").where("page < 100").localCheckpoint()
+def test_pixel_query_takes_every_page_and_cuts_every_detection(spark, monkeypatch, tmp_path):
+    queries.components(spark, "/root/testdata/sf0.01").where("page < 100").write.parquet(str(tmp_path / "parts"))
+    parts = spark.read.parquet(str(tmp_path / "parts"))
     monkeypatch.setattr(queries, "components", lambda s, d: parts)
     got = {r.page: r for r in queries.queries()["h01_h02_h16_pixels"](spark, "").collect()}
     images = defaultdict(lambda: np.full((760, 330), 250, np.uint8))
