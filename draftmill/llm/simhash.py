@@ -11,21 +11,30 @@ to 3 - m + 1, differ by at most its threshold in some partition.  So:
 * correlated bits share a partition, by their co-occurrence over all distinct
   fingerprints (summed on the executors; one 64 x 64 matrix reaches the driver);
 * a dynamic program allots unequal thresholds (-1 skips a partition), for each
-  m, to the least estimated cost of candidates and probes;
+  m, to the least estimated cost of candidates and probes.  Candidates are
+  estimated from the pairs of ``SAMPLE`` fingerprints, those of least hash, and
+  from the bits' shares where the sample has no such pair; the estimate decides
+  what the plan costs, never what is found;
 * every fingerprint probes one key for a threshold of 0, or one for each set of
   masked bits above; fingerprints that share a key meet and are verified.
 
-A bucket of up to ``BUCKET`` fingerprints is verified in blocks by numpy, which
-emits a spanning forest of its links rather than all pairs.  A larger bucket is
-parted once more on the bits its key leaves open: the same principle, one level
-down, until a bucket is small or its open bits bound it.  No bucket is capped.
+A bucket of up to ``BUCKET`` fingerprints is verified by numpy, which emits a
+spanning forest of its links rather than all pairs.  A larger bucket is parted
+once more on the bits its key leaves open (the same principle, one level down)
+if that leaves less than half of its pairs.  In a dense one, of near copies of
+one text, it does not: parting would multiply its rows and keep its pairs.  Such
+a bucket is dealt into chunks of ``CHUNK`` fingerprints, any two of which meet
+in a task of bounded size.  No bucket is capped and no row is dropped.
 
 Components are found by alternating star contraction on the links, which stays
 on the executors; every round is a stored table.
 
 Edge cases: null text counts as empty; texts without words have fingerprint 0;
-equal and repeated rows share a fingerprint; null ids never name a component
-unless it has no other; an empty table gives an empty result.
+a very long text is summed shingle by shingle like others; equal and repeated
+rows share a fingerprint; of a component's rows with the least id, ties go to
+the least fingerprint and then the locator; null ids never name a component
+unless it has no other; columns to keep may have any names but those that the
+result adds; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,18 +49,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from draftmill.llm.common import save, text_of, with_row
+from draftmill.llm.common import drop, save, text_of, with_row
 
 BITS = 64
 RADIUS = 3
 SHINGLE = 3
 #: Fingerprints that one bucket may hold before it is parted again.
-BUCKET = 1024
-#: With this few open bits a bucket has at most 2**16 distinct fingerprints and is verified as it is.
-FEW_OPEN = 16
+BUCKET = 4096
+#: Fingerprints of a chunk; two chunks are verified in one task.
+CHUNK = 1 << 16
+#: A bucket is parted again if that leaves at most this share of its pairs.
+PAYS = 0.5
+#: Fingerprints whose pairs estimate the candidates.
+SAMPLE = 2048
 #: Relative cost of a probe (a row written, shuffled and sorted) and of a candidate (an XOR and a popcount).
 PROBE_COST, CANDIDATE_COST = 1.0, 0.02
-BROADCAST_KEYS = 100_000
+#: Large buckets are broadcast up to this many (1 MB); beyond it only those with over a thousandth of all rows.
+BROADCAST_KEYS = 25_000
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -136,7 +150,14 @@ def within(disagree: np.ndarray, most: int) -> float:
     return float(dist.sum())
 
 
-def allot(n: int, both: np.ndarray, radius: int = RADIUS) -> list[tuple[list[int], int]]:
+def pair_differences(sample: np.ndarray) -> np.ndarray:
+    """The differing bits of all pairs of the sample's fingerprints."""
+    i, j = np.triu_indices(len(sample), 1)
+    x = sample.view(np.uint64)
+    return x[i] ^ x[j]
+
+
+def allot(n: int, both: np.ndarray, differ: np.ndarray | None = None, radius: int = RADIUS) -> list[tuple[list[int], int]]:
     """Partitions of bits with their thresholds, at the least estimated cost over all numbers of partitions."""
     n = max(n, 1)  # without fingerprints all schemes would cost nothing, and the first one has 41,664 keys
     p = np.diag(both) / n
@@ -145,20 +166,24 @@ def allot(n: int, both: np.ndarray, radius: int = RADIUS) -> list[tuple[list[int
     for m in range(1, radius + 2):
         parts, total = group_bits(n, both, m), radius - m + 1
 
-        def cost(part: list[int], t: int) -> float:
+        def cost(part: list[int], t: int, apart: np.ndarray) -> float:
             if t < 0:
                 return 0.0
             keys = comb(len(part), t)
+            met = max(within(disagree[part], t), float((apart <= t).mean()) if len(apart) else 0.0)
             # Partners that agree on a key, for each of its masks, and the probes.
-            return PROBE_COST * n * keys + CANDIDATE_COST * n * n / 2 * within(disagree[part], t) * max(1, keys / 2)
+            return PROBE_COST * n * keys + CANDIDATE_COST * n * n / 2 * met * max(1, keys / 2)
 
         # f[s]: the least cost of the partitions so far with thresholds that sum to s - m.
         f: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
         for part in parts:
+            mask = np.uint64(sum(1 << b for b in part))
+            apart = np.bitwise_count(differ & mask) if differ is not None else np.zeros(0)
             g: dict[int, tuple[float, list[int]]] = {}
+            costs = {t: cost(part, t, apart) for t in range(-1, radius + 1)}
             for s, (c, chosen) in f.items():
                 for t in range(-1, radius + 1):
-                    new = c + cost(part, t)
+                    new = c + costs[t]
                     if s + t not in g or new < g[s + t][0]:
                         g[s + t] = (new, [*chosen, t])
             f = g
@@ -257,52 +282,96 @@ def verify(rows: DataFrame) -> DataFrame:
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) among distinct fingerprints; they connect exactly what is within reach of 3 bits."""
     n, both = bit_statistics(fps)
-    rows = probes(fps, allot(n, both))
-    found = []
+    sample = np.array([r["fp"] for r in fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64)
+    scheme = allot(n, both, pair_differences(sample))
+    rows = probes(fps, scheme)
+    found, hot = [], n * sum(comb(len(part), t) for part, t in scheme) / 1000
     while True:
         sizes = rows.groupBy("tag", "key").agg(F.count("*").alias("size"), F.first("mask").alias("mask"))
-        open_bits = F.lit(BITS) - F.bit_count("mask")
-        large = save(sizes.where((F.col("size") > BUCKET) & (open_bits > FEW_OPEN)).select("tag", "key"), "simhash-large")
+        large = save(sizes.where(F.col("size") > BUCKET), "simhash-large")
         some = large.count()
-        key = large if some > BROADCAST_KEYS else F.broadcast(large)
-        small = rows.join(key, ["tag", "key"], "left_anti") if some else rows
-        found.append(verify(small.select("tag", "key", "fp").repartition("tag", "key").sortWithinPartitions("tag", "key")))
         if not some:
+            found.append(verify(_whole(rows)))
             return save(reduce(DataFrame.unionByName, found).distinct(), "simhash-links")
-        rows = save(narrow(rows.join(key, ["tag", "key"], "left_semi"), key), "simhash-narrow")
+        plan = save(parting(_meet(rows, large.select("tag", "key", "size"), some, hot)), "simhash-parting")
+        small = _meet(rows, large.select("tag", "key", "size"), some, hot, "left_anti")
+        parted = _meet(rows, plan, some, hot)
+        chunked = parted.where("chunks > 0").withColumn("i", F.pmod(F.xxhash64("fp"), F.col("chunks")))
+        others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda j: (j != F.col("i")) | (F.col("chunks") == 1))
+        chunked = chunked.select("tag", "key", "fp", "i", F.explode(others).alias("j"))
+        chunked = chunked.select("tag", F.xxhash64("tag", "key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "fp")
+        found += [verify(_whole(small)), verify(_whole(chunked))]
+        narrowed = parted.where("chunks = 0").select("tag", "key", "fp", F.posexplode("masks").alias("k", "mask"))
+        rows = save(narrowed.select(F.xxhash64("tag", "key", "k").alias("tag"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "mask"), "simhash-narrow")
 
 
-def narrow(rows: DataFrame, large: DataFrame) -> DataFrame:
-    """Parts large buckets on their open bits: RADIUS + 1 blocks, one of which two linked fingerprints share.
+def _whole(rows: DataFrame) -> DataFrame:
+    """Whole buckets in a partition, one after another."""
+    return rows.select("tag", "key", "fp").repartition("tag", "key").sortWithinPartitions("tag", "key")
 
-    The bits of a block alternate over the open ones, most balanced first, so
-    that every block tells the bucket's fingerprints apart.
-    """
-    ones = [F.sum(F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1))).alias(f"o{b}") for b in range(BITS)]
-    stats = rows.groupBy("tag", "key", "mask").agg(F.count("*").alias("n"), *ones)
 
-    def block(k: int) -> Column:
-        def balance(b: int) -> Column:
-            closed = F.shiftrightunsigned("mask", b).bitwiseAND(F.lit(1)) == 1
-            return F.struct(closed.alias("c"), F.abs(F.col(f"o{b}") * 2 - F.col("n")).alias("d"), F.lit(b).alias("b"), F.lit(signed(1 << b)).cast("long").alias("bit"))
+def _meet(rows: DataFrame, buckets: DataFrame, some: int, hot: float, how: str = "inner") -> DataFrame:
+    """Joins rows to the table of large buckets without sending a hot bucket's rows to one task.
 
-        order = F.array_sort(F.array(*(balance(b) for b in range(BITS))))
-        bits = F.filter(order, lambda x, i: (~x["c"]) & (i % (RADIUS + 1) == k))
-        return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x["bit"]))
+    Few buckets are broadcast.  Of many, at most some thousand hold over a
+    thousandth of all rows, and these are broadcast; the rest is shuffled.
+    """
+    on, table = ["tag", "key"], buckets if how == "inner" else buckets.select("tag", "key")
+    if some <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(table), on, how)
+    heavy, light = buckets.where(F.col("size") > hot), buckets.where(F.col("size") <= hot)
+    if how == "left_anti":
+        return rows.join(F.broadcast(heavy.select(*on)), on, how).join(light.select(*on), on, how)
+    rest = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(heavy), on).unionByName(rest.join(light, on))
+
+
+def parting(rows: DataFrame) -> DataFrame:
+    """(tag, key, size, chunks, masks): how each large bucket is verified.
+
+    Its open bits are dealt into RADIUS + 1 blocks, one of which two linked
+    fingerprints share; they alternate, most balanced first, so that every block
+    tells the bucket's fingerprints apart.  If that leaves few enough pairs, the
+    four masks come with 0 chunks, else the number of chunks.
+    """
+    lanes = F.lit(0x0000000100000001)
+    ones = [F.sum(F.shiftrightunsigned("fp", k).bitwiseAND(lanes)).alias(f"s{k}") for k in range(32)]
+    stats = rows.groupBy("tag", "key").agg(F.first("mask").alias("mask"), F.first("size").alias("size"), *ones)
 
-    blocks = stats.select("tag", "key", "mask", F.posexplode(F.array(*(block(k) for k in range(RADIUS + 1)))).alias("k", "more"))
-    blocks = blocks.select("tag", "key", F.col("mask").bitwiseOR(F.col("more")).alias("new_mask"), F.xxhash64("tag", "key", "k").alias("new_tag"))
-    out = rows.join(blocks, ["tag", "key"])
-    return out.select(F.col("new_tag").alias("tag"), F.col("fp").bitwiseAND(F.col("new_mask")).alias("key"), "fp", F.col("new_mask").alias("mask"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tag, key, mask, size, *sums = (c.to_numpy() for c in batch.columns)
+            low = np.stack([x & 0xFFFFFFFF for x in sums], 1)
+            high = np.stack([x >> 32 for x in sums], 1)
+            share = np.concatenate([low, high], 1) / size[:, None]
+            chunks, masks = [], []
+            for m, n, p in zip(mask, size, share, strict=True):
+                c, more = split_bucket(int(m), int(n), p)
+                chunks.append(c)
+                masks.append(more)
+            yield pa.RecordBatch.from_arrays([pa.array(tag), pa.array(key), pa.array(size), pa.array(chunks, pa.int64()), pa.array(masks, pa.list_(pa.int64()))], ["tag", "key", "size", "chunks", "masks"])
+
+    return stats.mapInArrow(run, "tag bigint, key bigint, size bigint, chunks bigint, masks array<bigint>")
+
+
+def split_bucket(mask: int, size: int, share: np.ndarray) -> tuple[int, list[int]]:
+    """(0, the masks of four blocks) or (number of chunks, none), by the share of fingerprints that have each bit."""
+    free = [b for b in range(BITS) if not mask >> b & 1]
+    free.sort(key=lambda b: (abs(share[b] - 0.5), b))
+    blocks = [free[k :: RADIUS + 1] for k in range(RADIUS + 1)]
+    left = sum(float(np.prod([1 - 2 * share[b] * (1 - share[b]) for b in block])) for block in blocks)
+    if left <= PAYS and all(blocks):
+        return 0, [signed((mask % (1 << BITS)) | sum(1 << b for b in block)) for block in blocks]
+    return -(-size // CHUNK), []
 
 
 # ------------------------------------------------------------------ components
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the links, by alternating large-star and small-star contraction."""
+    """(node, root) for every node of the links but the roots, by alternating large-star and small-star contraction."""
     edges = edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct()
-    before = None
+    before = stored = None
     while True:
         # Large star: larger neighbours join the least neighbour.
         sym = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -312,7 +381,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         near = edges.join(least, "u")
         edges = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = save(edges, "simhash-star")
+        edges, old = save(edges, "simhash-star"), stored
+        if old is not None:
+            drop(old)
+        stored = edges
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
         if before == (now["n"], now["s"]):
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -321,7 +393,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """One row a document: its id, the columns to ``keep``, ``fp``, ``component`` (a fingerprint of it) and ``component_id``, the least id reachable by links."""
-    keep = [id_column, *(keep or [])]
+    keep = [id_column, *(c for c in keep or [] if c.lower() not in ("fp", "component", "component_id"))]
     rows = save(fingerprints(docs.select(*keep, text), keep, text), "simhash-fp")
     least = save(rows.groupBy("fp").agg(F.min(id_column).alias("m")), "simhash-distinct")
     roots = components(links(least.select("fp")))
