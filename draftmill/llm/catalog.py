@@ -16,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: Byte limit of a shard in the registered query.
 SHARD_BYTES = 1 << 20
 #: A line on more than this share of a site's pages is boilerplate.
-BOILERPLATE_RATIO, BOILERPLATE_MIN_PAGES = 0.3, 5
+BOILERPLATE_RATIO = 0.3
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found, cols = pii.find_spans(docs, pii.judge(spark))
+    found, cols = pii.find_spans(docs, pii.judge(docs))
     base = F.col(cols["base"])
     counts = [_count(base, kind).alias(f"n_{kind}") for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col(cols["all"])).alias("spans"))
@@ -67,7 +67,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    out = line_dedup.drop_site_boilerplate(pages, line_dedup.host_of(F.col("url")), line_dedup.html_lines(F.col("html")), BOILERPLATE_RATIO, BOILERPLATE_MIN_PAGES)
+    out = line_dedup.drop_site_boilerplate(pages, line_dedup.host_of(F.col("url")), line_dedup.html_lines(F.col("html")), BOILERPLATE_RATIO)
     return out.select("page_id", "host", "n_lines", "n_dropped", "clean_text")
 
 
@@ -102,11 +102,12 @@ QUALIFY row_number() OVER (PARTITION BY d.doc_id ORDER BY n.depth) = 1"""
 
 
 def _op2_sql() -> str:
-    zeros = "CASE " + " ".join(f"WHEN b & {1 << k} <> 0 THEN {k}" for k in range(imatch.LEVELS)) + f" ELSE {imatch.LEVELS} END"
-    chains, levels = imatch.CHAINS, imatch.LEVELS
-    depth = " + ".join(f"depths[{c + 1}] * {16**c}" for c in range(chains))
+    chains, most = imatch.CHAINS, imatch.MOST_LEVELS
+    depths = ", ".join(f"least({most}, bit_count((y{c} & -y{c}) - 1))" for c in range(chains))
+    mixed = ", ".join(f"((name & 2147483647) * {m} >> 17) & {(1 << most) - 1} AS y{c}" for c, m in enumerate(imatch.MIXERS))
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+lv AS (SELECT greatest(1, least({most}, CAST(ceil(log2(max(n) / 2.0e0 + 1)) AS INT))) AS levels FROM d),
 nx AS (
   SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id
   FROM d WINDOW w AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
@@ -114,21 +115,26 @@ v AS (
   SELECT doc_id, 1 AS of, text AS x FROM nx UNION ALL
   SELECT doc_id, 2, left(text, n - n // 4) || left(next_text, n // 4) FROM nx),
 t AS (SELECT doc_id, of, unnest(list_distinct(list_filter(regexp_split_to_array(lower(x), '{imatch.TERM_BREAK}'), lambda w: w <> ''))) AS term FROM v),
+once AS (SELECT DISTINCT text FROM d),
+ot AS (SELECT unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '{imatch.TERM_BREAK}'), lambda w: w <> ''))) AS term FROM once),
 band AS (
-  SELECT term, md5(term) AS h FROM t WHERE of = 1 GROUP BY term
-  HAVING count(*) >= {imatch.LEAST_SHARE}e0 * (SELECT count(*) FROM d) AND count(*) <= {imatch.MOST_SHARE}e0 * (SELECT count(*) FROM d)),
-lex0 AS (SELECT term, h, list_transform(range({chains}), lambda c: CAST('0x' || substr(h, 10 + 3 * c, 3) AS BIGINT)) AS bits FROM band),
-lex1 AS (SELECT term, h, list_transform(bits, lambda b: {zeros}) AS depths FROM lex0),
-lex AS (SELECT term, depths, CAST('0x' || substr(h, 1, 9) AS BIGINT) * {16**chains} + {depth} AS packed FROM lex1),
-inb AS (SELECT doc_id, of, depths, packed FROM t JOIN lex USING (term)),
-whole AS (SELECT doc_id, of, substr(md5(string_agg(CAST(packed AS VARCHAR), ' ' ORDER BY packed)), 1, 8) AS s FROM inb GROUP BY 1, 2),
-spare AS (SELECT doc_id, of, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 8) AS s FROM t GROUP BY 1, 2),
+  SELECT term FROM ot GROUP BY term
+  HAVING count(*) >= {imatch.LEAST_SHARE}e0 * (SELECT count(*) FROM once) AND count(*) <= {imatch.MOST_SHARE}e0 * (SELECT count(*) FROM once)),
+terms AS (SELECT DISTINCT term FROM t),
+hashed AS (SELECT term, CAST('0x' || substr(sha256(term), 1, 8) AS BIGINT) AS name FROM terms),
+mixed AS (SELECT term, name, {mixed} FROM hashed),
+deep AS (SELECT term, name, [{depths}] AS depths FROM mixed),
+known AS (SELECT doc_id, of, name, depths, band.term IS NOT NULL AS in_band FROM t JOIN deep USING (term) LEFT JOIN band USING (term)),
+marked AS (SELECT *, bool_or(in_band) OVER (PARTITION BY doc_id, of) AS any_band FROM known),
+inb AS (SELECT DISTINCT doc_id, of, name, depths FROM marked WHERE in_band OR NOT any_band),
+whole AS (SELECT doc_id, of, substr(md5(string_agg(CAST(name AS VARCHAR), ' ' ORDER BY name)), 1, 8) AS s FROM inb GROUP BY 1, 2),
 kept AS (
-  SELECT doc_id, of, c, l, CASE WHEN count(*) > {imatch.FEW} THEN '+' ELSE substr(md5(string_agg(CAST(packed AS VARCHAR), ' ' ORDER BY packed)), 1, 8) END AS s
-  FROM inb, range(1, {chains + 1}) AS rc(c), range(1, {levels + 1}) AS rl(l) WHERE depths[c] >= l GROUP BY 1, 2, 3, 4),
+  SELECT doc_id, of, c, l, CASE WHEN count(*) > 2 THEN '+' ELSE substr(md5(string_agg(CAST(name AS VARCHAR), ' ' ORDER BY name)), 1, 8) END AS s
+  FROM inb, range(1, {chains + 1}) AS rc(c), range(1, {most + 1}) AS rl(l) WHERE depths[c] >= l AND l <= (SELECT levels FROM lv) GROUP BY 1, 2, 3, 4),
 slot AS (
-  SELECT v.doc_id, v.of, 0 AS k, coalesce(whole.s, spare.s, '') AS s FROM v LEFT JOIN whole USING (doc_id, of) LEFT JOIN spare USING (doc_id, of) UNION ALL
-  SELECT v.doc_id, v.of, (c - 1) * {levels} + l, coalesce(kept.s, '') FROM v CROSS JOIN range(1, {chains + 1}) AS rc(c) CROSS JOIN range(1, {levels + 1}) AS rl(l) LEFT JOIN kept USING (doc_id, of, c, l)),
+  SELECT v.doc_id, v.of, 0 AS k, coalesce(whole.s, '') AS s FROM v LEFT JOIN whole USING (doc_id, of) UNION ALL
+  SELECT v.doc_id, v.of, (c - 1) * {most} + l, coalesce(kept.s, '') FROM v CROSS JOIN range(1, {chains + 1}) AS rc(c) CROSS JOIN range(1, {most + 1}) AS rl(l) LEFT JOIN kept USING (doc_id, of, c, l)
+  WHERE l <= (SELECT levels FROM lv)),
 fp AS (SELECT doc_id, of, string_agg(s, '-' ORDER BY k) AS f FROM slot GROUP BY 1, 2),
 pairs AS (
   SELECT doc_id, 'e' AS what, doc_id AS other, 2 AS other_of FROM nx UNION ALL
@@ -144,31 +150,24 @@ JOIN near e ON e.doc_id = nx.doc_id AND e.what = 'e' JOIN near m ON m.doc_id = n
 
 
 def _op6_sql() -> str:
-    rows = []
-    for name, grams in license_scan.template_table():
-        low, high = license_scan.size_bounds(len(grams), license_scan.THRESHOLD)
-        rows.append(f"('{name}', [{', '.join(repr(g) for g in grams)}], {low}, {high})")
+    scanner, rows = license_scan.Scanner(), []
+    for k, (name, words, grams) in enumerate(scanner.rows):
+        rows.append(f"({k}, '{name}', {words}, [{', '.join(repr(g) for g in grams)}], {scanner.need[k]})")
     return f"""
-WITH t(license, g, low, high) AS (VALUES {', '.join(rows)}),
-lines AS (
-  SELECT doc_id, text, list_prepend(coalesce(text, ''), string_split(coalesce(text, ''), chr(10))) AS l FROM documents),
-units AS (
-  SELECT doc_id, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS x, len(l) AS n FROM lines),
+WITH t(k, license, n, g, need) AS (VALUES {', '.join(rows)}),
 words AS (
-  SELECT doc_id, line_no, list_filter(regexp_split_to_array(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda w: w <> '') AS w
-  FROM units WHERE line_no > 0 OR n > 2),
-grams AS (
-  SELECT doc_id, line_no, list_distinct(list_transform(w[1:len(w) - 1], lambda a, i: a || ' ' || w[i + 1])) AS g FROM words WHERE len(w) > 1),
-scored AS (
-  SELECT doc_id, line_no, license, 2.0e0 * len(list_intersect(grams.g, t.g)) / (len(grams.g) + len(t.g)) AS dice
-  FROM grams JOIN t ON len(grams.g) BETWEEN low AND high),
-best AS (
-  SELECT * FROM scored WHERE dice >= {license_scan.THRESHOLD}e0 QUALIFY row_number() OVER (PARTITION BY doc_id, line_no ORDER BY dice DESC, license) = 1),
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM documents),
+grams AS (SELECT doc_id, len(w) AS m, list_transform(w[1:len(w) - 1], lambda a, i: a || ' ' || w[i + 1]) AS b FROM words WHERE len(w) > 1),
+able AS (SELECT doc_id, k, license, g, b, least(n, m) - 1 AS width FROM grams JOIN t ON len(list_intersect(b, g)) >= need),
+windows AS (SELECT doc_id, k, license, g, b, width, unnest(range(0, len(b) - width + 1)) AS p FROM able),
+sized AS (SELECT doc_id, k, license, p, g, list_distinct(b[p + 1:p + width]) AS d FROM windows),
+scored AS (SELECT doc_id, k, license, p, 2.0e0 * len(list_intersect(d, g)) / (len(d) + len(g)) AS dice FROM sized),
+best AS (SELECT * FROM scored WHERE dice >= {license_scan.THRESHOLD}e0 QUALIFY row_number() OVER (PARTITION BY doc_id, k ORDER BY dice DESC, p) = 1),
 hits AS (
-  SELECT doc_id, count(*) AS n_matches, first(license ORDER BY dice DESC, line_no) AS license, max(dice) AS dice,
-         first(line_no ORDER BY dice DESC, line_no) AS line_no, string_agg(line_no || ':' || license, ',' ORDER BY line_no) AS matches
+  SELECT doc_id, count(*) AS n_matches, first(license ORDER BY dice DESC, p, license) AS license, max(dice) AS dice,
+         first(p ORDER BY dice DESC, p, license) AS word_no, string_agg(p || ':' || license, ',' ORDER BY p, license, dice DESC) AS matches
   FROM best GROUP BY doc_id)
-SELECT d.doc_id, coalesce(h.n_matches, 0) AS n_matches, h.license, round(h.dice, 6) AS dice, CAST(h.line_no AS BIGINT) AS line_no, coalesce(h.matches, '') AS matches
+SELECT d.doc_id, coalesce(h.n_matches, 0) AS n_matches, h.license, round(h.dice, 6) AS dice, CAST(h.word_no AS BIGINT) AS word_no, coalesce(h.matches, '') AS matches
 FROM documents d LEFT JOIN hits h USING (doc_id)"""
 
 
@@ -193,7 +192,7 @@ totals AS (SELECT host, count(*) AS pages FROM p GROUP BY 1),
 seen AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p) GROUP BY 1, 2),
 often AS (
   SELECT host, list(line) AS bad FROM seen JOIN totals USING (host)
-  WHERE pages >= {BOILERPLATE_MIN_PAGES} AND n > {BOILERPLATE_RATIO}e0 * pages GROUP BY host),
+  WHERE n >= {line_dedup.LEAST_PAGES} AND n > {BOILERPLATE_RATIO}e0 * pages GROUP BY host),
 kept AS (
   SELECT page_id, p.host, lines, CASE WHEN bad IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(bad, x)) END AS k
   FROM p LEFT JOIN often USING (host))

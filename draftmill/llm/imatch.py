@@ -5,28 +5,38 @@ frequency count.  They are sorted, and several randomised subsets of the
 lexicon each keep some of them; the hash of what a subset keeps is one slot of
 the fingerprint.  Slot 0 is the whole lexicon.  The other subsets form six
 nested chains: level l keeps a term with chance 2**-l.  A slot whose subset
-keeps more than ``FEW`` of a document's terms is marked ``+`` and not compared,
-as one changed term among many would break it; a slot that keeps none is empty.
-So a document of any length has slots of a few terms each, and the share of
-equal slots tells how much two texts have in common.
-
-Only DataFrame functions.  Document frequencies cover all documents and combine
-before the shuffle.  The lexicon cannot outgrow the mean number of distinct
-terms a document over the least share of documents (200 times that number
-here), so it is broadcast behind a check of its size; beyond it the join
-shuffles.  Texts are shuffled once, by id, for the join to the next document;
-terms are exploded, joined and gathered again within that partitioning.
-
-Edge cases: null text is empty; a text without terms of the band has slot 0
-over all its terms, and one without terms has all slots empty; fingerprints
-without comparable slots have likeness 1 if they are equal and 0 if not; null
-ids come first in the order of documents; of rows that share an id, the least
-prefix and fingerprint stand for it as a next document; an empty table gives
-an empty result.
+keeps more than two of a document's terms is marked ``+`` and not compared, as
+one changed term among many would break it; a slot that keeps none is empty.
+The number of levels follows from the longest text, so that a document of any
+length has slots of one or two terms in most chains, and the share of equal
+slots tells how much two texts have in common.
+
+Document frequencies count distinct texts, so a group of copies counts once:
+however large it is, its terms stay in the band.  A document without terms of
+the band is fingerprinted by all its terms instead.
+
+Only DataFrame functions.  Frequencies cover all documents and combine before
+the shuffle.  The lexicon cannot outgrow the mean number of distinct terms a
+document over the least share of documents (200 times that number here), so it
+is broadcast behind a check of its size; beyond it the join shuffles.  Texts are
+shuffled twice, by digest to count each once, and by id for the join to the next
+document; terms are exploded, joined and gathered again within that
+partitioning.  Within a chain only the three terms of the greatest depth tell
+what its slots are, so one short sort a chain gives them all.
+
+Edge cases: null text is empty; a text without any terms has all slots empty;
+fingerprints without comparable slots have likeness 1 if they are equal and 0
+if not; null ids come first in the order of documents and are spread by their
+text, so that many of them are no hot key; of rows that share an id, the least
+prefix and fingerprint stand for it as a next document; very long texts are
+taken whole; only the id and the text are read, so other columns may have any
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +44,12 @@ from draftmill.llm.common import save, text_of
 
 #: Terms in at least and at most these shares of all documents; as inverse document frequencies, ln 5 to ln 200.
 LEAST_SHARE, MOST_SHARE = 0.005, 0.2
-CHAINS, LEVELS, FEW = 6, 9, 2
+CHAINS, MOST_LEVELS = 6, 28
+#: A term's 31-bit hash times one of these odd numbers gives its bits in a chain.
+MIXERS = (0x5BD1E995, 0x2C1B3C6D, 0x297A2D39, 0x1B873593, 0x165667B1, 0x27D4EB2F)
 BROADCAST_TERMS = 200_000
+#: Rows of the null id are dealt by their text to so many keys.
+NULL_SALTS = 64
 TERM_BREAK = r"[^\p{L}\p{N}]+"
 
 
@@ -43,40 +57,52 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), TERM_BREAK), lambda t: t != ""))
 
 
-def _trailing_zeros(bits: Column) -> Column:
-    """Of 12 bits, at most LEVELS."""
-    out = F.lit(LEVELS)
-    for level in range(LEVELS - 1, -1, -1):
-        out = F.when(bits.bitwiseAND(F.lit(1 << level)) != 0, level).otherwise(out)
-    return out
+def packed_term(term: Column) -> Column:
+    """32 bits of the term's SHA-256, then its depth in each chain in 5 bits: the zeros that its bits in the chain end with."""
+    name = F.conv(F.substring(F.sha2(term, 256), 1, 8), 16, 10).cast("long")
+    x = name.bitwiseAND(F.lit(0x7FFFFFFF))
+    packed = F.shiftleft(name, 5 * CHAINS)
+    for c, mixer in enumerate(MIXERS):
+        bits = F.shiftright(x * F.lit(mixer).cast("long"), 17).bitwiseAND(F.lit((1 << MOST_LEVELS) - 1))
+        depth = F.least(F.bit_count(bits.bitwiseAND(-bits) - 1).cast("long"), F.lit(MOST_LEVELS).cast("long"))
+        packed = packed.bitwiseOR(F.shiftleft(depth, 5 * c))
+    return packed
+
 
+def lexicon(docs: DataFrame, text: str = "text", least: float = LEAST_SHARE, most: float = MOST_SHARE) -> tuple[DataFrame, int]:
+    """The terms of the band, (term), and the number of levels that the longest text needs."""
+    texts = docs.select(text_of(text).alias("t"))
+    facts = texts.agg(F.count_distinct(F.md5("t")).alias("n"), F.coalesce(F.max(F.length("t")), F.lit(0)).alias("longest")).first()
+    # A text of so many characters has at most half as many terms.
+    levels = max(1, min(MOST_LEVELS, math.ceil(math.log2(facts["longest"] / 2 + 1))))
+    once = texts.groupBy(F.md5("t").alias("d")).agg(F.first("t").alias("t"))
+    counts = once.select(F.explode(terms_of(F.col("t"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    band = counts.where((F.col("df") >= F.lit(least) * facts["n"]) & (F.col("df") <= F.lit(most) * facts["n"]))
+    return save(band.select("term"), "imatch-lexicon"), levels
 
-def lexicon(docs: DataFrame, text: str = "text", least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
-    """(term, packed): the terms of the band; packed holds 36 bits of the term's MD5 and its depth in each chain."""
-    n = docs.count()
-    counts = docs.select(F.explode(terms_of(text_of(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    band = counts.where((F.col("df") >= F.lit(least) * n) & (F.col("df") <= F.lit(most) * n))
-    h = F.md5("term")
-    packed = F.shiftleft(F.conv(F.substring(h, 1, 9), 16, 10).cast("long"), 4 * CHAINS)
-    for c in range(CHAINS):
-        depth = _trailing_zeros(F.conv(F.substring(h, 10 + 3 * c, 3), 16, 10).cast("long"))
-        packed = packed.bitwiseOR(F.shiftleft(depth.cast("long"), 4 * c))
-    return save(band.select("term", packed.alias("packed")), "imatch-lexicon")
 
+def fingerprint(packed: Column, levels: int) -> Column:
+    """Slot 0 and the slots of all chains, joined by '-', of a document's sorted, packed terms."""
 
-def slots(packed: Column, fallback: Column) -> Column:
-    """The slots of a document's sorted, packed terms."""
+    def digest(*names: Column) -> Column:
+        return F.substring(F.md5(F.concat_ws(" ", *(n.cast("string") for n in names))), 1, 8)
 
-    def digest(kept: Column) -> Column:
-        return F.substring(F.md5(F.array_join(F.transform(kept, lambda x: x.cast("string")), " ")), 1, 8)
+    def chain(c: int) -> Column:
+        # The deepest terms first: 31 less the depth, then the name.
+        keys = F.sort_array(F.transform(packed, lambda x: F.shiftleft(31 - F.shiftright(x, 5 * c).bitwiseAND(F.lit(31)), 32).bitwiseOR(F.shiftright(x, 5 * CHAINS))))
 
-    def slot(chain: int, level: int) -> Column:
-        kept = F.filter(packed, lambda x: F.shiftright(x, 4 * chain).bitwiseAND(F.lit(15)) >= level)
-        # One filter, then its size and digest.
-        return F.get(F.transform(F.array(kept), lambda k: F.when(F.size(k) == 0, "").when(F.size(k) > FEW, "+").otherwise(digest(k))), F.lit(0))
+        def slots(k: Column) -> Column:
+            top = [F.get(k, F.lit(i)) for i in range(3)]
+            d1, d2, d3 = (F.when(t.isNull(), 0).otherwise(F.least(31 - F.shiftright(t, 32), F.lit(levels).cast("long")).cast("int")) for t in top)
+            n1, n2 = (t.bitwiseAND(F.lit(0xFFFFFFFF)) for t in top[:2])
+            two, one = F.concat(F.lit("-"), digest(F.least(n1, n2), F.greatest(n1, n2))), F.concat(F.lit("-"), digest(n1))
+            return F.concat(F.repeat(F.lit("-+"), d3), F.repeat(two, d2 - d3), F.repeat(one, d1 - d2), F.repeat(F.lit("-"), F.lit(levels) - d1))
 
-    whole = F.when(F.size(packed) > 0, digest(packed)).otherwise(fallback)
-    return F.array(whole, *(slot(c, level) for c in range(CHAINS) for level in range(1, LEVELS + 1)))
+        return F.get(F.transform(F.array(keys), slots), F.lit(0))
+
+    names = F.transform(packed, lambda x: F.shiftright(x, 5 * CHAINS).cast("string"))
+    whole = F.when(F.size(packed) > 0, F.substring(F.md5(F.array_join(names, " ")), 1, 8)).otherwise("")
+    return F.concat(whole, *(chain(c) for c in range(CHAINS)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -104,45 +130,55 @@ def next_ids(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    words = lexicon(docs, text)
+    words, levels = lexicon(docs, text)
+    words = words.withColumn("in_band", F.lit(True))
     words = F.broadcast(words) if words.count() <= BROADCAST_TERMS else words
     nexts = next_ids(docs, id_column, text)
-    # Ids may be null: k and z are never, and both joins and the grouping share one partitioning.
-    rows = docs.select(F.coalesce(F.col(id_column), F.lit(0)).alias("k"), F.col(id_column).isNull().alias("z"), text_of(text).alias("text"))
+    zero = F.lit(0).cast(docs.schema[id_column].dataType)
 
     def key(name: str, to: str = "") -> list[Column]:
-        return [F.coalesce(F.col(name), F.lit(0)).alias(f"k{to}"), F.col(name).isNull().alias(f"z{to}")]
+        """Ids may be null: k and z are never, and both joins and the grouping share one partitioning."""
+        return [F.coalesce(F.col(name), zero).alias(f"k{to}"), F.col(name).isNull().alias(f"z{to}")]
 
-    need = nexts.select(*key("next_id"), *key("id", "0"), "quarter")
-    prefix = rows.join(need, ["k", "z"]).select(F.col("k0").alias("k"), F.col("z0").alias("z"), F.expr("substring(text, 1, cast(quarter as int))").alias("prefix"))
-    prefix = prefix.groupBy("k", "z").agg(F.min("prefix").alias("prefix"))
-    both = rows.join(prefix, ["k", "z"]).select("k", "z", "text", F.length("text").alias("n"), "prefix")
-    both = both.withColumn("edited", F.concat(F.expr("substring(text, 1, n - cast(floor(n / 4) as int))"), F.expr("substring(prefix, 1, cast(floor(n / 4) as int))")))
-    both = both.select("k", "z", F.xxhash64("text").alias("h"), F.length("text").cast("long").alias("n"), F.sha2("edited", 256).alias("sha"), terms_of(F.col("text")).alias("a"), terms_of(F.col("edited")).alias("b"))
+    def salted(keys: DataFrame) -> DataFrame:
+        """A row for each salt that rows of the null id have; a row of salt 0 for others."""
+        return keys.withColumn("s", F.explode(F.when(F.col("z"), F.sequence(F.lit(0), F.lit(NULL_SALTS - 1))).otherwise(F.array(F.lit(0)))))
 
-    def whole(x: str) -> Column:
-        return F.when(F.size(x) > 0, F.substring(F.md5(F.array_join(F.array_sort(x), " ")), 1, 8)).otherwise("")
+    rows = docs.select(*key(id_column), text_of(text).alias("text"))
+    rows = rows.withColumn("s", F.when(F.col("z"), F.pmod(F.xxhash64("text"), F.lit(NULL_SALTS)).cast("int")).otherwise(0))
+
+    need = salted(nexts.select(*key("next_id"), *key("id", "0"), "quarter"))
+    prefix = rows.join(need, ["k", "z", "s"]).select(F.col("k0").alias("k"), F.col("z0").alias("z"), F.expr("substring(text, 1, cast(quarter as int))").alias("prefix"))
+    prefix = salted(prefix.groupBy("k", "z").agg(F.min("prefix").alias("prefix")))
+    both = rows.join(prefix, ["k", "z", "s"]).select("k", "z", "s", "text", F.length("text").alias("n"), "prefix")
+    both = both.withColumn("edited", F.concat(F.expr("substring(text, 1, n - cast(floor(n / 4) as int))"), F.expr("substring(prefix, 1, cast(floor(n / 4) as int))")))
+    both = both.select("k", "z", "s", F.xxhash64("text").alias("h"), F.length("text").cast("long").alias("n"), F.sha2("edited", 256).alias("sha"), terms_of(F.col("text")).alias("a"), terms_of(F.col("edited")).alias("b"))
 
     # One exploded row carries what holds for the document; the others carry a term each.
-    facts = F.struct(F.col("n"), F.col("sha"), whole("a").alias("fa"), whole("b").alias("fb"))
-    none = F.lit(None).cast("struct<n:bigint,sha:string,fa:string,fb:string>")
+    facts = F.struct(F.col("n"), F.col("sha"))
+    none = F.lit(None).cast("struct<n:bigint,sha:string>")
     terms = F.concat(
         F.array(F.struct(F.lit(0).alias("of"), F.lit(None).cast("string").alias("term"), facts.alias("facts"))),
         F.transform("a", lambda t: F.struct(F.lit(1).alias("of"), t.alias("term"), none.alias("facts"))),
         F.transform("b", lambda t: F.struct(F.lit(2).alias("of"), t.alias("term"), none.alias("facts"))),
     )
-    exploded = both.select("k", "z", "h", F.explode(terms).alias("t")).select("k", "z", "h", "t.*")
-    found = exploded.join(words, "term", "left").where("of = 0 or packed is not null")
-    gathered = found.groupBy("k", "z", "h").agg(
-        F.collect_list(F.when(F.col("of") == 1, F.col("packed"))).alias("pa"),
-        F.collect_list(F.when(F.col("of") == 2, F.col("packed"))).alias("pb"),
+    exploded = both.select("k", "z", "s", "h", F.explode(terms).alias("t")).select("k", "z", "s", "h", "t.*")
+    found = exploded.join(words, "term", "left").select("k", "z", "s", "h", "of", "facts", packed_term(F.col("term")).alias("p"), F.coalesce("in_band", F.lit(False)).alias("in_band"))
+
+    def gather(of: int, band: bool) -> Column:
+        return F.collect_list(F.when((F.col("of") == of) & (F.col("in_band") == band), F.col("p")))
+
+    gathered = found.groupBy("k", "z", "s", "h").agg(
+        *(gather(of, band).alias(f"p{of}{'in' if band else 'out'}") for of in (1, 2) for band in (True, False)),
         F.collect_list("facts").alias("facts"),  # one for each row of equal id and text
     )
-    gathered = gathered.select("k", "z", F.array_sort(F.array_distinct("pa")).alias("pa"), F.array_sort(F.array_distinct("pb")).alias("pb"), F.explode("facts").alias("f"))
-    table = gathered.select("k", "z", "f.n", "f.sha", F.array_join(slots(F.col("pa"), F.col("f.fa")), "-").alias("fp"), F.array_join(slots(F.col("pb"), F.col("f.fb")), "-").alias("fe"))
+    used = [F.array_sort(F.array_distinct(F.when(F.size(f"p{of}in") > 0, F.col(f"p{of}in")).otherwise(F.col(f"p{of}out")))).alias(f"p{of}") for of in (1, 2)]
+    gathered = gathered.select("k", "z", "s", *used, F.explode("facts").alias("f"))
+    table = gathered.select("k", "z", "s", "f.n", "f.sha", fingerprint(F.col("p1"), levels).alias("fp"), fingerprint(F.col("p2"), levels).alias("fe"))
     table = save(table, "imatch-fingerprints")
-    of_next = nexts.select(*key("next_id"), *key("id", "0")).join(table.select("k", "z", "fp"), ["k", "z"]).groupBy(F.col("k0").alias("k"), F.col("z0").alias("z")).agg(F.min("fp").alias("fn"))
-    out = table.join(of_next, ["k", "z"])
+    of_next = salted(nexts.select(*key("next_id"), *key("id", "0"))).join(table.select("k", "z", "s", "fp"), ["k", "z", "s"])
+    of_next = salted(of_next.groupBy(F.col("k0").alias("k"), F.col("z0").alias("z")).agg(F.min("fp").alias("fn")))
+    out = table.join(of_next, ["k", "z", "s"])
     return out.select(
         F.when(~F.col("z"), F.col("k")).alias(id_column),
         F.col("n").alias("n_chars"),

@@ -9,10 +9,16 @@ lines over the ratio number fewer than its mean distinct lines a page divided
 by the ratio, so they fit an array; pages are then cleaned row by row against
 their host's array, without exploding and regrouping them.
 
+Patterns run over whole pages of any length: none repeats a group, and no tag
+reaches beyond the next ``<``, so a search takes linear time and no recursion.
+A comment, script or style without an end goes on to the end of the page.
+
 Edge cases: null html or text is one empty page; a null or unparsable URL has
-the host ''; repeated rows are pages in their own right; hosts with fewer than
-``min_pages`` pages keep all their lines, as every line of a lone page would
-have ratio 1; an empty table gives an empty result.
+the host ''; repeated rows are pages in their own right; a line on one page
+alone is never boilerplate, as every line of a lone page has ratio 1; pages
+without line ends and very long pages are handled like others; columns of the
+input that clash with working names come through; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -27,9 +33,11 @@ BROADCAST_BYTES = 32 << 20
 
 HOST_PATTERN = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 #: Removed without a line break: comments, scripts, styles, inline tags.
-INLINE_PATTERN = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|</?(?:a|abbr|b|code|em|font|i|mark|s|small|span|strong|sub|sup|u)(?:\s[^>]*)?>"
-#: Any other tag, and line ends, part lines.
-BREAK_PATTERN = r"(?:<[^>]*>|[\r\n])+"
+INLINE_PATTERN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script>|\z)|<style\b.*?(?:</style>|\z)|</?(?:a|abbr|b|code|em|font|i|mark|s|small|span|strong|sub|sup|u)(?:\s[^<>]*)?>"
+#: Any other tag, and line ends, part lines; what they leave empty goes.
+BREAK_PATTERN = r"<[^<>]*>|[\r\n]"
+#: A line on this many pages at least may be boilerplate.
+LEAST_PAGES = 2
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
@@ -50,7 +58,7 @@ def html_lines(html: Column) -> Column:
     return F.filter(F.transform(lines, clean), lambda x: x != "")
 
 
-def drop_site_boilerplate(df: DataFrame, host: Column, lines: Column, ratio: float = 0.3, min_pages: int = 5) -> DataFrame:
+def drop_site_boilerplate(df: DataFrame, host: Column, lines: Column, ratio: float = 0.3) -> DataFrame:
     """df with ``host``, ``n_lines``, ``n_dropped`` and ``clean_text`` added; columns of df by these names are replaced."""
     all_lines, bad, all_host = free_name(df, "lines", "bad", "host")
     pages = df.select("*", host.alias(all_host), lines.alias(all_lines))
@@ -58,7 +66,8 @@ def drop_site_boilerplate(df: DataFrame, host: Column, lines: Column, ratio: flo
     seen = pages.select(all_host, F.explode(F.array_distinct(all_lines)).alias("line")).groupBy(all_host, "line").agg(F.count("*").alias("n"))
     # At most a few lines a host come through this join, so the arrays stay short.
     often = (
-        seen.join(totals.where(F.col("pages") >= min_pages), all_host)
+        seen.where(F.col("n") >= LEAST_PAGES)
+        .join(totals, all_host)
         .where(F.col("n") > F.lit(ratio) * F.col("pages"))
         .groupBy(all_host)
         .agg(F.collect_list("line").alias(bad))
@@ -68,7 +77,9 @@ def drop_site_boilerplate(df: DataFrame, host: Column, lines: Column, ratio: flo
     if held <= BROADCAST_BYTES:
         often = F.broadcast(often)
     joined = pages.join(often, all_host, "left")
-    kept = F.when(F.col(bad).isNull(), F.col(all_lines)).otherwise(F.filter(all_lines, lambda x: ~F.array_contains(F.col(bad), x)))
+    # The page's own boilerplate first, by a hash of the host's: few lines to look each line up in.
+    own = F.array_intersect(all_lines, bad)
+    kept = F.when(F.col(bad).isNull(), F.col(all_lines)).otherwise(F.get(F.transform(F.array(own), lambda o: F.filter(all_lines, lambda x: ~F.array_contains(o, x))), F.lit(0)))
     fresh = [c for c in df.columns if c.lower() not in ("host", "n_lines", "n_dropped", "clean_text")]
     kept_name = f"{bad}k"
     return joined.withColumn(kept_name, kept).select(
