@@ -12,12 +12,18 @@ full: within a digest the least and the greatest text must be equal, which is
 again a map-side-combined aggregate.  Digests whose texts differ (a hash
 collision) are grouped by text instead.
 
+A row without a hit keeps itself and meets no join.  Rows with a hit meet the
+state of their digest by a broadcast; where hits are too many for that, only
+digests with over a thousandth of all rows are broadcast, at most a thousand,
+and the rest is shuffled, so no digest's rows go to one task.
+
 Only DataFrame and Structured Streaming functions; no Python on the executors.
+The stream's settings are those of a session of its own.
 
 Edge cases: null text counts as empty; of equal texts the row with the most
 code points stays, then the smallest id, nulls last, then the earliest row, so
-repeated rows leave one; other columns do not matter; an empty table gives an
-empty result.
+repeated rows leave one; very long texts are compared whole; other columns do
+not matter, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,8 +35,8 @@ from pyspark.sql import functions as F
 
 from draftmill.llm.common import SPACE_CLASS, save, text_of, with_row, work_dir
 
-#: Digests of hits are broadcast up to this many (16 MB); beyond it the join shuffles.
-BROADCAST_HITS = 500_000
+#: Digests of hits with their state are broadcast up to this many (some 50 MB).
+BROADCAST_HITS = 200_000
 #: Settings of the stream: state on disk; no preallocated files, of which each state partition would hold several megabytes.
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -57,13 +63,13 @@ def exact_groups(docs: DataFrame, row: str, id_column: str = "doc_id", text: str
     # The landing table is the stream's source; it has digests and locators, no texts.
     docs.select(F.col(row).alias("row"), F.col(id_column).alias("id"), F.length(text_of(text)).cast("long").alias("chars"), digest(norm).alias("digest")).write.parquet(landing)
     state = _stream(spark, landing, bytes_per_batch, files_per_batch)
-    placed = spark.read.parquet(landing).join(state, "digest")
-
-    hits = state.where(F.col("group_size") > 1).select("digest")
-    if hits.count() <= BROADCAST_HITS:
-        hits = F.broadcast(hits)
+    records = spark.read.parquet(landing)
+    hits = save(state.where(F.col("group_size") > 1), "dedup-hits")
+    few, hot = hits.count() <= BROADCAST_HITS, records.count() / 1000
+    own = F.struct((-F.col("chars")).alias("less"), F.col("id").isNull().alias("no_id"), "id", "row")
+    placed = _meet(records, hits, few, hot, "left").select("digest", "row", "id", "chars", F.coalesce("best", own).alias("best"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"))
     rows = docs.select(F.col(row).alias("row"), F.col(id_column).alias("id"), F.length(text_of(text)).cast("long").alias("chars"), norm.alias("norm")).withColumn("digest", digest(F.col("norm")))
-    rows = rows.join(hits, "digest", "left_semi")
+    rows = _meet(rows, hits, few, hot, "left_semi")
     differ = save(rows.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).where(F.col("a") != F.col("b")).select("digest"), "dedup-collisions")
     if differ.limit(1).count():
         apart = rows.join(differ, "digest", "left_semi")
@@ -73,6 +79,15 @@ def exact_groups(docs: DataFrame, row: str, id_column: str = "doc_id", text: str
     return placed.select("row", "id", "digest", F.col("best.row").alias("keep_row"), F.col("best.id").alias("keep_id"), "group_size")
 
 
+def _meet(rows: DataFrame, hits: DataFrame, few: bool, hot: float, how: str) -> DataFrame:
+    """A left or semi join of rows with the hits that sends no hot digest's rows to one task."""
+    if few:
+        return rows.join(F.broadcast(hits), "digest", how)
+    heavy, light = hits.where(F.col("group_size") > hot), hits.where(F.col("group_size") <= hot)
+    rest = rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti").join(light, "digest", how)
+    return rows.join(F.broadcast(heavy), "digest", "inner" if how == "left" else how).unionByName(rest)
+
+
 def _best() -> Column:
     """The row that stays, as the least struct."""
     return F.min(F.struct((-F.col("chars")).alias("less"), F.col("id").isNull().alias("no_id"), "id", "row"))
@@ -81,10 +96,12 @@ def _best() -> Column:
 def _stream(spark: SparkSession, landing: str, bytes_per_batch: int, files_per_batch: int | None) -> DataFrame:
     out, at = work_dir(spark, "dedup-state"), work_dir(spark, "dedup-checkpoint")
     source = spark.read.parquet(landing)
-    had = {k: spark.conf.get(k, None) for k in _STATE}
+    own = spark.newSession()
+    for k, v in _STATE.items():
+        own.conf.set(k, v)
     limit = {"maxFilesPerTrigger": files_per_batch} if files_per_batch else {"maxBytesPerTrigger": bytes_per_batch}
     grouped = (
-        spark.readStream.schema(source.schema)
+        own.readStream.schema(source.schema)
         .options(**limit)
         .parquet(landing)
         .groupBy("digest")
@@ -94,14 +111,8 @@ def _stream(spark: SparkSession, landing: str, bytes_per_batch: int, files_per_b
     def put(batch: DataFrame, number: int) -> None:  # a batch that runs again replaces its own folder
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/{number}")
 
-    for k, v in _STATE.items():
-        spark.conf.set(k, v)
-    try:
-        query = grouped.writeStream.outputMode("update").option("checkpointLocation", at).trigger(availableNow=True).foreachBatch(put).start()
-        query.awaitTermination()
-    finally:
-        for k, v in had.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    query = grouped.writeStream.outputMode("update").option("checkpointLocation", at).trigger(availableNow=True).foreachBatch(put).start()
+    query.awaitTermination()
     schema = source.select("digest", F.struct(F.col("chars").alias("less"), F.lit(True).alias("no_id"), "id", "row").alias("best"), F.lit(0).cast("long").alias("group_size"), F.lit(0).cast("int").alias("batch")).schema
     batches = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out) if source.limit(1).count() else spark.createDataFrame([], schema)
     return batches.groupBy("digest").agg(F.max_by(F.struct("best", "group_size"), "batch").alias("s")).select("digest", "s.best", "s.group_size")
