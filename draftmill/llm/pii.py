@@ -444,10 +444,11 @@ def labelled(lines: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, text: str = "text") -> Judge:
     """The model trained on a bounded sample of docs."""
-    sample = save(sample_documents(docs, text).unionByName(made_documents(docs.sparkSession)), "pii-sample")
+    sample = save(sample_documents(docs, text).unionByName(made_documents(docs.sparkSession)).coalesce(2), "pii-sample")
     part = F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(5))
-    lines = save(examples(sample), "pii-lines")  # bounded, as the sample is
-    rows = save(labelled(lines).withColumn("part", part), "pii-examples")
+    # Few tasks: the sample is small, and each task compiles the whole of the features.
+    lines = save(examples(sample).coalesce(4), "pii-lines")  # bounded, as the sample is
+    rows = save(labelled(lines).withColumn("part", part).coalesce(8), "pii-examples")
     known = rows.where("part > 1").select("key", "kind", "label", array_to_vector("f").alias("features")).repartition(2, "key").sortWithinPartitions("key", "kind", "label", "features")
     model = GBTClassifier(maxIter=20, maxDepth=5, stepSize=0.4, seed=SEED).fit(known)
     trees = tuple((float(w), parse_tree(t.toDebugString)) for w, t in zip(model.treeWeights, model.trees, strict=True))
