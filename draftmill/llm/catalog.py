@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftmill.llm import bpe, exact_dedup, imatch, license_scan, line_dedup, packing, pii, quality, sharding, simhash
+from draftmill.llm import bpe, exact_dedup, imatch, license_scan, line_dedup, packing, pii, quality, sharding, simhash, vector_codes
 from draftmill.llm.common import table, text_of, with_row
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.encode_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
 def _op1_sql() -> str:
     return f"""
 WITH d AS (
@@ -199,6 +204,32 @@ kept AS (
 SELECT page_id, host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(k) AS BIGINT) AS n_dropped, coalesce(array_to_string(k, chr(10)), '') AS clean_text FROM kept"""
 
 
+def _op12_sql() -> str:
+    parts, last = vector_codes.PARTS, vector_codes.ROUNDS
+    rounds = []
+    for k in range(last + 1):
+        rounds.append(f"""
+near{k} AS MATERIALIZED (
+  SELECT vec_id, p, q.v, arg_min(e, list_inner_product(q.v, q.v) - 2 * list_inner_product(q.v, b.v) + list_inner_product(b.v, b.v) ORDER BY e) AS e,
+         min(list_inner_product(q.v, q.v) - 2 * list_inner_product(q.v, b.v) + list_inner_product(b.v, b.v)) AS d
+  FROM part q JOIN book{k} b USING (p) GROUP BY 1, 2, 3)""".replace("arg_min(e, ", "first(e ORDER BY ").replace(" ORDER BY e) AS e", ", e) AS e"))
+        if k < last:
+            rounds.append(f"""
+mean{k} AS (
+  SELECT p, e, list(m ORDER BY i) AS v FROM (
+    SELECT p, e, i, floor(sum(v[i]) / count(*)) AS m FROM near{k}, range(1, 1 + len(v)) AS r(i) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+book{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.v, b.v) AS v FROM book{k} b LEFT JOIN mean{k} m USING (p, e))""")
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(x::DOUBLE * {vector_codes.SCALE}) AS DOUBLE)) AS c FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+part AS MATERIALIZED (SELECT vec_id, p, c[p * len(c) // {parts} + 1:(p + 1) * len(c) // {parts}] AS v FROM kept, range({parts}) AS r(p)),
+book0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v FROM part QUALIFY e < {vector_codes.ENTRIES}),{','.join(rounds)},
+coded AS (SELECT vec_id, string_agg(printf('%02x', CAST(e AS INT)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{last} GROUP BY 1),
+books AS (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{last})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN kept USING (vec_id), books"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_sharding": op1_sharding,
@@ -211,8 +242,9 @@ def queries() -> dict[str, Query]:
         "op8_line_dedup": op8_line_dedup,
         "op9_packing": op9_packing,
         "op10_quality": op10_quality,
+        "op12_vector_codes": op12_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": _op1_sql(), "op2_imatch": _op2_sql(), "op6_license_scan": _op6_sql(), "op7_exact_dedup": _op7_sql(), "op8_line_dedup": _op8_sql()}
+    return {"op1_sharding": _op1_sql(), "op2_imatch": _op2_sql(), "op6_license_scan": _op6_sql(), "op7_exact_dedup": _op7_sql(), "op8_line_dedup": _op8_sql(), "op12_vector_codes": _op12_sql()}

@@ -85,3 +85,30 @@ def with_row(docs: DataFrame) -> tuple[DataFrame, str]:
         return located(docs), row
     except AnalysisException:  # no such metadata
         return located(save(docs, "rows")), row
+
+
+#: Of all rows, a key that holds more than this share is hot: there are at most 1 / HOT_SHARE of them.
+HOT_SHARE = 1 / 1024
+
+
+def meet(rows: DataFrame, table: DataFrame, key: str, weight: str, how: str = "left") -> DataFrame:
+    """rows joined to a table of one row a key, nulls included, without sending a hot key's rows to one task.
+
+    ``weight`` is the number of rows of a key.  Keys over ``HOT_SHARE`` of all
+    rows, whose number is bounded by that, are broadcast; the others are
+    shuffled.  The table is stored, as it is read several times, and the weight
+    is left out of the result.
+    """
+    table = save(table, "meet")
+    (theirs,) = free_name(rows, "key")
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) > total * HOT_SHARE
+    light, heavy = (table.where(c).drop(weight).withColumnRenamed(key, theirs) for c in (~hot, hot))
+    same = rows[key].eqNullSafe(F.col(theirs))
+    few = [r[0] for r in heavy.select(theirs).collect()]
+    is_hot = F.lit(False)
+    if few:
+        is_hot = F.coalesce(F.col(key).isin([k for k in few if k is not None]), F.lit(None in few))
+    quick = rows.where(is_hot).join(F.broadcast(heavy), same, how).drop(theirs)
+    slow = rows.where(~is_hot).join(light, same, how).drop(theirs)
+    return quick.unionByName(slow) if few else slow
