@@ -8,8 +8,8 @@ import public_tokenizers as tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftmill.llm import bpe, exact_dedup, imatch, license_scan, line_dedup, packing, pii, quality, sharding, simhash, vector_codes
-from draftmill.llm.common import table, text_of, with_row
+from draftmill.llm import bpe, exact_dedup, imatch, license_scan, line_dedup, packing, pii, prefix_trie, quality, sharding, simhash, vector_codes
+from draftmill.llm.common import save, table, text_of, with_row
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 SHARD_BYTES = 1 << 20
 #: A line on more than this share of a site's pages is boilerplate.
 BOILERPLATE_RATIO = 0.3
+#: Conversations of so many successive ids share their first turns, as many as a checksum modulo the other tells.
+CONVERSATION_GROUP, CONVERSATION_HEADS = 5, 9
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +93,12 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = save(prefix_trie.sequences(table(spark, sf_dir, "conversations")), "conversations")
+    conv = F.col("conv_id")
+    return prefix_trie.trie(prefix_trie.rebuilt(convs, conv - conv % CONVERSATION_GROUP, F.crc32(conv.cast("string").cast("binary")) % CONVERSATION_HEADS))
+
+
 def _op1_sql() -> str:
     return f"""
 WITH d AS (
@@ -230,6 +238,35 @@ books AS (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda x: C
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN kept USING (vec_id), books"""
 
 
+def _op13_sql() -> str:
+    return f"""
+WITH RECURSIVE turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list({{'r': role, 't': text}} ORDER BY turn NULLS FIRST) AS l FROM turns GROUP BY 1),
+bits(c, s, rest, k) AS (
+  SELECT c, 4294967295::BIGINT, CAST(c AS VARCHAR), 0 FROM own UNION ALL
+  SELECT c, CASE WHEN k > 0 THEN xor(s >> 1, CASE WHEN s % 2 = 1 THEN 3988292384 ELSE 0 END) ELSE xor(s, ascii(rest)) END,
+         CASE WHEN k = 8 THEN rest[2:] ELSE rest END, (k + 1) % 9 FROM bits WHERE rest <> ''),
+heads AS (SELECT c, CAST(xor(s, 4294967295) % {CONVERSATION_HEADS} AS INT) AS h FROM bits WHERE rest = ''),
+built AS (
+  SELECT o.c, list_concat(coalesce(b.l[1:h], []), o.l[h + 1:]) AS l
+  FROM own o JOIN heads USING (c) LEFT JOIN own b ON b.c = o.c - o.c % {CONVERSATION_GROUP}),
+steps AS (
+  SELECT c, d, len(l) AS n, l[d] AS last, sha256(to_json(l[1:d])::VARCHAR) AS node, CASE WHEN d > 0 THEN sha256(to_json(l[1:d - 1])::VARCHAR) END AS above
+  FROM built, range(0, 1 + len(l)) AS r(d)),
+nodes AS (
+  SELECT node, any_value(above) AS above, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(coalesce(strlen(last.t), 0)) AS own_saved,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256
+  FROM steps GROUP BY node),
+fan AS (SELECT above AS node, count(*) AS n FROM nodes WHERE above IS NOT NULL GROUP BY 1),
+up(node, top) AS (SELECT node, node FROM nodes UNION ALL SELECT up.node, n.above FROM up JOIN nodes n ON n.node = up.top WHERE n.above IS NOT NULL),
+sums AS (
+  SELECT top, CAST(sum(own_saved) AS BIGINT) AS saved_tokens, count(*) FILTER (fan.n IS NULL) AS n_leaves
+  FROM up JOIN nodes ON nodes.node = up.node LEFT JOIN fan ON fan.node = up.node GROUP BY top)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(fan.n, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.node = n.above LEFT JOIN fan ON fan.node = n.node JOIN sums ON sums.top = n.node"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_sharding": op1_sharding,
@@ -243,8 +280,9 @@ def queries() -> dict[str, Query]:
         "op9_packing": op9_packing,
         "op10_quality": op10_quality,
         "op12_vector_codes": op12_vector_codes,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": _op1_sql(), "op2_imatch": _op2_sql(), "op6_license_scan": _op6_sql(), "op7_exact_dedup": _op7_sql(), "op8_line_dedup": _op8_sql(), "op12_vector_codes": _op12_sql()}
+    return {"op1_sharding": _op1_sql(), "op2_imatch": _op2_sql(), "op6_license_scan": _op6_sql(), "op7_exact_dedup": _op7_sql(), "op8_line_dedup": _op8_sql(), "op12_vector_codes": _op12_sql(), "op13_prefix_trie": _op13_sql()}
