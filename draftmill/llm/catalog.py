@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftmill.llm import bpe, exact_dedup, imatch, license_scan, line_dedup, packing, pii, prefix_trie, quality, sharding, simhash, vector_codes
+from draftmill.llm import bpe, exact_dedup, hmm, imatch, license_scan, line_dedup, packing, pii, prefix_trie, quality, sharding, simhash, vector_codes
 from draftmill.llm.common import save, table, text_of, with_row
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +88,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0))
 
 
+def op11_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = vector_codes.encode_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
     return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
@@ -279,6 +283,7 @@ def queries() -> dict[str, Query]:
         "op8_line_dedup": op8_line_dedup,
         "op9_packing": op9_packing,
         "op10_quality": op10_quality,
+        "op11_hmm_score": op11_hmm_score,
         "op12_vector_codes": op12_vector_codes,
         "op13_prefix_trie": op13_prefix_trie,
     }

@@ -42,6 +42,12 @@ def save(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores at least: a small table may be a single file of one."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes what ``save`` stored for these tables, which nothing may read any more."""
     for table in tables:
