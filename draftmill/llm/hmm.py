@@ -294,7 +294,7 @@ class Block:
                 np.matmul(model.move, e, out=beta[:, at[t - 1] : cut])
                 if cut < at[t]:
                     beta[:, cut : at[t]] = ends[:, m : self.active[t - 1]]
-        before = np.arange(n, len(self.flat)) - np.repeat(self.active[:-1], self.active[1:])
+        before = np.arange(n, len(self.flat)) - np.repeat(np.array(self.active[:-1], np.int64), self.active[1:])
         to.moves += alpha.take(before, axis=1) @ emit[:, n:].T * model.move
         alpha *= beta
         for k in range(len(alpha)):
