@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from draftmill.functions import ids, validation
@@ -44,18 +44,30 @@ def fresh_against(new: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, key: str, order: str, name: str, block: int = 1 << 16) -> DataFrame:
-    """Adds each row's place, from 0, among the rows of its key by a whole-number order.
+    """Adds each row's place, from 0, among the rows of its key by a whole-number order."""
+    return counted_before(df, key, order, {name: F.lit(True)}, block=block)
 
-    Rows are numbered within blocks of the order, and a block starts after the
-    rows of the key's earlier blocks, so no task sorts more than a block of a
-    key, however many rows share it.
+
+def counted_before(df: DataFrame, key: str, order: str, counts: dict[str, Column], start: DataFrame | None = None, block: int = 1 << 16) -> DataFrame:
+    """Adds how many earlier rows of the same key, by a whole-number order, meet each condition.
+
+    ``start`` has what the counts of a key begin with, a row a key.  Rows are
+    counted within blocks of the order, and a block starts after the key's
+    earlier blocks, so no task sorts more than a block of a key, however many
+    rows share it.
     """
-    df = df.withColumn("_block", F.floor(F.col(order) / block))
-    sizes = df.groupBy(key, "_block").agg(F.count("*").alias("_n"))
+    conditions = {f"_is_{n}": c.cast("long") for n, c in counts.items()}
+    df = df.withColumns({"_block": F.floor(F.col(order) / block), **conditions})
+    sizes = df.groupBy(key, "_block").agg(*(F.sum(f"_is_{n}").alias(f"_n_{n}") for n in counts))
     earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(key, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
-    within = Window.partitionBy(key, "_block").orderBy(order)
-    return df.withColumn("_at", F.row_number().over(within)).join(starts, [key, "_block"]).withColumn(name, F.col("_start") + F.col("_at") - 1).drop("_block", "_at", "_start")
+    starts = sizes.select(key, "_block", *(F.coalesce(F.sum(f"_n_{n}").over(earlier), F.lit(0)).alias(f"_start_{n}") for n in counts))
+    if start is not None:
+        begin = start.select(key, *(F.col(n).alias(f"_begin_{n}") for n in counts))
+        starts = starts.join(begin, key, "left").select(key, "_block", *((F.col(f"_start_{n}") + F.coalesce(f"_begin_{n}", F.lit(0))).alias(f"_start_{n}") for n in counts))
+    within = Window.partitionBy(key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumns({f"_here_{n}": F.coalesce(F.sum(f"_is_{n}").over(within), F.lit(0)) for n in counts})
+    out = df.join(starts, [key, "_block"]).withColumns({n: F.col(f"_start_{n}") + F.col(f"_here_{n}") for n in counts})
+    return out.drop("_block", *(f"_{k}_{n}" for n in counts for k in ("is", "start", "here")))
 
 
 def with_hash_ids(df: DataFrame, order: str = "rid") -> DataFrame:

@@ -51,6 +51,19 @@ def checks_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def clashing(raw: DataFrame) -> DataFrame:
+    """raw with the boundary of account and check number moved in every other row: other keys, but the same text of the id."""
+    move = F.col("rid") % 2 == 1
+    account = F.concat("account_number", F.left("check_number", F.lit(1)))
+    return raw.withColumns({"account_number": F.when(move, account).otherwise(F.col("account_number")), "check_number": F.when(move, F.expr("substring(check_number, 2)")).otherwise(F.col("check_number"))})
+
+
+CLASHING_SQL = """
+clashing AS (
+  SELECT * REPLACE (CASE WHEN rid % 2 = 1 THEN account_number || left(check_number, 1) ELSE account_number END AS account_number,
+                    CASE WHEN rid % 2 = 1 THEN check_number[2:] ELSE check_number END AS check_number) FROM checks_raw)"""
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df as a stored table: a relation that several branches of a plan read is derived once, and a lost executor never makes it run again."""
     path = shared(df.sparkSession, label)

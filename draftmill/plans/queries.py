@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from draftmill.functions import ids, scalars, validation
-from draftmill.operators import dedup, detect, extraction, outcomes, payload, routing, scoring, store
-from draftmill.plans.fixtures import AS_OF, CHECKS_RAW_SQL, COMPONENTS_SQL, checks_raw, components, stored, table
+from draftmill.operators import commits, dedup, detect, extraction, outcomes, payload, routing, scoring, store
+from draftmill.plans.fixtures import AS_OF, CHECKS_RAW_SQL, CLASHING_SQL, COMPONENTS_SQL, checks_raw, clashing, components, stored, table
 from draftmill.plans.settings import Settings
 from draftmill.sources import pixels
 from draftmill.sources.workdir import shared
@@ -800,7 +800,8 @@ def mapped_receipt(spark: SparkSession, d: str) -> DataFrame:
 _STORED_IDS = (
     JUDGED
     + f""", pt AS (SELECT *, coalesce(routing_number, 'None') || coalesce(account_number, 'None') || coalesce(check_number, 'None') || coalesce(check_date, 'None') || coalesce(CAST(amount AS VARCHAR), 'None') AS id_text FROM judged WHERE route IN ('processed', 'manual_review')),
-po AS (SELECT *, CASE WHEN route = 'processed' THEN row_number() OVER (PARTITION BY route, id_text ORDER BY rid) - 1 ELSE 0 END AS again FROM pt),
+pm AS (SELECT *, route = 'processed' AND routing_number IS NOT NULL AND account_number IS NOT NULL AND check_number IS NOT NULL AND amount IS NOT NULL AND check_date IS NOT NULL AS mapped FROM pt),
+po AS (SELECT *, count(*) FILTER (mapped) OVER w AS again, count(*) FILTER (NOT mapped) OVER w AS taken FROM pm WINDOW w AS (PARTITION BY id_text ORDER BY rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 kept AS (SELECT *, translate(to_base64(unhex(substr(sha256(CASE WHEN again > 0 THEN id_text || '|' || again ELSE id_text END), 1, 24))), '+/', '-_') AS check_id FROM po)
 """
 )
@@ -815,8 +816,8 @@ SELECT rid, 'error_' || rid, NULL, NULL, NULL, 'failed', error FROM judged WHERE
 def stored_rows(spark: SparkSession, d: str) -> DataFrame:
     """Rows of processed, manual-review and failed submissions, read back from the store."""
     j, home = judged(spark, d), shared(spark, "outcomes")
-    outcomes.write(j, home, 0)
-    return spark.read.parquet(f"{home}/checks/batch=0").select("rid", "check_id", "check_number", "amount", "ocr_confidence", "status", "error_message")
+    outcomes.write(j, home, 0, F.lit(AS_OF).cast("date"))
+    return commits.read(spark, home, "checks").select("rid", "check_id", "check_number", "amount", "ocr_confidence", "status", "error_message")
 
 
 @query(
@@ -844,6 +845,26 @@ def log_events(spark: SparkSession, d: str) -> DataFrame:
     return outcomes.log_events(outcomes.with_ids(judged(spark, d)))
 
 
+_CLASHING_IDS = _STORED_IDS.replace(CHECKS_RAW_SQL, f"{CHECKS_RAW_SQL}, {CLASHING_SQL}", 1).replace("AS age_days FROM checks_raw)", "AS age_days FROM clashing)").replace("ORDER BY rid ROWS", "ORDER BY rid % 3, rid ROWS")
+
+
+@query(
+    "g02_b03_ids_over_polls",
+    _CLASHING_IDS
+    + """SELECT rid, CASE WHEN taken = 0 THEN check_id ELSE 'error_' || rid END AS check_id, CASE WHEN taken = 0 THEN route ELSE 'failed' END AS status, mapped AND taken = 0 AS mapped FROM kept UNION ALL
+SELECT rid, 'error_' || rid, 'failed', false FROM judged WHERE route = 'failed'""",
+)
+def ids_over_polls(spark: SparkSession, d: str) -> DataFrame:
+    """Three polls of rows whose id texts clash across them; an id that an unmapped row keeps is refused to later ones."""
+    raw, home, rules = stored(clashing(checks_raw(spark, d)), "clashing"), shared(spark, "polls"), Settings(unique_ids=True)
+    handle = intake.intake(home, AS_OF, rules)
+    for number in range(3):
+        handle(raw.where(F.col("rid") % 3 == number), number)
+    mapped = commits.read(spark, home, "mappings").select("check_id", F.lit(True).alias("mapped"))
+    checks = commits.read(spark, home, "checks").select("rid", "check_id", "status")
+    return checks.join(mapped, "check_id", "left").select("rid", "check_id", "status", F.coalesce("mapped", F.lit(False)).alias("mapped"))
+
+
 # ------------------------------------------------------- more of the store
 
 

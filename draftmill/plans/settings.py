@@ -29,6 +29,10 @@ class Settings:
     processed_folder: str = "Processed"
     failed_folder: str = "Failed"
     review_folder: str = "ManualReview"
+    method_ref: str = "1"
+    account_ref: str = "2"
+    item_ref: str = "3"
+    unique_ids: bool = False  # refuse a row whose id is stored already
     environment: str = "sandbox"
     log_level: str = "INFO"
 

@@ -17,3 +17,29 @@ def shared(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="draftmill-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/draftmill/{label}-{uuid.uuid4().hex}"
+
+
+def _at(spark: SparkSession, path: str) -> tuple:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = _at(spark, path)
+    return files.exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, where = _at(spark, path)
+    files.delete(where, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, none if it is not there."""
+    files, where = _at(spark, path)
+    return [x.getPath().getName() for x in files.listStatus(where)] if files.exists(where) else []
+
+
+def batches(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the batches that a table's folder holds."""
+    return sorted(int(n.removeprefix("batch=")) for n in folders(spark, path) if n.startswith("batch="))

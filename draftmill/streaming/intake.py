@@ -10,16 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from draftmill.functions import validation
-from draftmill.operators import dedup, outcomes, routing
+from draftmill.operators import commits, dedup, outcomes, routing
 from draftmill.plans.settings import Settings
-
-#: State on disk, of which a poll writes only what it changed.
-STATE = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
-}
-
+from draftmill.streaming import ledger
 
 def poll(source: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, settings: Settings = Settings(), once: bool = False) -> StreamingQuery:
     """Runs handle on each micro-batch, every poll interval, or on all that is there when once is set."""
@@ -40,30 +33,26 @@ def first_seen(batch: DataFrame, store: str, number: int) -> DataFrame:
     state of its own keys only, so a poll costs as much as its batch, however
     long the history is.  A batch that runs again meets the same first places.
     """
-    spark = batch.sparkSession.newSession()  # settings of its own
-    for k, v in STATE.items():
-        spark.conf.set(k, v)
     keys = batch.where(F.col("error").isNull()).dropna(subset=list(dedup.KEY)).select(*dedup.KEY, F.col("rid").cast("long").alias("rid"))
-    keys.write.mode("overwrite").parquet(f"{store}/keys/batch={number}")
-    source = spark.readStream.schema(StructType([*keys.schema.fields]).add("batch", "long")).parquet(f"{store}/keys")
-    grouped = source.groupBy(*dedup.KEY).agg(F.min(F.struct("batch", "rid")).alias("first"), F.count("*").alias("n"))
-    written: list[str] = []
-
-    def put(changed: DataFrame, at: int) -> None:  # a batch that runs again replaces its own folder
-        written.append(f"{store}/firsts/{at}")
-        changed.where("n > 1").drop("n").write.mode("overwrite").parquet(written[-1])
-
-    grouped.writeStream.outputMode("update").option("checkpointLocation", f"{store}/keys-state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    schema = StructType([keys.schema[c] for c in dedup.KEY]).add("first", StructType().add("batch", "long").add("rid", "long"))
-    back = batch.sparkSession
-    found = back.read.schema(schema).parquet(*written) if written else back.createDataFrame([], schema)
+
+    def step(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*dedup.KEY).agg(F.min(F.struct("batch", "rid")).alias("first"), F.count("*").alias("n"))
+
+    found = ledger.advance(keys, number, step, store, "keys", "firsts").where("n > 1")
     return found.groupBy(*dedup.KEY).agg(F.min("first").alias("first"))
 
 
 def intake(store: str, as_of: str, settings: Settings = Settings()) -> Callable[[DataFrame, int], None]:
-    """Routes a batch against all history and stores its rows, mappings, events, moves and a log of routes by batch number."""
+    """Routes a batch against all history and stores its rows, receipts, mappings, events, moves and a log of routes as one commit.
+
+    What a batch without its commit left behind goes when the job starts.
+    """
+    swept: list[bool] = []
 
     def handle(batch: DataFrame, number: int) -> None:
+        if not swept:
+            swept.append(True)
+            commits.sweep(batch.sparkSession, store, list(outcomes.TABLES))
         firsts = first_seen(batch, store, number)
         judged = routing.judge_alone(batch, as_of, settings)
         here = F.struct(F.lit(number).cast("long").alias("batch"), F.col("rid").cast("long").alias("rid"))
@@ -71,7 +60,6 @@ def intake(store: str, as_of: str, settings: Settings = Settings()) -> Callable[
         gate = validation.duplicate_gate(F.col("routing_number"), F.col("check_number"))
         judged = judged.withColumn("is_duplicate", gate & F.col("error").isNull() & F.coalesce(F.col("first") < here, F.lit(False)))
         judged = judged.withColumn("route", routing.route())
-        outcomes.write(judged, store, number)
-        judged.select("rid", F.col("route").alias("event_type")).write.mode("overwrite").parquet(f"{store}/logs/batch={number}")
+        outcomes.write(judged.drop("first"), store, number, F.lit(as_of).cast("date"), settings)
 
     return handle

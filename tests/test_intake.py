@@ -4,13 +4,15 @@ import base64
 import hashlib
 import json
 import zlib
+from decimal import Decimal
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from draftmill.functions import ids, scalars, validation
-from draftmill.operators import dedup, detect, extraction, payload, routing, scoring, store
+from draftmill.operators import commits, dedup, detect, extraction, outcomes, payload, routing, scoring, store
 from draftmill.plans.settings import Settings
 from draftmill.sources import files, pixels
 from draftmill.streaming import intake
@@ -313,6 +315,101 @@ def test_a_poll_that_runs_again_gives_the_same(spark, tmp_path):
     assert seen[1] == seen[2] and seen[0] | seen[1] == {r.rid: r.route for r in routing.judge(rows, "1998-08-02").collect()}
 
 
+def clash(spark, n):
+    """Rows of few id texts: mapped, unmapped and manual ones, whose account and check numbers part the same digits elsewhere."""
+    rows = []
+    for k in range(n):
+        digits = f"12345{k % 4}7890123"
+        at = 4 + k // 4 % 9
+        account, check = digits[:at], digits[at:]
+        rows.append((k, "021000021", account, check, Decimal("10.50"), None if k % 4 == 3 else "07/01/1998", 50 if k % 23 == 6 else 90, 90, True, "good", None, None, f"c{k}", "TX", None, k % 5, 0))
+    return spark.createDataFrame(rows, submissions(spark, 1).schema)
+
+
+def loop_ids(rows, unique):
+    """{rid: id or None if refused}: what a loop gives that looks up mapped ids, and stored ones where they must be unique."""
+    mapped, stored, out = set(), set(), {}
+    for r in rows:
+        text = "".join("None" if x is None else str(x) for x in (r.routing_number, r.account_number, r.check_number, r.check_date, r.amount))
+        count = 0
+        while True:
+            full = f"{text}|{count}" if count else text
+            made = base64.urlsafe_b64encode(hashlib.sha256(full.encode()).digest()[:12]).decode()
+            if made not in mapped:
+                break
+            count += 1
+        out[r.rid] = None if unique and made in stored else made
+        if out[r.rid]:
+            stored.add(made)
+            if r.route == "processed" and None not in (r.routing_number, r.account_number, r.check_number, r.check_date, r.amount):
+                mapped.add(made)
+    return out
+
+
+@pytest.mark.parametrize("unique", [False, True])
+def test_ids_over_three_polls_are_those_of_a_loop(spark, tmp_path, unique):
+    """Clashing texts, with all that earlier polls stored taken away; a poll that runs again changes nothing."""
+    rows, out = clash(spark, 90), tmp_path / "out"
+    handle = intake.intake(str(out), "1998-08-02", Settings(unique_ids=unique))
+    got = {}
+    for number in (0, 0, 1, 2, 2):
+        handle(rows.where((F.col("rid") >= 30 * number) & (F.col("rid") < 30 * number + 30)), number)
+        for r in commits.read(spark, str(out), "checks").collect():
+            assert got.setdefault(r.rid, r.check_id) == r.check_id
+    judged = sorted(routing.judge(rows, "1998-08-02").where("route in ('processed', 'manual_review')").collect(), key=lambda r: r.rid)
+    assert {r.route for r in judged} == {"processed", "manual_review"}
+    want = loop_ids(judged, unique)
+    assert got == {k: v or f"error_{k}" for k, v in want.items()}
+    assert any(v is None for v in want.values()) == unique
+    once = sorted({r.check_id for r in commits.read(spark, str(out), "mappings").collect()})
+    assert len(once) == commits.read(spark, str(out), "mappings").count() and len(once) > 8
+    assert {r.check_id for r in outcomes.mappings(outcomes.with_ids(routing.judge(rows, "1998-08-02"), unique=unique)).collect()} == set(once)
+
+
+def test_two_splits_of_the_same_digits_get_two_ids(spark, tmp_path):
+    row = clash(spark, 1).drop("account_number", "check_number", "rid")
+    handle = intake.intake(str(tmp_path), "1998-08-02")
+    for number, (account, check) in enumerate([("1234", "56"), ("12345", "6")]):
+        handle(row.withColumns({"rid": F.lit(number).cast("long"), "account_number": F.lit(account), "check_number": F.lit(check)}), number)
+    for name in ("checks", "mappings", "events", "receipts"):
+        assert len({r.check_id for r in commits.read(spark, str(tmp_path), name).collect()}) == 2, name
+
+
+def test_a_batch_commits_as_a_whole(spark, tmp_path, monkeypatch):
+    """A failure before any of the writes shows the old state; the next start sweeps, and the batch then gives what an undisturbed one gives."""
+    rows, names = clash(spark, 40), [*outcomes.TABLES, "marker"]
+    early, late = rows.where("rid < 20"), rows.where("rid >= 20")
+
+    def state(home):
+        return {n: sorted(map(repr, commits.read(spark, home, n).collect())) for n in outcomes.TABLES}
+
+    whole, broken = str(tmp_path / "whole"), str(tmp_path / "broken")
+    for home in (whole, broken):
+        intake.intake(home, "1998-08-02")(early, 0)
+    intake.intake(whole, "1998-08-02")(late, 1)
+    before, after = state(broken), state(whole)
+    assert all(len(after[n]) > len(before[n]) for n in outcomes.TABLES)
+    real = DataFrameWriter.parquet
+    for k, stop in enumerate(names):
+
+        def failing(self, path, *more, stop=stop, **options):
+            if f"/{'commits' if stop == 'marker' else stop}/batch=1" in path:
+                raise RuntimeError("lost")
+            return real(self, path, *more, **options)
+
+        monkeypatch.setattr(DataFrameWriter, "parquet", failing)
+        with pytest.raises(RuntimeError, match="lost"):
+            intake.intake(broken, "1998-08-02")(late, 1)
+        monkeypatch.setattr(DataFrameWriter, "parquet", real)
+        assert state(broken) == before, stop
+        assert len([n for n in outcomes.TABLES if (tmp_path / "broken" / n / "batch=1").exists()]) == k
+    assert len(commits.sweep(spark, broken, list(outcomes.TABLES))) == len(outcomes.TABLES)
+    intake.intake(broken, "1998-08-02")(late, 1)
+    assert state(broken) == after
+    intake.intake(broken, "1998-08-02")(late, 1)
+    assert state(broken) == after and commits.sweep(spark, broken, list(outcomes.TABLES)) == []
+
+
 def test_updates_refuse_unknown_columns(spark):
     df = submissions(spark).withColumn("updated_at", F.lit(1))
     with pytest.raises(ValueError):
