@@ -14,7 +14,7 @@ from draftmill.operators import commits, dedup, payload, routing
 from draftmill.operators.store import MAPPING_REQUIRED
 from draftmill.plans.settings import Settings
 from draftmill.sources import workdir
-from draftmill.streaming import ledger
+from draftmill.streaming import failures, ledger, mails
 
 ID_FIELDS = ("routing_number", "account_number", "check_number", "check_date", "amount")
 
@@ -105,8 +105,16 @@ def moves(judged: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return routing.batch_outcome(judged, settings).select("file", "folder")
 
 
+def _moves(rows: DataFrame, store: str, number: int, settings: Settings) -> DataFrame:
+    """Moves of the batch's mails; where rows tell how many items their mail has, it moves with the last, whichever batch brings that."""
+    if "items" not in rows.columns:
+        return moves(rows, settings)
+    sent = rows if "message_id" in rows.columns else rows.withColumn("message_id", F.lit(None).cast("string"))
+    return mails.finished(sent, store, number, settings).select("file", "folder", "message_ids")
+
+
 #: The tables that a batch writes, all of them or none.
-TABLES = ("checks", "receipts", "mappings", "events", "moves", "logs")
+TABLES = ("checks", "receipts", "mappings", "events", "moves", "dead", "logs")
 
 
 def write(judged: DataFrame, store: str, number: int, as_of: Column, settings: Settings = Settings()) -> None:
@@ -127,7 +135,8 @@ def write(judged: DataFrame, store: str, number: int, as_of: Column, settings: S
         "receipts": receipts(rows, as_of, settings.method_ref, settings.account_ref, settings.item_ref),
         "mappings": mappings(rows),
         "events": log_events(rows),
-        "moves": moves(rows, settings),
+        "moves": _moves(rows, store, number, settings),
+        "dead": failures.dead_letters(rows),
         "logs": rows.select("rid", F.col("route").alias("event_type")),
     }
     commits.write(parts, store, number)

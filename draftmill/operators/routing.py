@@ -44,8 +44,12 @@ def batch_outcome(judged: DataFrame, settings: Settings = Settings()) -> DataFra
     """Per file: items that succeeded (of any route but failed) and failed, and the folder for its mail."""
     failed = F.count_if(F.col("route") == "failed")
     done = judged.groupBy("file").agg(F.count("*").alias("items"), (F.count("*") - failed).alias("succeeded"), failed.alias("failed"))
-    folder = F.when(F.col("failed") == 0, settings.processed_folder).when(F.col("succeeded") == 0, settings.failed_folder).otherwise(settings.review_folder)
-    return done.withColumn("folder", folder)
+    return done.withColumn("folder", folder(settings))
+
+
+def folder(settings: Settings = Settings()) -> Column:
+    """Where a mail goes by how many of its items failed and succeeded."""
+    return F.when(F.col("failed") == 0, settings.processed_folder).when(F.col("succeeded") == 0, settings.failed_folder).otherwise(settings.review_folder)
 
 
 def work_units(pages: DataFrame, detections: DataFrame) -> DataFrame:

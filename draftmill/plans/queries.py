@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from draftmill.plans.fixtures import AS_OF, CHECKS_RAW_SQL, CLASHING_SQL, COMPON
 from draftmill.plans.settings import Settings
 from draftmill.sources import pixels
 from draftmill.sources.workdir import shared
-from draftmill.streaming import intake
+from draftmill.streaming import failures, intake
+from draftmill.streaming.mails import finished
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -630,10 +632,48 @@ def trailing_calls(spark: SparkSession, d: str) -> DataFrame:
     return store.trailing_calls(calls, 3600).select("event_id", "calls")
 
 
-@query("s03_retry_delays", "SELECT CAST(n AS BIGINT) AS attempt, 2e0 * pow(2e0, n - 1) AS model, 1e0 * pow(2e0, n - 1) AS api FROM range(1, 6) AS r(n)")
-def retry_delays(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("id")
-    return spark.range(1, 6).select(n.alias("attempt"), scalars.retry_delay(n, S.model_delay, S.model_multiplier).alias("model"), scalars.retry_delay(n, S.api_delay, 2.0).alias("api"))
+_ARCHIVE = JUDGED + _OUTCOME + "SELECT file, folder, string_agg('<' || rid || '@example.org>', ' ' ORDER BY rid) AS message_ids FROM judged JOIN outcome USING (file) GROUP BY file, folder"
+
+
+@query("r06_pending_mail", _ARCHIVE)
+def pending_mail(spark: SparkSession, d: str) -> DataFrame:
+    """The archive again, of items that four polls bring: a mail moves in the poll of its last item."""
+    home, rows = shared(spark, "mails"), judged(spark, d)
+    sizes = rows.groupBy("file").agg(F.count("*").alias("items"))
+    sent = F.concat(F.lit("<"), F.col("rid").cast("string"), F.lit("@example.org>"))
+    items = stored(rows.join(sizes, "file").select("file", "rid", "items", "route", sent.alias("message_id")), "items")
+    done = [finished(items.where(F.col("rid") % 4 == number), home, number) for number in range(4)]
+    out = reduce(DataFrame.unionByName, done)
+    return out.select("file", "folder", F.array_join("message_ids", " ").alias("message_ids"))
+
+
+_POLLS = 2
+_SINCE = f"CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events), e AS (SELECT event_id, 1 + CAST(least({_POLLS - 1}, (t - (SELECT min(t) FROM s)) * {_POLLS} // greatest(1, (SELECT max(t) - min(t) FROM s))) AS INT) AS poll, CASE event_id % 4 WHEN 0 THEN 500 WHEN 1 THEN 404 WHEN 2 THEN NULL ELSE 429 END AS status FROM s)"
+
+
+@query(
+    "s03_r05_retries",
+    f"""WITH s AS (SELECT event_id, {_SINCE}, f AS (SELECT *, CASE WHEN event_id % 7 = 0 THEN 3 WHEN event_id % 7 < 3 THEN 2 ELSE 1 END AS fails, coalesce(status IN (429, 500, 502, 503, 504), true) AS again FROM e)
+SELECT event_id AS rid, CAST(a AS INT) AS attempt, 'retry' AS outcome, CAST(poll + 2 * a - 3 AS INT) AS poll FROM f, range(2, 4) AS r(a) WHERE again AND a <= fails + 1
+UNION ALL SELECT event_id, CAST(CASE WHEN again THEN 3 ELSE 1 END AS INT), 'dead', CAST(poll + CASE WHEN again THEN 4 ELSE 0 END AS INT) FROM f WHERE NOT again OR fails = 3""",
+)
+def failed_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Calls that fail one to three times: each poll sets the failures since the last one aside and makes the attempts whose timers are due; those that fail again come with the next poll."""
+    home, k = shared(spark, "failures"), F.col("event_id")
+    second = F.unix_timestamp("ts")
+    first, last = table(spark, d, "events").agg(F.min(second), F.max(second)).first()
+    poll = 1 + F.least(F.lit(_POLLS - 1), F.expr(f"(unix_timestamp(ts) - {first}) * {_POLLS} div {max(1, (last or 0) - (first or 0))}"))
+    status = F.when(k % 4 == 0, 500).when(k % 4 == 1, 404).when(k % 4 == 3, 429)
+    calls = stored(table(spark, d, "events").select(k.alias("rid"), poll.alias("poll"), status.alias("status"), F.when(k % 7 == 0, 3).when(k % 7 < 3, 2).otherwise(1).alias("fails")), "calls")
+    out = []
+    for number in range(1, _POLLS + 5):
+        failed = calls.where(F.col("poll") == number).select("rid", F.lit(1).alias("attempt"), "status")
+        if out:
+            tried = out[-1].where("outcome = 'retry'").select("rid", "attempt")
+            failed = failed.unionByName(tried.join(calls, "rid").where("attempt <= fails").select("rid", "attempt", "status"))
+        failed = failed.withColumn("error", F.lit("call failed"))
+        out.append(failures.retries(failed, home, number, 10_000 * number, F.col("status")).withColumn("poll", F.lit(number)))
+    return reduce(DataFrame.unionByName, out).select("rid", "attempt", "outcome", "poll")
 
 
 @query("s05_fresh_against_history", JUDGED + ", h AS (SELECT * FROM judged WHERE rid % 2 = 0 AND rid % 3 = 0), nw AS (SELECT * FROM judged WHERE NOT (rid % 2 = 0 AND rid % 3 = 0)), fr AS (SELECT nw.rid, nw.error, nw.p_r AND nw.p_c AS gate, nw.routing_number, nw.account_number, nw.check_number, nw.check_date FROM nw WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.routing_number = nw.routing_number AND h.account_number = nw.account_number AND h.check_number = nw.check_number AND h.check_date = nw.check_date)) SELECT rid FROM fr WHERE NOT (gate AND error IS NULL AND EXISTS (SELECT 1 FROM fr o WHERE o.error IS NULL AND o.rid < fr.rid AND o.routing_number = fr.routing_number AND o.account_number = fr.account_number AND o.check_number = fr.check_number AND o.check_date = fr.check_date))")

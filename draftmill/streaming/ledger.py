@@ -45,4 +45,4 @@ def advance(rows: DataFrame, number: int, step: Callable[[DataFrame], DataFrame]
 
     stepped.writeStream.outputMode("update").option("checkpointLocation", f"{store}/{name}-state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
     schema = StructType([*stepped.schema.fields])
-    return spark.read.schema(schema).parquet(results) if workdir.exists(spark, results) else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(results).select(schema.fieldNames()) if workdir.exists(spark, results) else spark.createDataFrame([], schema)
