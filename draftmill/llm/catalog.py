@@ -134,20 +134,23 @@ v AS (
 t AS (SELECT doc_id, of, unnest(list_distinct(list_filter(regexp_split_to_array(lower(x), '{imatch.TERM_BREAK}'), lambda w: w <> ''))) AS term FROM v),
 once AS (SELECT DISTINCT text FROM d),
 ot AS (SELECT unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '{imatch.TERM_BREAK}'), lambda w: w <> ''))) AS term FROM once),
-band AS (
-  SELECT term FROM ot GROUP BY term
-  HAVING count(*) >= {imatch.LEAST_SHARE}e0 * (SELECT count(*) FROM once) AND count(*) <= {imatch.MOST_SHARE}e0 * (SELECT count(*) FROM once)),
+freq AS (SELECT term, count(*) AS df FROM ot GROUP BY term),
 terms AS (SELECT DISTINCT term FROM t),
 hashed AS (SELECT term, CAST('0x' || substr(sha256(term), 1, 8) AS BIGINT) AS name FROM terms),
 mixed AS (SELECT term, name, {mixed} FROM hashed),
 deep AS (SELECT term, name, [{depths}] AS depths FROM mixed),
-known AS (SELECT doc_id, of, name, depths, band.term IS NOT NULL AS in_band FROM t JOIN deep USING (term) LEFT JOIN band USING (term)),
+known AS (
+  SELECT doc_id, of, name, depths, coalesce(df, 0) < {imatch.LEAST_SHARE}e0 * (SELECT count(*) FROM once) AS rare,
+         coalesce(df >= {imatch.LEAST_SHARE}e0 * (SELECT count(*) FROM once) AND df <= {imatch.MOST_SHARE}e0 * (SELECT count(*) FROM once), false) AS in_band
+  FROM t JOIN deep USING (term) LEFT JOIN freq USING (term)),
 marked AS (SELECT *, bool_or(in_band) OVER (PARTITION BY doc_id, of) AS any_band FROM known),
-inb AS (SELECT DISTINCT doc_id, of, name, depths FROM marked WHERE in_band OR NOT any_band),
-whole AS (SELECT doc_id, of, substr(md5(string_agg(CAST(name AS VARCHAR), ' ' ORDER BY name)), 1, 8) AS s FROM inb GROUP BY 1, 2),
+inb AS (
+  SELECT DISTINCT doc_id, of, name, depths, false AS rare FROM marked WHERE in_band OR NOT any_band UNION ALL
+  SELECT DISTINCT doc_id, of, name, depths, true FROM marked WHERE rare),
+whole AS (SELECT doc_id, of, substr(md5(string_agg(CAST(name AS VARCHAR), ' ' ORDER BY name)), 1, 8) AS s FROM inb WHERE NOT rare GROUP BY 1, 2),
 kept AS (
   SELECT doc_id, of, c, l, CASE WHEN count(*) > 2 THEN '+' ELSE substr(md5(string_agg(CAST(name AS VARCHAR), ' ' ORDER BY name)), 1, 8) END AS s
-  FROM inb, range(1, {chains + 1}) AS rc(c), range(1, {most + 1}) AS rl(l) WHERE depths[c] >= l AND l <= (SELECT levels FROM lv) GROUP BY 1, 2, 3, 4),
+  FROM inb, range(1, {chains + 1}) AS rc(c), range(1, {most + 1}) AS rl(l) WHERE depths[c] >= l AND l <= (SELECT levels FROM lv) AND rare = (c > {chains - imatch.RARE_CHAINS}) GROUP BY 1, 2, 3, 4),
 slot AS (
   SELECT v.doc_id, v.of, 0 AS k, coalesce(whole.s, '') AS s FROM v LEFT JOIN whole USING (doc_id, of) UNION ALL
   SELECT v.doc_id, v.of, (c - 1) * {most} + l, coalesce(kept.s, '') FROM v CROSS JOIN range(1, {chains + 1}) AS rc(c) CROSS JOIN range(1, {most + 1}) AS rl(l) LEFT JOIN kept USING (doc_id, of, c, l)

@@ -3,7 +3,7 @@
 Of a document's distinct terms only those within a band of inverse document
 frequency count.  They are sorted, and several randomised subsets of the
 lexicon each keep some of them; the hash of what a subset keeps is one slot of
-the fingerprint.  Slot 0 is the whole lexicon.  The other subsets form six
+the fingerprint.  Slot 0 is the whole lexicon.  The other subsets form eighteen
 nested chains: level l keeps a term with chance 2**-l.  A slot whose subset
 keeps more than two of a document's terms is marked ``+`` and not compared, as
 one changed term among many would break it; a slot that keeps none is empty.
@@ -13,7 +13,9 @@ slots tells how much two texts have in common.
 
 Document frequencies count distinct texts, so a group of copies counts once:
 however large it is, its terms stay in the band.  A document without terms of
-the band is fingerprinted by all its terms instead.
+the band is fingerprinted by all its terms instead.  As an edit may bring the
+first such term, the last chains keep terms of a second band, all that are rarer;
+terms that are more frequent than the band count nowhere else.
 
 Only DataFrame functions.  Frequencies cover all documents and combine before
 the shuffle.  The lexicon cannot outgrow the mean number of distinct terms a
@@ -35,6 +37,7 @@ names; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,9 +47,11 @@ from draftmill.llm.common import save, text_of
 
 #: Terms in at least and at most these shares of all documents; as inverse document frequencies, ln 5 to ln 200.
 LEAST_SHARE, MOST_SHARE = 0.005, 0.2
-CHAINS, MOST_LEVELS = 6, 28
-#: A term's 31-bit hash times one of these odd numbers gives its bits in a chain.
-MIXERS = (0x5BD1E995, 0x2C1B3C6D, 0x297A2D39, 0x1B873593, 0x165667B1, 0x27D4EB2F)
+CHAINS, MOST_LEVELS = 18, 28
+#: Of these chains, the last keep terms that are rarer than the band.
+RARE_CHAINS = 6
+#: A term's 31-bit hash times one of these odd numbers gives its bits in a chain.  Multiples of each other would tie chains together.
+MIXERS = tuple(int(hashlib.sha256(f"chain {c}".encode()).hexdigest()[:8], 16) >> 1 | 1 for c in range(CHAINS))
 BROADCAST_TERMS = 200_000
 #: Rows of the null id are dealt by their text to so many keys.
 NULL_SALTS = 64
@@ -57,39 +62,49 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), TERM_BREAK), lambda t: t != ""))
 
 
-def packed_term(term: Column) -> Column:
-    """32 bits of the term's SHA-256, then its depth in each chain in 5 bits: the zeros that its bits in the chain end with."""
-    name = F.conv(F.substring(F.sha2(term, 256), 1, 8), 16, 10).cast("long")
-    x = name.bitwiseAND(F.lit(0x7FFFFFFF))
-    packed = F.shiftleft(name, 5 * CHAINS)
-    for c, mixer in enumerate(MIXERS):
-        bits = F.shiftright(x * F.lit(mixer).cast("long"), 17).bitwiseAND(F.lit((1 << MOST_LEVELS) - 1))
-        depth = F.least(F.bit_count(bits.bitwiseAND(-bits) - 1).cast("long"), F.lit(MOST_LEVELS).cast("long"))
-        packed = packed.bitwiseOR(F.shiftleft(depth, 5 * c))
-    return packed
+def name_of(term: Column) -> Column:
+    """32 bits of the term's SHA-256."""
+    return F.conv(F.substring(F.sha2(term, 256), 1, 8), 16, 10).cast("long")
+
+
+def bits_in(name: Column, mixer: int) -> Column:
+    """The bits of a name in a chain; its depth there is the number of zeros that they end with."""
+    return F.shiftright(name.bitwiseAND(F.lit(0x7FFFFFFF)) * F.lit(mixer).cast("long"), 17).bitwiseAND(F.lit((1 << MOST_LEVELS) - 1))
 
 
 def lexicon(docs: DataFrame, text: str = "text", least: float = LEAST_SHARE, most: float = MOST_SHARE) -> tuple[DataFrame, int]:
-    """The terms of the band, (term), and the number of levels that the longest text needs."""
+    """The terms that are not rare, (term, in_band), and the number of levels that the longest text needs."""
     texts = docs.select(text_of(text).alias("t"))
     facts = texts.agg(F.count_distinct(F.md5("t")).alias("n"), F.coalesce(F.max(F.length("t")), F.lit(0)).alias("longest")).first()
     # A text of so many characters has at most half as many terms.
     levels = max(1, min(MOST_LEVELS, math.ceil(math.log2(facts["longest"] / 2 + 1))))
     once = texts.groupBy(F.md5("t").alias("d")).agg(F.first("t").alias("t"))
     counts = once.select(F.explode(terms_of(F.col("t"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    band = counts.where((F.col("df") >= F.lit(least) * facts["n"]) & (F.col("df") <= F.lit(most) * facts["n"]))
-    return save(band.select("term"), "imatch-lexicon"), levels
+    known = counts.where(F.col("df") >= F.lit(least) * facts["n"])
+    return save(known.select("term", (F.col("df") <= F.lit(most) * facts["n"]).alias("in_band")), "imatch-lexicon"), levels
+
 
+def fingerprint(names: Column, rare: Column, levels: int) -> Column:
+    """Slot 0 and the slots of all chains, joined by '-', of the sorted names of a document's terms: the band's, then the rare ones."""
 
-def fingerprint(packed: Column, levels: int) -> Column:
-    """Slot 0 and the slots of all chains, joined by '-', of a document's sorted, packed terms."""
+    def digest(*parts: Column) -> Column:
+        return F.substring(F.md5(F.concat_ws(" ", *(n.cast("string") for n in parts))), 1, 8)
 
-    def digest(*names: Column) -> Column:
-        return F.substring(F.md5(F.concat_ws(" ", *(n.cast("string") for n in names))), 1, 8)
+    # So many zeros leave some sixteen terms of a chain, the deepest; where fewer than three are left, all terms are sorted.
+    def open_bits(some: Column) -> Column:
+        zeros = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.size(some), F.lit(1)) / 16)))
+        return F.pow(F.lit(2.0), zeros).cast("long") - 1
 
     def chain(c: int) -> Column:
-        # The deepest terms first: 31 less the depth, then the name.
-        keys = F.sort_array(F.transform(packed, lambda x: F.shiftleft(31 - F.shiftright(x, 5 * c).bitwiseAND(F.lit(31)), 32).bitwiseOR(F.shiftright(x, 5 * CHAINS))))
+        own = names if c < CHAINS - RARE_CHAINS else rare
+
+        def key(x: Column) -> Column:  # the deepest first: 31 less the depth, then the name
+            bits = bits_in(x, MIXERS[c])
+            depth = F.least(F.bit_count(bits.bitwiseAND(-bits) - 1), F.lit(MOST_LEVELS)).cast("long")
+            return F.shiftleft(31 - depth, 32).bitwiseOR(x)
+
+        few = F.filter(own, lambda x: bits_in(x, MIXERS[c]).bitwiseAND(open_bits(own)) == 0)
+        keys = F.get(F.transform(F.array(few), lambda some: F.sort_array(F.transform(F.when(F.size(some) >= 3, some).otherwise(own), key))), F.lit(0))
 
         def slots(k: Column) -> Column:
             top = [F.get(k, F.lit(i)) for i in range(3)]
@@ -100,8 +115,7 @@ def fingerprint(packed: Column, levels: int) -> Column:
 
         return F.get(F.transform(F.array(keys), slots), F.lit(0))
 
-    names = F.transform(packed, lambda x: F.shiftright(x, 5 * CHAINS).cast("string"))
-    whole = F.when(F.size(packed) > 0, F.substring(F.md5(F.array_join(names, " ")), 1, 8)).otherwise("")
+    whole = F.when(F.size(names) > 0, F.substring(F.md5(F.array_join(F.transform(names, lambda x: x.cast("string")), " ")), 1, 8)).otherwise("")
     return F.concat(whole, *(chain(c) for c in range(CHAINS)))
 
 
@@ -131,7 +145,6 @@ def next_ids(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     words, levels = lexicon(docs, text)
-    words = words.withColumn("in_band", F.lit(True))
     words = F.broadcast(words) if words.count() <= BROADCAST_TERMS else words
     nexts = next_ids(docs, id_column, text)
     zero = F.lit(0).cast(docs.schema[id_column].dataType)
@@ -163,18 +176,19 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
         F.transform("b", lambda t: F.struct(F.lit(2).alias("of"), t.alias("term"), none.alias("facts"))),
     )
     exploded = both.select("k", "z", "s", "h", F.explode(terms).alias("t")).select("k", "z", "s", "h", "t.*")
-    found = exploded.join(words, "term", "left").select("k", "z", "s", "h", "of", "facts", packed_term(F.col("term")).alias("p"), F.coalesce("in_band", F.lit(False)).alias("in_band"))
-
-    def gather(of: int, band: bool) -> Column:
-        return F.collect_list(F.when((F.col("of") == of) & (F.col("in_band") == band), F.col("p")))
+    found = exploded.join(words, "term", "left").select("k", "z", "s", "h", "of", "facts", name_of(F.col("term")).alias("p"), F.when(F.col("in_band"), "band").when(~F.col("in_band"), "often").otherwise("rare").alias("kind"))
 
+    kinds = ("band", "often", "rare")
     gathered = found.groupBy("k", "z", "s", "h").agg(
-        *(gather(of, band).alias(f"p{of}{'in' if band else 'out'}") for of in (1, 2) for band in (True, False)),
+        *(F.collect_list(F.when((F.col("of") == of) & (F.col("kind") == kind), F.col("p"))).alias(f"{kind}{of}") for of in (1, 2) for kind in kinds),
         F.collect_list("facts").alias("facts"),  # one for each row of equal id and text
     )
-    used = [F.array_sort(F.array_distinct(F.when(F.size(f"p{of}in") > 0, F.col(f"p{of}in")).otherwise(F.col(f"p{of}out")))).alias(f"p{of}") for of in (1, 2)]
+    used = []
+    for of in (1, 2):
+        whole = F.when(F.size(f"band{of}") > 0, F.col(f"band{of}")).otherwise(F.concat(*(F.col(f"{kind}{of}") for kind in kinds)))
+        used += [F.array_sort(F.array_distinct(x)).alias(f"{name}{of}") for name, x in (("p", whole), ("r", F.col(f"rare{of}")))]
     gathered = gathered.select("k", "z", "s", *used, F.explode("facts").alias("f"))
-    table = gathered.select("k", "z", "s", "f.n", "f.sha", fingerprint(F.col("p1"), levels).alias("fp"), fingerprint(F.col("p2"), levels).alias("fe"))
+    table = gathered.select("k", "z", "s", "f.n", "f.sha", fingerprint(F.col("p1"), F.col("r1"), levels).alias("fp"), fingerprint(F.col("p2"), F.col("r2"), levels).alias("fe"))
     table = save(table, "imatch-fingerprints")
     of_next = salted(nexts.select(*key("next_id"), *key("id", "0"))).join(table.select("k", "z", "s", "fp"), ["k", "z", "s"])
     of_next = salted(of_next.groupBy(F.col("k0").alias("k"), F.col("z0").alias("z")).agg(F.min("fp").alias("fn")))
