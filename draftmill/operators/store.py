@@ -124,3 +124,57 @@ def trailing_calls(calls: DataFrame, seconds: int, at: str = "ts") -> DataFrame:
     w = Window.partitionBy("_block").orderBy("_s").rangeBetween(-seconds, Window.currentRow)
     sums = both.withColumn("calls", F.sum("_n").over(w)).where("_mine").select("_s", "calls")
     return calls.join(sums, F.col(at).cast("long") == F.col("_s")).drop("_s")
+
+
+def calls_in_flight(calls: DataFrame, start: str = "start", end: str = "end", block: int = 3600) -> DataFrame:
+    """(minute, most): the most calls under way at once in each minute in which one starts; a call no longer counts in the second it ends.
+
+    Starts and ends are counted by second.  Seconds are summed up within blocks,
+    and a block begins with the sum of all earlier ones, of which there is a row
+    an hour: no task sorts the calls, and none holds more than a block's seconds.
+    """
+    begun = calls.where(F.col(start) < F.col(end)).groupBy(F.col(start).cast("long").alias("_s")).agg(F.count("*").alias("_n"), F.count("*").alias("_starts"))
+    over = calls.where(F.col(start) < F.col(end)).groupBy(F.col(end).cast("long").alias("_s")).agg((-F.count("*")).alias("_n"), F.lit(0).cast("long").alias("_starts"))
+    net = begun.unionByName(over).groupBy("_s").agg(F.sum("_n").alias("_n"), F.sum("_starts").alias("_starts")).withColumn("_block", F.floor(F.col("_s") / block))
+    totals = net.groupBy("_block").agg(F.sum("_n").alias("_n"))
+    before = totals.select("_block", F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_block").orderBy("_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = net.withColumn("_here", F.sum("_n").over(within)).join(before, "_block").where("_starts > 0")
+    return at.groupBy(F.floor(F.col("_s") / 60).alias("minute")).agg(F.max(F.col("_before") + F.col("_here")).alias("most"))
+
+
+#: The running state of statistics: a status, how many rows have it, and the sum and number of their confidences.
+KEPT = ("status", "n", "s", "c")
+
+
+def changed_statistics(before: DataFrame, after: DataFrame, key: str = "check_id", status: str = "status", confidence: str = "confidence") -> DataFrame:
+    """What a batch changes in the statistics: rows of (status, n, s, c) to add, one a status.
+
+    ``after`` has the rows as the batch leaves them, ``before`` the same keys as
+    they were: what they counted for is taken back.  Confidences are summed as
+    whole numbers or decimals, so nothing is lost when they are taken back.
+    """
+
+    def counted(rows: DataFrame, sign: int) -> DataFrame:
+        return rows.groupBy(F.col(status).alias("status")).agg((F.lit(sign) * F.count("*")).alias("n"), (F.lit(sign) * F.coalesce(F.sum(F.col(confidence).cast("decimal(20,6)")), F.lit(0))).alias("s"), (F.lit(sign) * F.count(confidence)).alias("c"))
+
+    changed = before.join(after.select(key), key, "left_semi")
+    return kept_statistics(counted(after, 1).unionByName(counted(changed, -1)))
+
+
+def kept_statistics(*parts: DataFrame) -> DataFrame:
+    """The sum of statistics and changes, one row a status that rows still have or lose."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows.groupBy("status").agg(F.sum("n").alias("n"), F.sum("s").cast("decimal(30,6)").alias("s"), F.sum("c").alias("c"))
+
+
+def shown_statistics(kept: DataFrame) -> DataFrame:
+    """One row as ``statistics`` gives it, from a row a status."""
+    by = kept.where("n > 0")
+    return by.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
+        F.coalesce(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "status", F.col("n").cast("string")))), ","), F.lit("")).alias("by_status"),
+        F.round((F.sum("s") / F.sum("c")).cast("double"), 6).alias("mean_confidence"),
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from draftmill.functions import ids, scalars, validation
-from draftmill.operators import commits, dedup, detect, extraction, outcomes, payload, routing, scoring, store
+from draftmill.operators import buckets, commits, dedup, detect, extraction, outcomes, payload, routing, scoring, store
 from draftmill.plans.fixtures import AS_OF, CHECKS_RAW_SQL, CLASHING_SQL, COMPONENTS_SQL, checks_raw, clashing, components, stored, table
 from draftmill.plans.settings import Settings
 from draftmill.sources import pixels
@@ -676,6 +676,63 @@ def failed_calls(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, out).select("rid", "attempt", "outcome", "poll")
 
 
+@query(
+    "s02_calls_in_flight",
+    """WITH c AS (SELECT CAST(floor(epoch(ts)) AS BIGINT) AS a, CAST(floor(epoch(ts)) AS BIGINT) + 1 + event_id % 900 AS b FROM events),
+net AS (SELECT s, sum(n) AS n, sum(starts) AS starts FROM (SELECT a AS s, 1 AS n, 1 AS starts FROM c UNION ALL SELECT b, -1, 0 FROM c) GROUP BY s),
+run AS (SELECT s, starts, sum(n) OVER (ORDER BY s) AS level FROM net)
+SELECT s // 60 AS minute, CAST(max(level) AS BIGINT) AS most FROM run WHERE starts > 0 GROUP BY 1""",
+)
+def calls_in_flight(spark: SparkSession, d: str) -> DataFrame:
+    at = F.unix_timestamp("ts")
+    return store.calls_in_flight(table(spark, d, "events").select(at.alias("start"), (at + 1 + F.col("event_id") % 900).alias("end")))
+
+
+def _history(spark: SparkSession, d: str) -> tuple[buckets.Store, list[DataFrame]]:
+    """A store of submissions by number, and three batches: all as pending, a third as processed, a fifth as failed or no longer read."""
+    raw = stored(checks_raw(spark, d).select("rid", "customer_name", "confidence"), "history")
+    batches = [
+        raw.select("*", F.lit("pending").alias("status"), F.lit(0).alias("version")),
+        raw.where("rid % 3 = 0").select("*", F.lit("processed").alias("status"), F.lit(1).alias("version")),
+        raw.where("rid % 5 = 0").withColumn("confidence", F.when(F.col("rid") % 2 == 0, F.col("confidence"))).select("*", F.lit("failed").alias("status"), F.lit(2).alias("version")),
+    ]
+    return buckets.Store(shared(spark, "store"), batches[0].schema, ("rid",), "version", 16), batches
+
+
+_LATEST = RAW + ", latest AS (SELECT rid, customer_name, CASE WHEN rid % 5 = 0 AND rid % 2 = 1 THEN NULL ELSE confidence END AS confidence, CASE WHEN rid % 5 = 0 THEN 'failed' WHEN rid % 3 = 0 THEN 'processed' ELSE 'pending' END AS status, CASE WHEN rid % 5 = 0 THEN 2 WHEN rid % 3 = 0 THEN 1 ELSE 0 END AS version FROM checks_raw) "
+
+
+@query("b02_b05_s06_compaction", _LATEST + "SELECT * FROM latest")
+def compacted(spark: SparkSession, d: str) -> DataFrame:
+    """The latest rows of a store that was compacted between its batches."""
+    history, batches = _history(spark, d)
+    for number, batch in enumerate(batches):
+        history.append(batch, number)
+        if number < 2:
+            history.compact(spark)
+    return history.read(spark)
+
+
+@query("f01_f04_store_lookup", _LATEST + "SELECT * FROM latest WHERE rid IN (SELECT 2 * o_orderkey FROM orders WHERE o_orderkey % 20 = 0)")
+def store_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """What the store has of the keys that come up again; the other buckets' files are not read."""
+    history, batches = _history(spark, d)
+    for number, batch in enumerate(batches):
+        history.append(batch, number)
+    return history.known(table(spark, d, "orders").where("o_orderkey % 20 = 0").select((2 * F.col("o_orderkey")).alias("rid")))
+
+
+@query("f09_f12_kept_statistics", _LATEST + "SELECT CAST(sum(n) AS BIGINT) AS total, string_agg(status || '=' || n, ',' ORDER BY status) AS by_status, round(CAST(sum(s) AS DOUBLE) / CAST(sum(c) AS DOUBLE), 6) AS mean_confidence FROM (SELECT status, count(*) AS n, sum(confidence) AS s, count(confidence) AS c FROM latest GROUP BY status)")
+def kept_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics that follow three batches by what each changes; the second is run again."""
+    (history, batches), home = _history(spark, d), shared(spark, "statistics")
+    for number in (0, 1, 1, 2):
+        change = store.changed_statistics(history.known(batches[number], before=number), batches[number], "rid")
+        change.write.mode("overwrite").parquet(f"{home}/batch={number}")
+        history.append(batches[number], number)
+    return store.shown_statistics(store.kept_statistics(spark.read.parquet(home).drop("batch")))
+
+
 @query("s05_fresh_against_history", JUDGED + ", h AS (SELECT * FROM judged WHERE rid % 2 = 0 AND rid % 3 = 0), nw AS (SELECT * FROM judged WHERE NOT (rid % 2 = 0 AND rid % 3 = 0)), fr AS (SELECT nw.rid, nw.error, nw.p_r AND nw.p_c AS gate, nw.routing_number, nw.account_number, nw.check_number, nw.check_date FROM nw WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.routing_number = nw.routing_number AND h.account_number = nw.account_number AND h.check_number = nw.check_number AND h.check_date = nw.check_date)) SELECT rid FROM fr WHERE NOT (gate AND error IS NULL AND EXISTS (SELECT 1 FROM fr o WHERE o.error IS NULL AND o.rid < fr.rid AND o.routing_number = fr.routing_number AND o.account_number = fr.account_number AND o.check_number = fr.check_number AND o.check_date = fr.check_date))")
 def fresh(spark: SparkSession, d: str) -> DataFrame:
     raw = checks_raw(spark, d)
