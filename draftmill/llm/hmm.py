@@ -17,7 +17,7 @@ tasks that run twice.  Rounds end at ``ROUNDS``, or when the gain falls below
 
 Words of at least 1 / COMMON of all occurrences, at most ``COMMON``, are
 broadcast with their counts; the counts of the others come by a join, to which a
-document sends each of its rare words once.  No word there has more than
+document sends its rare words.  No word there has more than
 1 / COMMON of all occurrences, so no task gets a hot one.
 
 A sequence of more than ``CHUNK`` tokens is cut: the matrices that carry state
@@ -35,17 +35,15 @@ an empty result.
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
 from draftmill.llm.common import free_name, save, spread, text_of
 
@@ -56,26 +54,54 @@ STATES, ROUNDS, GAIN, STAY, SEED = 8, 8, 1e-3, 0.9, 1
 ADDED, PRIOR = 0.1, 50.0
 #: Tokens worked on together, of a sequence between cuts, and gathered before they are sorted by length.
 TOGETHER, CHUNK, GATHERED = 1 << 19, 1 << 15, 1 << 22
-#: Bytes of a text that are split at a time, and distinct words that a task counts before it sends them on.
-SLICE, DISTINCT = 1 << 20, 1 << 18
+#: Bytes of texts whose words are looked up together; a longer text is looked up alone.
+GROUP = 1 << 23
 UNITS = 1 << 16
-END = b""
 
-_BREAK = re.compile(rb"[\x20\x09-\x0D]")
 
+def _crc_table() -> np.ndarray:
+    """CRC-32 of each byte."""
+    k = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        k = np.where(k & 1, k >> 1 ^ 0xEDB88320, k >> 1).astype(np.uint32)
+    return k
 
-def words_of(text: bytes) -> Iterator[list[bytes]]:
-    """The words of a text, slice by slice; only A to Z are lower-cased."""
-    at = 0
-    while at < len(text):
-        end = _BREAK.search(text, at + SLICE)
-        stop = end.start() if end else len(text)
-        yield text[at:stop].lower().split()
-        at = stop
 
+_CRC = _crc_table()
 
-def class_of(word: bytes) -> int:
-    return zlib.crc32(word[-3:] + bytes([min(len(word) // 3, 5)])) % CLASSES
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts end to end, and where each text's begin and end; only A to Z are lower-cased."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, bounds = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+    bounds -= bounds[0]
+    full = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # text that begins or ends with white space
+    return flat.filter(pa.array(full)), np.concatenate([[0], np.cumsum(full)])[bounds]
+
+
+def groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, last + 1) of texts to look up together."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    k = 0
+    while k < len(ends):
+        stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + GROUP, "right")))
+        yield k, stop
+        k = stop
+
+
+def classes_of(words: pa.Array) -> np.ndarray:
+    """The class of each word: the CRC-32 of its last three bytes and its length, in steps of three up to 15, modulo the number of classes."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    _, bounds, data = words.buffers()
+    at = np.frombuffer(bounds, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8)
+    size, crc = np.diff(at), np.full(len(words), 0xFFFFFFFF, np.uint32)
+    for back in (3, 2, 1):
+        step = _CRC[(crc ^ data[np.maximum(at[1:] - back, 0)]) & 255] ^ (crc >> 8)
+        crc = np.where(size >= back, step, crc)
+    crc = _CRC[(crc ^ np.minimum(size // 3, 5).astype(np.uint32)) & 255] ^ (crc >> 8)
+    return (~crc).astype(np.int64) % CLASSES
 
 
 def held_out(id_column: str) -> Column:
@@ -83,37 +109,26 @@ def held_out(id_column: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def _bytes(column: pa.Array) -> list[bytes]:
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
-
-
 # --------------------------------------------------------------------- lexicon
 
 
 def count_words(docs: DataFrame, held: Column, text: str = "text") -> DataFrame:
     """(word, c, n): occurrences in training documents and in all; the empty word is the end of a text."""
 
-    def flush(counts: tuple[Counter, Counter]) -> pa.RecordBatch:
-        words = list(counts[0].keys() | counts[1].keys())
-        learned = [counts[0][w] for w in words]
-        every = [a + counts[1][w] for w, a in zip(words, learned, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(learned, pa.int64()), pa.array(every, pa.int64())], ["word", "c", "n"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
-            for out, data in zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), strict=True):
-                own = counts[bool(out)]
-                own[END] += 1
-                for words in words_of(data):
-                    own.update(words)
-                    if len(counts[0]) + len(counts[1]) > DISTINCT:
-                        yield flush(counts)
-                        counts[0].clear()
-                        counts[1].clear()
-        yield flush(counts)
+            learned = ~batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
+            for k, stop in groups(batch.column(1)):
+                words, bounds = words_of(batch.column(1).slice(k, stop - k))
+                coded = words.dictionary_encode()
+                index, size = coded.indices.to_numpy(), len(coded.dictionary)
+                own = np.repeat(learned[k:stop], np.diff(bounds))
+                c, n = np.bincount(index[own], minlength=size), np.bincount(index, minlength=size)
+                ends = pa.array([""], coded.dictionary.type)
+                words = pa.concat_arrays([coded.dictionary, ends])
+                yield pa.RecordBatch.from_arrays([words, pa.array(np.append(c, learned[k:stop].sum())), pa.array(np.append(n, stop - k))], ["word", "c", "n"])
 
-    return docs.select(held.alias("h"), text_of(text).alias("t")).mapInArrow(run, "word binary, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    return docs.select(held.alias("h"), text_of(text).alias("t")).mapInArrow(run, "word string, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
 @dataclass
@@ -122,7 +137,8 @@ class Lexicon:
 
     tokens: int
     distinct: int
-    number: dict[bytes, int]
+    ends: int
+    words: pa.Array
     count: np.ndarray
     symbol: np.ndarray
     weight: np.ndarray
@@ -142,35 +158,31 @@ def lexicon(words: DataFrame) -> Lexicon:
     """From the stored counts of all words."""
     total = words.agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.max(F.when(_is_end(), F.col("c"))).alias("ends")).first()
     everything = total["n"] or 0
-    common = words.where(_common(everything)).toArrow()
-    rows = sorted(zip(common["word"].to_pylist(), common["c"].to_pylist(), common["n"].to_pylist(), strict=True))
-    symbols = {END: 0}
-    for word, _, n in rows:
-        if word != END and n * SYMBOLS >= everything:
-            symbols[word] = len(symbols)
-    first = len(symbols)
+    rows = words.where(_common(everything) & ~_is_end()).orderBy("word").toArrow().combine_chunks()
+    common, count, every = (rows[c].combine_chunks() if rows.num_rows else pa.array([], t) for c, t in (("word", pa.string()), ("c", pa.int64()), ("n", pa.int64())))
+    count = count.to_numpy()
+    named = every.to_numpy() * SYMBOLS >= everything
+    first = 1 + int(named.sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, CLASSES), np.int64)
         for batch in batches:
-            k = np.array([class_of(w) for w in batch.column(0).to_pylist()], np.int64)
-            sums[0] += np.bincount(k, batch.column(1).to_numpy(), CLASSES).astype(np.int64)
-            sums[1] += np.bincount(k, batch.column(1).to_numpy() > 0, CLASSES).astype(np.int64)
-        (k,) = np.nonzero(sums[1])
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(sums[0, k]), pa.array(sums[1, k])], ["k", "c", "v"])
+            k, c = classes_of(batch.column(0)), batch.column(1).to_numpy()
+            sums = np.zeros((2, CLASSES), np.int64)
+            np.add.at(sums[0], k, c)
+            np.add.at(sums[1], k, c > 0)
+            (k,) = np.nonzero(sums[1])
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(sums[0, k]), pa.array(sums[1, k])], ["k", "c", "v"])
 
     members = words.where((F.col("n") * SYMBOLS < everything) & ~_is_end()).select("word", "c")
     classes = members.mapInArrow(run, "k long, c long, v long").groupBy("k").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect()
+    symbol = classes_of(common) + first
+    symbol[named] = np.arange(1, first)
     weight = np.full(first + CLASSES, ADDED)
     weight[0] += total["ends"] or 0
-    for word, c, _ in rows:
-        if word in symbols and word != END:
-            weight[symbols[word]] = c + ADDED
+    weight[1:first] += count[named]
     for r in classes:
         weight[first + r["k"]] = r["c"] + ADDED * (r["v"] + 1)
-    number = {w: k for k, (w, _, _) in enumerate(rows)}
-    symbol = np.array([symbols[w] if w in symbols else first + class_of(w) for w in number], np.int64)
-    return Lexicon(total["c"] or 0, total["v"] or 0, number, np.array([c for _, c, _ in rows], np.int64), symbol, weight, first)
+    return Lexicon(total["c"] or 0, total["v"] or 0, total["ends"] or 0, common, count, symbol, weight, first)
 
 
 def _is_end() -> Column:
@@ -186,42 +198,43 @@ def encode(docs: DataFrame, words: Lexicon, held: Column, text: str, names: list
     row, held_name, *rest = names
     keep = [c for c in docs.columns if c != text]
     rows = docs.select(*keep, F.monotonically_increasing_id().alias(row), held.alias(held_name), text_of(text).alias(text))
-    kinds = [LongType(), LongType(), DoubleType(), DoubleType(), BinaryType(), ArrayType(StructType([StructField("word", BinaryType()), StructField("n", LongType())]))]
+    kinds = [LongType(), LongType(), DoubleType(), DoubleType(), BinaryType(), ArrayType(StringType())]
     schema = StructType([f for f in rows.schema.fields if f.name != text] + [StructField(n, k) for n, k in zip(rest, kinds, strict=True)])
     shared = docs.sparkSession.sparkContext.broadcast(words)
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-    types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), rare_type]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
-        find, base, share, known = lex.number.get, lex.base, lex.share, lex.count > 0
-        log_weight = np.log10(lex.weight)
-
-        def one(data: bytes) -> tuple:
-            tokens = seen = 0
-            total = part = 0.0
-            parts, rare = [], Counter()
-            for ws in [*words_of(data), [END]]:
-                at = np.array([find(w, -1) for w in ws], np.int64)
-                ok = at >= 0
-                symbols = np.zeros(len(ws), np.int64)
-                symbols[ok] = lex.symbol[at[ok]]
-                out = [ws[k] for k in np.flatnonzero(~ok)]
-                symbols[~ok] = [lex.first_class + class_of(w) for w in out] if out != [END] else 0
-                rare.update(out)
-                tokens += len(ws)
-                seen += int(known[at[ok]].sum())
-                total += float(base[at[ok]].sum())
-                part += float(share[at[ok]].sum()) - float(log_weight[symbols[~ok]].sum()) * (out != [END])
-                parts.append(symbols.astype(np.uint16))
-            return tokens, seen, total, part, np.concatenate(parts).tobytes(), [{"word": w, "n": n} for w, n in sorted(rare.items())]
+        log_weight, end = np.log10(lex.weight), float(np.log10(lex.ends + ADDED))
+        # Number -1, the last, is that of rare words.
+        symbol, base, share, known = (np.append(x, 0) for x in (lex.symbol, lex.base, lex.share, lex.count > 0))
+
+        def columns(texts: pa.Array) -> list[pa.Array]:
+            words, bounds = words_of(texts)
+            at = pc.fill_null(pc.index_in(words, value_set=lex.words.cast(words.type)), -1).to_numpy().astype(np.int64)
+            own, logs = symbol[at], share[at]
+            gone = at < 0
+            rare = words.filter(pa.array(gone))
+            own[gone] = classes_of(rare) + lex.first_class
+            logs[gone] = -log_weight[own[gone]]
+            sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[bounds])
+            some = np.diff(bounds) > 0
+
+            def exact(x: np.ndarray) -> np.ndarray:  # sums of each text's own numbers, without the rounding of a running sum
+                out = np.zeros(len(texts))
+                if some.any():
+                    out[some] = np.add.reduceat(x, bounds[:-1][some])
+                return out
+
+            data = np.insert(own, bounds[1:], 0).astype(np.uint16)  # the end of each text
+            cuts = pa.array(2 * (bounds + np.arange(len(bounds))), pa.int32())
+            symbols = pa.Array.from_buffers(pa.binary(), len(texts), [None, cuts.buffers()[1], pa.py_buffer(data)])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(gone)])[bounds], pa.int32()), rare)
+            return [pa.array(np.diff(bounds) + 1), pa.array(sums(known[at]) + (lex.ends > 0)), pa.array(exact(base[at]) + end), pa.array(exact(logs)), symbols, lists.cast(pa.list_(pa.string()))]
 
         for batch in batches:
             texts, others = batch.column(batch.num_columns - 1), batch.columns[:-1]
-            for k in range(0, batch.num_rows, 256):
-                found = [one(x) for x in _bytes(texts.slice(k, 256))]
-                arrays = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(c.slice(k, 256) for c in others), *arrays], schema.fieldNames())
+            for k, stop in groups(texts):
+                yield pa.RecordBatch.from_arrays([*(c.slice(k, stop - k) for c in others), *columns(texts.slice(k, stop - k))], schema.fieldNames())
 
     return rows.mapInArrow(run, schema)
 
@@ -477,10 +490,10 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", states
     model = train(rows.where(~F.col(held_name)), symbols, lex, states, rounds)
     # The counts of rare words; each of them has few occurrences.
     everything = words.agg(F.sum("n")).first()[0] or 0
-    sent = rows.select(row, F.explode(rare).alias("r")).select(row, F.col("r.word").alias("word"), F.col("r.n").alias("times"))
+    sent = rows.select(row, F.explode(rare).alias("word"))
     counts = words.where(~_common(everything)).select("word", "c")
     met = sent.join(counts, "word")
-    late = met.groupBy(row).agg(F.sum(F.col("times") * F.log10(F.col("c") + ADDED)).alias(late_name), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias(seen))
+    late = met.groupBy(row).agg(F.sum(F.log10(F.col("c") + ADDED)).alias(late_name), F.count_if(F.col("c") > 0).alias(seen))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = rows.drop(rare)
     schema = StructType([f for f in out.schema.fields if f.name != symbols] + [StructField(of_model, DoubleType())])

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from draftmill.llm import hmm
@@ -64,6 +65,15 @@ def test_a_very_long_sequence_of_unlikely_symbols():
     assert math.isclose(hmm.likelihoods(model, [long])[0], b, rel_tol=1e-10)
 
 
+def test_words_and_classes_are_those_of_python():
+    texts = ["", " a\tB\x0bc\x0c d\r\n", "É ÀB\x1cc x\x85y\u00a0z\u2003w", "  ", "abcdefghijklmnopqrstuvwxyz ab a 日本語 " + "x" * 100, "end "]
+    words, bounds = hmm.words_of(pa.array(["skipped", *texts, None]).slice(1).fill_null(""))
+    want = [t.encode().lower().split() for t in [*texts, ""]]
+    got = [w.encode() for w in words.to_pylist()]
+    assert [got[a:b] for a, b in zip(bounds, bounds[1:])] == want
+    assert hmm.classes_of(words).tolist() == [zlib.crc32(w[-3:] + bytes([min(len(w) // 3, 5)])) % 1024 for t in want for w in t]
+
+
 def texts_of(rng):
     kinds = ["alpha beta gamma delta", "uno dos tres quatro", "eins zwei drei vier"]
     return [" ".join(kinds[k % 3].split()[j] + ("" if j % 2 else f"{rng.integers(0, 40)}") for j in rng.integers(0, 4, int(rng.integers(1, 60)))) for k in range(150)]
@@ -101,7 +111,7 @@ def test_score_is_the_probability_of_the_words(spark, monkeypatch):
         every.update([*(t or "").encode().lower().split(), b""])
     total, everything = sum(c.values()), sum(every.values())
     symbols = [b"", *sorted(w for w, n in every.items() if n * 24 >= everything and w)]
-    assert 1 < len(symbols) == words.first_class < len(words.number) < len(every)
+    assert 1 < len(symbols) == words.first_class < len(words.words) < len(every)
     member = lambda w: zlib.crc32(w[-3:] + bytes([min(len(w) // 3, 5)])) % 1024
     size = Counter()
     for w, n in c.items():
