@@ -12,8 +12,9 @@ from draftmill.functions import ids, scalars, validation
 from draftmill.operators import buckets, commits, dedup, detect, extraction, outcomes, payload, routing, scoring, store
 from draftmill.plans.fixtures import AS_OF, CHECKS_RAW_SQL, CLASHING_SQL, COMPONENTS_SQL, checks_raw, clashing, components, stored, table
 from draftmill.plans.settings import Settings
-from draftmill.sources import pixels
-from draftmill.sources.workdir import shared
+from draftmill.sources import files
+from draftmill.sources.mail_export import MailExport
+from draftmill.sources.workdir import folders, move, shared
 from draftmill.streaming import failures, intake
 from draftmill.streaming.mails import finished
 
@@ -746,6 +747,31 @@ def explode_lists(spark: SparkSession, d: str) -> DataFrame:
     return parts.select("s_suppkey", F.trim("p").alias("path")).where("path <> ''")
 
 
+@query(
+    "a01_mail_scan",
+    """WITH m AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d, unnest(CASE WHEN o_orderkey % 5 = 0 THEN [] WHEN o_orderkey % 3 = 0 THEN [0, 1, 2] ELSE [0] END) AS n FROM orders)
+SELECT 'u' || k AS uid, CASE n WHEN 0 THEN 'scan:' || k || '.PDF' ELSE 'p' || k || '.png' END AS filename, strftime(d, '%Y%m%d') || '_103000_' || CASE n WHEN 0 THEN 'scan' || k || '.PDF' ELSE 'p' || k || '.png' END AS saved_as, '<m' || k || '@x>' AS message_ids
+FROM m WHERE n < 2""",
+)
+def mail_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A stream over a folder of mail exports that stops midway and goes on: a row a usable attachment."""
+    home, k = shared(spark, "mail"), F.col("o_orderkey")
+    files_of = F.when(k % 5 == 0, F.lit("[]"))
+    one = F.concat(F.lit('{"filename":"scan:'), k.cast("string"), F.lit('.PDF","content_type":"application/pdf"}'))
+    two = F.concat(F.lit(',{"filename":"p'), k.cast("string"), F.lit('.png","content_type":"image/png"},{"filename":"n.doc","content_type":"application/pdf"}'))
+    listed = files_of.otherwise(F.concat(F.lit("["), one, F.when(k % 3 == 0, two).otherwise(""), F.lit("]")))
+    line = F.concat(F.lit('{"uid":"u'), k.cast("string"), F.lit('","received":"'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('T10:30:00","message_id":"<m'), k.cast("string"), F.lit('@x>","attachments":'), listed, F.lit("}"))
+    mail = table(spark, d, "orders").select(line.alias("value"), (k % 2).alias("part"))
+    spark.dataSource.register(MailExport)
+    scan = files.attachments(spark.readStream.format("mail_export").load(f"{home}/in"))
+    for part in (0, 1):  # exports are read by name, and the second run begins where the first ended
+        mail.where(F.col("part") == part).select("value").write.mode("overwrite").text(f"{home}/part")
+        for n, name in enumerate(sorted(x for x in folders(spark, f"{home}/part") if x.startswith("part-"))):
+            move(spark, f"{home}/part/{name}", f"{home}/in/export-{part}-{n:05}.json")
+        scan.writeStream.format("parquet").option("checkpointLocation", f"{home}/at").option("path", f"{home}/out").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(scan.schema).parquet(f"{home}/out").select("uid", "filename", "saved_as", F.array_join("message_ids", " ").alias("message_ids"))
+
+
 # ---------------------------------------------------------------- extraction
 
 
@@ -1000,7 +1026,7 @@ def error_facts(spark: SparkSession, d: str) -> DataFrame:
     return tries.where(seen).select("event_id", payload.api_error(F.lit("{}"), F.col("s"))["message"].alias("message"), F.col("attempt").cast("int").alias("attempt"))
 
 
-# ------------------------------------------------------------ streams, pixels
+# ------------------------------------------------------------------ streams
 
 
 @query("s01_s06_stream", JUDGED + "SELECT rid, route AS event_type FROM judged")
@@ -1013,18 +1039,6 @@ def stream(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("rid long, event_type string").parquet(f"{home}/out/logs/*")
 
 
-@query("h01_h02_h16_pixels")
-def pixel_stages(spark: SparkSession, d: str) -> DataFrame:
-    """All pages drawn from their components, found again from pixels, with the detections cut out; a page is one row and one kernel call, and no image leaves it."""
-    scaled = components(spark, d).select("page", (F.col("x") / 8).cast("int").alias("x"), (F.col("y") / 8).cast("int").alias("y"), F.greatest(F.lit(1), (F.col("w") / 4).cast("int")).alias("w"), F.greatest(F.lit(1), (F.col("h") / 4).cast("int")).alias("h"))
-    pages = scaled.groupBy("page").agg(F.collect_list(F.struct("x", "y", "w", "h")).alias("boxes"))  # what fits on a page
-    # Detections at the scale of the drawn pages; rounding outwards loses no pixel.
-    left, top, right, bottom = ((F.floor(F.col("x") / 8)), F.floor(F.col("y") / 8), F.ceil((F.col("x") + F.col("w")) / 8), F.ceil((F.col("y") + F.col("h")) / 8))
-    cuts = h_detect(spark, d).select("page", *(c.cast("int").alias(n) for n, c in (("x", left), ("y", top), ("w", right - left), ("h", bottom - top))))
-    cuts = cuts.groupBy("page").agg(F.collect_list(F.struct("x", "y", "w", "h")).alias("cuts"))
-    return pixels.drawn_pages(pages.join(cuts, "page", "left"), 760, 330)
-
-
 @query("b21_crop_names", _BOXES + "SELECT page, det, 'scan' || page || '_p' || (page % 3 + 1) || '_idx' || det || '_19980802000000000000.png' AS name FROM detections")
 def crop_names(spark: SparkSession, d: str) -> DataFrame:
     name = scalars.crop_name(F.concat(F.lit("scan"), F.col("page").cast("string"), F.lit(".pdf")), F.col("page") % 3, F.col("det"), F.lit("19980802000000000000"))

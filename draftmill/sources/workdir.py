@@ -34,6 +34,13 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(where, True)
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    files, where = _at(spark, path)
+    goal = spark._jvm.org.apache.hadoop.fs.Path(to)
+    files.mkdirs(goal.getParent())
+    files.rename(where, goal)
+
+
 def folders(spark: SparkSession, path: str) -> list[str]:
     """The names in a folder, none if it is not there."""
     files, where = _at(spark, path)

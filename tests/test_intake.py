@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from draftmill.functions import ids, scalars, validation
 from draftmill.operators import commits, dedup, detect, extraction, outcomes, payload, routing, scoring, store
 from draftmill.plans.settings import Settings
-from draftmill.sources import files, pixels
+from draftmill.sources import files
 from draftmill.streaming import intake
 
 
@@ -444,55 +444,3 @@ def test_mail_attachments(spark, tmp_path):
     out = files.attachments(files.mail(spark, str(tmp_path / "m.json"))).collect()
     assert [(r.uid, r.saved_as, r.message_ids) for r in out] == [("1", "20240115_103000_myscan.PDF", ["<a@b>"])]
     assert files.paths_from(" a.pdf, ,b.pdf,") == ["a.pdf", "b.pdf"]
-
-
-def test_pages_components_and_crops(spark, tmp_path):
-    image = np.full((60, 40), 250, np.uint8)
-    image[10:20, 5:15] = 10
-    image[20:25, 15:18] = 10  # touches the first at a corner
-    image[40:50, 20:38] = 10
-    (tmp_path / "a.png").write_bytes(image.tobytes())
-    (tmp_path / "bad.png").write_bytes(b"x")
-    (tmp_path / "c.txt").write_bytes(b"x")
-    pages = files.pages(files.images(spark, str(tmp_path)), lambda b: [(60, 40, np.frombuffer(b, np.uint8).reshape(60, 40).tobytes())])
-    assert pages.count() == 1
-    pages = pages.withColumn("page", F.lit(7).cast("long"))
-    found = sorted((r.x, r.y, r.w, r.h, r.area) for r in pixels.page_components(pages).collect())
-    assert found == [(5, 10, 13, 15, 115), (20, 40, 18, 10, 180)]
-    boxes = spark.createDataFrame([(7, 0, 20, 40, 18, 10)], "page long, det int, x int, y int, w int, h int")
-    crop = pixels.crops(pages, boxes).first()
-    assert (crop.height, crop.width) == (10, 18) and set(crop.gray) == {10}
-    named = pixels.crops(pages, boxes).withColumn("name", scalars.crop_name(F.lit("in.pdf"), F.col("page"), F.col("det"), F.lit("t")))
-    file = pixels.crop_files(named).first()
-    assert file.name == "in_p8_idx0_t.png" and bytes(file.content).endswith(b"IEND\xaeB`\x82")
-
-
-def test_components_equal_flood_fill():
-    rng = np.random.default_rng(3)
-    mask = rng.random((30, 40)) < 0.35
-    seen, want = np.zeros_like(mask), []
-    for y, x in zip(*np.nonzero(mask), strict=True):
-        if seen[y, x]:
-            continue
-        stack, cells = [(y, x)], []
-        seen[y, x] = True
-        while stack:
-            a, b = stack.pop()
-            cells.append((a, b))
-            for i in range(max(0, a - 1), min(30, a + 2)):
-                for j in range(max(0, b - 1), min(40, b + 2)):
-                    if mask[i, j] and not seen[i, j]:
-                        seen[i, j] = True
-                        stack.append((i, j))
-        ys, xs = zip(*cells, strict=True)
-        want.append((min(xs), min(ys), max(xs) - min(xs) + 1, max(ys) - min(ys) + 1, len(cells)))
-    assert sorted(tuple(int(v) for v in r[:5]) for r in pixels.connected(mask)) == sorted(want)
-
-
-def test_kernels():
-    assert pixels.portrait(np.zeros((200, 300))).shape == (300, 200)
-    assert pixels.connected(np.zeros((5, 5), bool)).shape == (0, 7) and len(pixels.connected(np.eye(50, dtype=bool))) == 1
-    raw = pixels.png(np.arange(12, dtype=np.uint8).reshape(3, 4))
-    assert raw[:8] == b"\x89PNG\r\n\x1a\n" and raw[16:24] == (4).to_bytes(4, "big") + (3).to_bytes(4, "big")
-    data = raw[raw.index(b"IDAT") + 4 :]
-    assert zlib.decompressobj().decompress(data) == bytes([0, 0, 1, 2, 3, 0, 4, 5, 6, 7, 0, 8, 9, 10, 11])
