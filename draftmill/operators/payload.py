@@ -25,10 +25,11 @@ def _number(x: Column) -> Column:
     return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
 
 
-def _section(title: str, *lines: Column) -> Column:
-    """The title, those lines that aren't null and an empty line; null without any line."""
-    body = F.concat_ws("\n", *lines)
-    return F.when(body != "", F.concat(F.lit(f"{title}:\n" if title else ""), body, F.lit("\n")))
+def _section(title: str, *lines: Column, given: Column | None = None) -> Column:
+    """The title, those lines that aren't null and an empty line; null without any line, unless the section's subject is given."""
+    body, head = F.concat_ws("\n", *lines), F.lit(f"{title}:\n" if title else "")
+    whole = F.when(body != "", F.concat(head, body, F.lit("\n")))
+    return whole if given is None else F.coalesce(whole, F.when(given, head))
 
 
 def full_note(**c: Column) -> Column:
@@ -53,6 +54,7 @@ def full_note(**c: Column) -> Column:
             _line("Address: ", address["street"]),
             F.when(scalars.truthy(place[0]) & scalars.truthy(place[1]) & scalars.truthy(place[2]), F.concat(F.lit("City/State/ZIP: "), place[0], F.lit(", "), place[1], F.lit(" "), place[2])),
             F.when(address["country"] != "USA", _line("Country: ", address["country"])),
+            given=payor.isNotNull() | address.isNotNull(),
         ),
         _section("Bank Information", _line("Bank Name: ", f("bank_name")), _line("Routing Number: ", f("routing_number")), _line("Account Number: ", f("account_number"))),
         _section("", _line("Memo: ", f("memo"))),

@@ -14,9 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores at least: a small table may be one file, and all that follows one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def checks_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a submission: each order, and each twentieth once more."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
+    orders = spread(table(spark, sf_dir, "orders")).select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     nation = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))  # 25 rows
     k = F.col("k")
@@ -100,7 +106,7 @@ checks_raw AS (
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connected components of scanned pages, one a line item."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"))
     page = F.expr("l_orderkey div 8")
     w = Window.partitionBy(page).orderBy(*li.columns)
     q, pk, sk, ln = F.col("l_quantity").cast("int"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
