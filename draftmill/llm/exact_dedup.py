@@ -17,6 +17,10 @@ state of their digest by a broadcast; where hits are too many for that, only
 digests with over a thousandth of all rows are broadcast, at most a thousand,
 and the rest is shuffled, so no digest's rows go to one task.
 
+``exact_groups`` holds a table against itself, and its state serves one call.
+``dedup_delivery`` keeps the state for later calls: a delivery is held against
+all earlier ones, whose texts are found by the locators in the state.
+
 Only DataFrame and Structured Streaming functions; no Python on the executors.
 The stream's settings are those of a session of its own.
 
@@ -124,3 +128,54 @@ def dedup_exact(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     groups = exact_groups(docs, row, id_column, text, **options)
     stays = groups.where(F.col("row") == F.col("keep_row")).select(F.col("row").alias(row))
     return docs.join(stays, row, "left_semi").drop(row)
+
+
+def dedup_delivery(docs: DataFrame, home: str, delivery: int, id_column: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = _sha) -> DataFrame:
+    """The rows of a delivery whose text neither an earlier delivery nor an earlier row of this one has, with all columns of docs.
+
+    ``home`` keeps, from call to call, the stream's checkpoint with its state:
+    per digest the locators of the rows that stayed, one a delivery that brought
+    one.  A row whose digest is there is a hit; the texts at its locators are
+    read and compared in full, so rows of equal digest but other text stay.  The
+    files of earlier deliveries must therefore still be where they were.
+    Deliveries are numbered upwards; one that is given again gets the rows it
+    got, and a call that broke off is finished by the next of its number.
+    """
+    spark = docs.sparkSession
+    docs, row = with_row(docs)
+    groups = exact_groups(docs, row, id_column, text, digest)
+    stays = save(groups.where(F.col("row") == F.col("keep_row")).select("row", "digest"), "dedup-stays")
+    emitted = f"{home}/seen/{delivery}"
+    landing = f"{home}/landing/{delivery}"
+    if not _exists(spark, f"{landing}/_SUCCESS"):
+        stays.withColumn("delivery", F.lit(delivery)).write.mode("overwrite").parquet(landing)
+    own = spark.newSession()
+    for k, v in _STATE.items():
+        own.conf.set(k, v)
+    source = own.readStream.schema(stays.withColumn("delivery", F.lit(0)).schema).option("recursiveFileLookup", "true").parquet(f"{home}/landing")
+    state = source.groupBy("digest").agg(F.collect_list(F.struct("delivery", "row")).alias("known"))
+
+    def put(batch: DataFrame, number: int) -> None:  # the digests of this delivery; a batch that runs again replaces its own folder
+        batch.write.mode("overwrite").parquet(f"{emitted}/{number}")
+
+    state.writeStream.outputMode("update").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    if not _exists(spark, emitted):
+        return docs.where(F.lit(False)).drop(row)
+    seen = spark.read.schema(state.schema).option("recursiveFileLookup", "true").parquet(emitted)
+    hits = seen.select("digest", F.explode(F.filter("known", lambda k: k["delivery"] < delivery)).alias("k")).select("digest", F.col("k.row").alias("old"))
+    hits = save(hits, "dedup-seen")
+    files = [r[0] for r in hits.select("old.file").distinct().collect()]  # files, not rows
+    new = docs.join(stays.select(F.col("row").alias(row), F.col("digest").alias("_dm_digest")), row)
+    if not files:
+        return new.select(docs.columns).drop(row)
+    old = spark.read.parquet(*files).select(text, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias("old"))
+    texts = old.join(hits, "old").select("digest", normalised(text).alias("theirs"))
+    # A digest has one row of this delivery, or one a text where texts collide, and as many of each earlier one.
+    mine = new.select(F.col(row).alias("row"), F.col("_dm_digest").alias("digest"), normalised(text).alias("mine"))
+    known = mine.join(texts, "digest").where(F.col("mine") == F.col("theirs")).select(F.col("row").alias(row)).distinct()
+    return new.select(docs.columns).join(known, row, "left_anti").drop(row)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
