@@ -1,7 +1,8 @@
-"""Jobs: python -m draftmill batch|stream|list ...
+"""Jobs: python -m draftmill batch|stream|receipts|list ...
 
 batch SF_DIR OUT        routes all submissions of the tables and stores them
 stream INBOX OUT AT     polls a folder of submissions; AT holds the stream's progress
+receipts SF_DIR OUT     makes the receipts of all processed submissions
 list SF_DIR             active entities by type
 """
 
@@ -24,6 +25,8 @@ def main(args: list[str]) -> int:
     elif args[:1] == ["stream"] and len(args) == 4:
         schema = spark.read.parquet(args[1]).schema
         intake.poll(intake.landing(spark, args[1], schema), intake.intake(args[2], fixtures.AS_OF), args[3], Settings()).awaitTermination()
+    elif args[:1] == ["receipts"] and len(args) == 3:
+        queries.queries()["c15_c17_receipt"](spark, args[1]).write.parquet(args[2])
     elif args[:1] == ["list"] and len(args) == 2:
         queries.queries()["f14_a07_active_entities"](spark, args[1]).show(1000, truncate=False)
     else:

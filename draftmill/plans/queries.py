@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from draftmill.functions import ids, scalars, validation
 from draftmill.operators import buckets, commits, dedup, detect, extraction, outcomes, payload, routing, scoring, store
+from draftmill.operators.entities import Entities
 from draftmill.plans.fixtures import AS_OF, CHECKS_RAW_SQL, CLASHING_SQL, COMPONENTS_SQL, checks_raw, clashing, components, stored, table
 from draftmill.plans.settings import Settings
 from draftmill.sources import files
@@ -156,6 +157,20 @@ def active_entities(spark: SparkSession, d: str) -> DataFrame:
     return store.entity_listing(_accounts(spark, d))
 
 
+@query(
+    "a07_a08_entity_scan",
+    """WITH e AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'O''' || p_name || '"' ELSE p_name END AS name, p_size % 5 <> 0 AS active FROM part)
+SELECT w.name, (SELECT min(id) FROM e WHERE active AND e.name = w.name) AS id FROM (SELECT DISTINCT name FROM e WHERE id % 2 = 0) w""",
+)
+def entity_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Names looked up in a laid-out table of entities; some have quotes, and some belong to inactive entities only."""
+    quoted = F.when(F.col("id") % 3 == 0, F.concat(F.lit("O'"), "name", F.lit('"'))).otherwise(F.col("name"))
+    rows = _accounts(spark, d).withColumn("name", quoted)
+    found = Entities(shared(spark, "entities"), rows.schema)
+    found.save(rows)
+    return found.find(rows.where("id % 2 = 0").select("name"), "id")
+
+
 _CUSTOMERS = "SELECT rid, customer_name, (SELECT min(c_custkey) FROM customer c WHERE c.c_name = r.customer_name AND c_custkey % 7 <> 0) AS customer_id FROM checks_raw r"
 
 
