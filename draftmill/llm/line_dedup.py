@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from draftmill.llm.common import free_name, save
+from draftmill.llm.common import HOT_SHARE, free_name, save
 
 #: Boilerplate arrays are broadcast up to this many bytes; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
@@ -60,23 +60,28 @@ def html_lines(html: Column) -> Column:
 
 def drop_site_boilerplate(df: DataFrame, host: Column, lines: Column, ratio: float = 0.3) -> DataFrame:
     """df with ``host``, ``n_lines``, ``n_dropped`` and ``clean_text`` added; columns of df by these names are replaced."""
-    all_lines, bad, all_host = free_name(df, "lines", "bad", "host")
+    all_lines, bad, all_host, hot_bad, key = free_name(df, "lines", "bad", "host", "hot", "key")
     pages = df.select("*", host.alias(all_host), lines.alias(all_lines))
-    totals = pages.groupBy(all_host).agg(F.count("*").alias("pages"))
-    seen = pages.select(all_host, F.explode(F.array_distinct(all_lines)).alias("line")).groupBy(all_host, "line").agg(F.count("*").alias("n"))
-    # At most a few lines a host come through this join, so the arrays stay short.
-    often = (
-        seen.where(F.col("n") >= LEAST_PAGES)
-        .join(totals, all_host)
-        .where(F.col("n") > F.lit(ratio) * F.col("pages"))
-        .groupBy(all_host)
-        .agg(F.collect_list("line").alias(bad))
-    )
+    totals = save(pages.groupBy(all_host).agg(F.count("*").alias("pages")), "site-pages")
+    # Hosts of over HOT_SHARE of all pages, of which there are at most 1 / HOT_SHARE, meet their rows by broadcast.
+    everything = totals.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
+    hot = totals.where(F.col("pages") > everything * HOT_SHARE)
+    seen = pages.select(all_host, F.explode(F.array_distinct(all_lines)).alias("line")).groupBy(all_host, "line").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    seen = seen.join(F.broadcast(hot.withColumnRenamed("pages", "hot_pages")), all_host, "left")
+    # Their lines look for no total in the shuffled join, under keys that spread them.
+    seen = seen.withColumn(key, F.when(F.col("hot_pages").isNull(), F.col(all_host)).otherwise(F.concat(F.lit("\0"), "line")))
+    seen = seen.join(totals.select(F.col(all_host).alias(key), F.col("pages").alias("light_pages")), key, "left").withColumn("pages", F.coalesce("hot_pages", "light_pages"))
+    # At most a few lines a host are left, so the arrays stay short.
+    often = seen.where(F.col("n") > F.lit(ratio) * F.col("pages")).groupBy(all_host).agg(F.collect_list("line").alias(bad), F.max("hot_pages").alias("hot_pages"))
     often = save(often, "boilerplate")
     held = often.agg(F.coalesce(F.sum(F.octet_length(F.to_json(bad)) + 64), F.lit(0))).first()[0]
     if held <= BROADCAST_BYTES:
-        often = F.broadcast(often)
-    joined = pages.join(often, all_host, "left")
+        joined = pages.join(F.broadcast(often.drop("hot_pages")), all_host, "left")
+    else:
+        joined = pages.join(F.broadcast(often.where("hot_pages is not null").select(all_host, F.col(bad).alias(hot_bad))), all_host, "left")
+        spread = F.concat(F.lit("\0"), F.xxhash64(all_lines).cast("string"))
+        light = often.where("hot_pages is null").select(F.col(all_host).alias(key), bad)
+        joined = joined.withColumn(key, F.when(F.col(hot_bad).isNull(), F.col(all_host)).otherwise(spread)).join(light, key, "left").withColumn(bad, F.coalesce(hot_bad, bad))
     # The page's own boilerplate first, by a hash of the host's: few lines to look each line up in.
     own = F.array_intersect(all_lines, bad)
     kept = F.when(F.col(bad).isNull(), F.col(all_lines)).otherwise(F.get(F.transform(F.array(own), lambda o: F.filter(all_lines, lambda x: ~F.array_contains(o, x))), F.lit(0)))
