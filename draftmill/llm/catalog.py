@@ -120,8 +120,10 @@ QUALIFY row_number() OVER (PARTITION BY d.doc_id ORDER BY n.depth) = 1"""
 
 def _op2_sql() -> str:
     chains, most = imatch.CHAINS, imatch.MOST_LEVELS
-    depths = ", ".join(f"least({most}, bit_count((y{c} & -y{c}) - 1))" for c in range(chains))
-    mixed = ", ".join(f"((name & 2147483647) * {m} >> 17) & {(1 << most) - 1} AS y{c}" for c, m in enumerate(imatch.MIXERS))
+    pairs = range(len(imatch.MIXERS))
+    depth = lambda bits: f"{most} - CASE WHEN {bits} > 0 THEN length(bin({bits})) ELSE 0 END"
+    depths = ", ".join(f"{depth(f'y{c}')}, {depth(f'({imatch.MOST_BITS} - y{c})')}" for c in pairs)
+    mixed = ", ".join(f"((name & 2147483647) * {imatch.MIXERS[c]} >> 17) & {imatch.MOST_BITS} AS y{c}" for c in pairs)
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
 lv AS (SELECT greatest(1, least({most}, CAST(ceil(log2(max(n) / 2.0e0 + 1)) AS INT))) AS levels FROM d),
@@ -150,7 +152,7 @@ inb AS (
 whole AS (SELECT doc_id, of, substr(md5(string_agg(CAST(name AS VARCHAR), ' ' ORDER BY name)), 1, 8) AS s FROM inb WHERE NOT rare GROUP BY 1, 2),
 kept AS (
   SELECT doc_id, of, c, l, CASE WHEN count(*) > 2 THEN '+' ELSE substr(md5(string_agg(CAST(name AS VARCHAR), ' ' ORDER BY name)), 1, 8) END AS s
-  FROM inb, range(1, {chains + 1}) AS rc(c), range(1, {most + 1}) AS rl(l) WHERE depths[c] >= l AND l <= (SELECT levels FROM lv) AND rare = (c > {chains - imatch.RARE_CHAINS}) GROUP BY 1, 2, 3, 4),
+  FROM inb, range(1, {chains + 1}) AS rc(c), range(1, {most + 1}) AS rl(l) WHERE depths[c] >= l AND l <= (SELECT levels FROM lv) AND rare = (c > {chains - 2 * imatch.RARE_PAIRS}) GROUP BY 1, 2, 3, 4),
 slot AS (
   SELECT v.doc_id, v.of, 0 AS k, coalesce(whole.s, '') AS s FROM v LEFT JOIN whole USING (doc_id, of) UNION ALL
   SELECT v.doc_id, v.of, (c - 1) * {most} + l, coalesce(kept.s, '') FROM v CROSS JOIN range(1, {chains + 1}) AS rc(c) CROSS JOIN range(1, {most + 1}) AS rl(l) LEFT JOIN kept USING (doc_id, of, c, l)

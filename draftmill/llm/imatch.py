@@ -48,10 +48,11 @@ from draftmill.llm.common import save, text_of
 #: Terms in at least and at most these shares of all documents; as inverse document frequencies, ln 5 to ln 200.
 LEAST_SHARE, MOST_SHARE = 0.005, 0.2
 CHAINS, MOST_LEVELS = 18, 28
-#: Of these chains, the last keep terms that are rarer than the band.
-RARE_CHAINS = 6
-#: A term's 31-bit hash times one of these odd numbers gives its bits in a chain.  Multiples of each other would tie chains together.
-MIXERS = tuple(int(hashlib.sha256(f"chain {c}".encode()).hexdigest()[:8], 16) >> 1 | 1 for c in range(CHAINS))
+MOST_BITS = (1 << MOST_LEVELS) - 1
+#: A term's 31-bit hash times one of these odd numbers gives its bits in a pair of chains.  Multiples of each other would tie chains together.
+MIXERS = tuple(int(hashlib.sha256(f"chain {c}".encode()).hexdigest()[:8], 16) >> 1 | 1 for c in range(CHAINS // 2))
+#: The last pairs of chains keep terms that are rarer than the band.
+RARE_PAIRS = 3
 BROADCAST_TERMS = 200_000
 #: Rows of the null id are dealt by their text to so many keys.
 NULL_SALTS = 64
@@ -68,8 +69,13 @@ def name_of(term: Column) -> Column:
 
 
 def bits_in(name: Column, mixer: int) -> Column:
-    """The bits of a name in a chain; its depth there is the number of zeros that they end with."""
-    return F.shiftright(name.bitwiseAND(F.lit(0x7FFFFFFF)) * F.lit(mixer).cast("long"), 17).bitwiseAND(F.lit((1 << MOST_LEVELS) - 1))
+    """The bits of a name that place it in a pair of chains: near 0 it is deep in the one, near the greatest number in the other."""
+    return F.shiftright(name.bitwiseAND(F.lit(0x7FFFFFFF)) * F.lit(mixer).cast("long"), 17).bitwiseAND(F.lit(MOST_BITS))
+
+
+def depth_of(bits: Column) -> Column:
+    """How many zeros the bits begin with."""
+    return F.lit(MOST_LEVELS) - F.when(bits > 0, F.length(F.bin(bits))).otherwise(0)
 
 
 def lexicon(docs: DataFrame, text: str = "text", least: float = LEAST_SHARE, most: float = MOST_SHARE) -> tuple[DataFrame, int]:
@@ -90,33 +96,22 @@ def fingerprint(names: Column, rare: Column, levels: int) -> Column:
     def digest(*parts: Column) -> Column:
         return F.substring(F.md5(F.concat_ws(" ", *(n.cast("string") for n in parts))), 1, 8)
 
-    # So many zeros leave some sixteen terms of a chain, the deepest; where fewer than three are left, all terms are sorted.
-    def open_bits(some: Column) -> Column:
-        zeros = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.size(some), F.lit(1)) / 16)))
-        return F.pow(F.lit(2.0), zeros).cast("long") - 1
-
-    def chain(c: int) -> Column:
-        own = names if c < CHAINS - RARE_CHAINS else rare
-
-        def key(x: Column) -> Column:  # the deepest first: 31 less the depth, then the name
-            bits = bits_in(x, MIXERS[c])
-            depth = F.least(F.bit_count(bits.bitwiseAND(-bits) - 1), F.lit(MOST_LEVELS)).cast("long")
-            return F.shiftleft(31 - depth, 32).bitwiseOR(x)
-
-        few = F.filter(own, lambda x: bits_in(x, MIXERS[c]).bitwiseAND(open_bits(own)) == 0)
-        keys = F.get(F.transform(F.array(few), lambda some: F.sort_array(F.transform(F.when(F.size(some) >= 3, some).otherwise(own), key))), F.lit(0))
+    def pair(c: int) -> Column:
+        own = names if c < len(MIXERS) - RARE_PAIRS else rare
+        keys = F.sort_array(F.transform(own, lambda x: F.shiftleft(bits_in(x, MIXERS[c]), 32).bitwiseOR(x)))
 
-        def slots(k: Column) -> Column:
-            top = [F.get(k, F.lit(i)) for i in range(3)]
-            d1, d2, d3 = (F.when(t.isNull(), 0).otherwise(F.least(31 - F.shiftright(t, 32), F.lit(levels).cast("long")).cast("int")) for t in top)
+        def slots(k: Column, last: bool) -> Column:
+            top = [F.get(k, F.size(k) - 1 - i if last else F.lit(i)) for i in range(3)]
+            bits = [F.lit(MOST_BITS) - F.shiftright(t, 32) if last else F.shiftright(t, 32) for t in top]
+            d1, d2, d3 = (F.when(t.isNull(), 0).otherwise(F.least(depth_of(b), F.lit(levels))) for t, b in zip(top, bits, strict=True))
             n1, n2 = (t.bitwiseAND(F.lit(0xFFFFFFFF)) for t in top[:2])
             two, one = F.concat(F.lit("-"), digest(F.least(n1, n2), F.greatest(n1, n2))), F.concat(F.lit("-"), digest(n1))
             return F.concat(F.repeat(F.lit("-+"), d3), F.repeat(two, d2 - d3), F.repeat(one, d1 - d2), F.repeat(F.lit("-"), F.lit(levels) - d1))
 
-        return F.get(F.transform(F.array(keys), slots), F.lit(0))
+        return F.get(F.transform(F.array(keys), lambda k: F.concat(slots(k, False), slots(k, True))), F.lit(0))
 
     whole = F.when(F.size(names) > 0, F.substring(F.md5(F.array_join(F.transform(names, lambda x: x.cast("string")), " ")), 1, 8)).otherwise("")
-    return F.concat(whole, *(chain(c) for c in range(CHAINS)))
+    return F.concat(whole, *(pair(c) for c in range(len(MIXERS))))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -186,7 +181,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     used = []
     for of in (1, 2):
         whole = F.when(F.size(f"band{of}") > 0, F.col(f"band{of}")).otherwise(F.concat(*(F.col(f"{kind}{of}") for kind in kinds)))
-        used += [F.array_sort(F.array_distinct(x)).alias(f"{name}{of}") for name, x in (("p", whole), ("r", F.col(f"rare{of}")))]
+        used += [F.sort_array(F.array_distinct(x)).alias(f"{name}{of}") for name, x in (("p", whole), ("r", F.col(f"rare{of}")))]
     gathered = gathered.select("k", "z", "s", *used, F.explode("facts").alias("f"))
     table = gathered.select("k", "z", "s", "f.n", "f.sha", fingerprint(F.col("p1"), F.col("r1"), levels).alias("fp"), fingerprint(F.col("p2"), F.col("r2"), levels).alias("fe"))
     table = save(table, "imatch-fingerprints")
