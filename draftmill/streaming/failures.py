@@ -1,13 +1,9 @@
-"""Failures set aside: unreadable records, dead letters, and retries that state timers wake."""
+"""Failures set aside: unreadable records, dead letters, and retries that wait for their time."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StringType, StructType
 
 from draftmill.functions import scalars, validation
@@ -15,8 +11,6 @@ from draftmill.plans.settings import Settings
 from draftmill.streaming import ledger
 
 UNREADABLE = "_unreadable"
-EMITTED = "rid long, attempt int, outcome string, error string"
-WAITING = "attempt int, error string"
 
 
 def landing(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
@@ -39,47 +33,28 @@ def dead_letters(rows: DataFrame) -> DataFrame:
     return rows.where("route = 'failed'").select("rid", attempt.alias("attempt"), "error")
 
 
-def wait(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A failure that may be tried again waits for its timer; the timer emits the next attempt; any other failure is final."""
-    if state.hasTimedOut:
-        attempt, error = state.get
-        state.remove()
-        yield pd.DataFrame({"rid": [key[0]], "attempt": [attempt + 1], "outcome": ["retry"], "error": [error]})
-        return
-    rows = pd.concat(list(frames))
-    rows = rows[~rows["is_clock"]]
-    if not len(rows):
-        return
-    last = rows.loc[rows["attempt"].idxmax()]
-    if last["again"]:
-        state.update((int(last["attempt"]), last["error"]))
-        state.setTimeoutTimestamp(int(last["due"]))
-        return
-    if state.exists:
-        state.remove()
-    yield pd.DataFrame({"rid": [key[0]], "attempt": [int(last["attempt"])], "outcome": ["dead"], "error": [last["error"]]})
-
-
 def retries(failures: DataFrame, store: str, number: int, now: int, status: Column | None = None, settings: Settings = Settings()) -> DataFrame:
     """What becomes of failures by second ``now``: (rid, attempt, outcome, error), an attempt to make now or a failure for good.
 
     ``failures`` has rows of (rid, attempt from 1, error), which failed since the
-    last poll, and the ``status`` of the response, none if there was none.  Each
-    waits as state under a timer, a delay after its poll that doubles with every
-    attempt.  The timers run on the polls' own clock, which must advance from
-    poll to poll, so a poll that runs again gives the same.
+    last poll, and the ``status`` of the response, none if there was none.  A
+    failure that may be tried again waits for its time, a delay after its poll
+    that doubles with every attempt; any other is final.  A later failure of a
+    row stands for its earlier ones.  What waits is a table that each poll
+    carries on, grouped by row in one job; time is the polls'
+    own clock, which must advance from poll to poll, so a poll that runs again
+    gives the same.
     """
     tried = F.col("attempt").cast("int")
     again = validation.should_retry(F.lit(None).cast("int") if status is None else status, tried - 1, settings.api_attempts)
     due = (F.lit(now) + scalars.retry_delay(tried, settings.api_delay, 2.0)) * 1000
-    rows = failures.select(F.col("rid").cast("long").alias("rid"), tried.alias("attempt"), again.alias("again"), due.cast("long").alias("due"), F.col("error").cast("string").alias("error"), F.lit(False).alias("is_clock"))
-    clock = failures.sparkSession.range(1).select(F.lit(-1).cast("long"), F.lit(0), F.lit(False), F.lit(0).cast("long"), F.lit(""), F.lit(True))
-    rows = rows.unionByName(clock.toDF(*rows.columns)).withColumn("at", F.timestamp_seconds(F.lit(now)))
+    rows = failures.select(F.col("rid").cast("long").alias("rid"), tried.alias("attempt"), again.alias("again"), due.cast("long").alias("due"), F.col("error").cast("string").alias("error"))
 
-    def step(stream: DataFrame) -> DataFrame:
-        return stream.withWatermark("at", "0 seconds").groupBy("rid").applyInPandasWithState(wait, EMITTED, WAITING, "update", GroupStateTimeout.EventTimeTimeout)
+    def step(rows: DataFrame) -> DataFrame:
+        last = rows.groupBy("rid").agg(F.max(F.struct("new", "attempt", "due", "again", "error")).alias("last")).select("rid", "last.*")
+        woken = F.col("due") < now * 1000  # the clock has passed it
+        outcome = F.when(~F.col("again"), "dead").when(woken, "retry")
+        attempt = F.when(F.col("again") & woken, F.col("attempt") + 1).otherwise(F.col("attempt"))
+        return last.select("rid", attempt.alias("attempt"), outcome.alias("outcome"), "error", "again", "due", outcome.isNull().alias("stays"))
 
-    # The clock is the watermark, which timers meet in the batch after the one that brings it.
-    emitted = ledger.advance(rows, 2 * number, step, store, "failures", "retries")
-    woken = ledger.advance(rows.where("is_clock"), 2 * number + 1, step, store, "failures", "retries")
-    return emitted.unionByName(woken)
+    return ledger.carry(rows, number, step, ["rid", "attempt", "again", "due", "error"], store, "retries").select("rid", "attempt", "outcome", "error")

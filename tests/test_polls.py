@@ -81,3 +81,18 @@ def test_dead_letters_tell_the_attempt(spark, column):
     rows = spark.createDataFrame([(1, "failed", "e", 2), (2, "processed", None, 1), (3, "failed", None, None)], "rid long, route string, error string, attempt int")
     out = failures.dead_letters(rows if column else rows.drop("attempt")).collect()
     assert sorted((r.rid, r.attempt) for r in out) == ([(1, 2), (3, 1)] if column else [(1, 1), (3, 1)])
+
+
+def test_retries_are_grouped_and_not_called_row_by_row(spark, tmp_path):
+    """Many failures at once: no Python worker takes part, what waits goes on from poll to poll, and tables of earlier polls' waiting rows go."""
+    schema = "rid long, attempt int, status int, error string"
+    many = spark.range(5000).select(F.col("id").alias("rid"), F.lit(1).alias("attempt"), F.lit(500).alias("status"), F.lit("x").alias("error"))
+    none, home = spark.createDataFrame([], schema), str(tmp_path)
+    assert failures.retries(many, home, 1, 100, F.col("status")).count() == 0
+    again = failures.retries(spark.createDataFrame([(7, 1, 404, "y"), (8, 2, 503, "z")], schema), home, 2, 101, F.col("status"))
+    assert [tuple(r) for r in again.collect()] == [(7, 1, "dead", "y")]
+    woken = failures.retries(none, home, 3, 102, F.col("status"))
+    assert sorted(r.rid for r in woken.where("outcome = 'retry' and attempt = 2").collect()) == [k for k in range(5000) if k not in (7, 8)]
+    assert [tuple(r) for r in failures.retries(none, home, 4, 104, F.col("status")).collect()] == [(8, 3, "retry", "z")]
+    assert not (tmp_path / "retries" / "batch=1" / "stays=true").exists()
+    assert not (tmp_path / "retries-state").exists() and not (tmp_path / "failures-state").exists()
