@@ -96,3 +96,13 @@ def test_retries_are_grouped_and_not_called_row_by_row(spark, tmp_path):
     assert [tuple(r) for r in failures.retries(none, home, 4, 104, F.col("status")).collect()] == [(8, 3, "retry", "z")]
     assert not (tmp_path / "retries" / "batch=1" / "stays=true").exists()
     assert not (tmp_path / "retries-state").exists() and not (tmp_path / "failures-state").exists()
+
+
+def test_mails_are_grouped_and_not_called_one_by_one(spark, tmp_path):
+    """Many mails over three polls, most of them in none of the second's rows; no state of single mails is left, nor earlier polls' queues."""
+    items = spark.range(6000).select((F.col("id") % 2000).alias("file"), F.col("id").alias("rid"), F.lit(3).alias("items"), F.when(F.col("id") % 5 == 0, "failed").otherwise("processed").alias("route"), F.concat(F.lit("<"), "id", F.lit(">")).alias("message_id"))
+    got = [finished(items.where(f"rid >= {a} and rid < {b}"), str(tmp_path), number) for number, (a, b) in enumerate([(0, 3990), (3990, 4000), (4000, 6000)])]
+    assert [x.count() for x in got] == [0, 0, 2000]
+    want = {f: (sum(k % 5 == 0 for k in (f, f + 2000, f + 4000)), [f"<{k}>" for k in (f, f + 2000, f + 4000)]) for f in range(2000)}
+    assert {r.file: (r.failed, list(r.message_ids)) for r in got[2].collect()} == want
+    assert not (tmp_path / "items-state").exists() and not (tmp_path / "mails" / "batch=0" / "stays=true").exists()
