@@ -20,6 +20,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+#: Rows of a task whose work on each is dear.
+TASK_ROWS = 1 << 16
+
+
+def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """df in tasks of some TASK_ROWS, by a unique key: a shuffle that is cut by bytes alone leaves as many tasks as there are cores, which grow with the input."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), key)
+
+
 def checks_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a submission: each order, and each twentieth once more."""
     orders = spread(table(spark, sf_dir, "orders")).select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")

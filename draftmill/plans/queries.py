@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from draftmill.functions import ids, scalars, validation
 from draftmill.operators import buckets, commits, dedup, detect, extraction, outcomes, payload, routing, scoring, store
 from draftmill.operators.entities import Entities
-from draftmill.plans.fixtures import AS_OF, CHECKS_RAW_SQL, CLASHING_SQL, COMPONENTS_SQL, checks_raw, clashing, components, stored, table
+from draftmill.plans.fixtures import AS_OF, CHECKS_RAW_SQL, CLASHING_SQL, COMPONENTS_SQL, checks_raw, clashing, components, dealt, stored, table
 from draftmill.plans.settings import Settings
 from draftmill.sources import files
 from draftmill.sources.mail_export import MailExport
@@ -664,7 +664,7 @@ _ARCHIVE = JUDGED + _OUTCOME + "SELECT file, folder, string_agg('<' || rid || '@
 def pending_mail(spark: SparkSession, d: str) -> DataFrame:
     """The archive again, of items that four polls bring: a mail moves in the poll of its last item."""
     home, rows = shared(spark, "mails"), judged(spark, d)
-    sizes = rows.groupBy("file").agg(F.count("*").alias("items"))
+    sizes = checks_raw(spark, d).groupBy("file").agg(F.count("*").alias("items"))  # as many rows as are judged
     sent = F.concat(F.lit("<"), F.col("rid").cast("string"), F.lit("@example.org>"))
     items = stored(rows.join(sizes, "file").select("file", "rid", "items", "route", sent.alias("message_id")), "items")
     done = [finished(items.where(F.col("rid") % 4 == number), home, number) for number in range(4)]
@@ -801,7 +801,7 @@ def mail_scan(spark: SparkSession, d: str) -> DataFrame:
 
 def _responses(spark: SparkSession, d: str) -> DataFrame:
     """Extraction responses as models give them: whole, partial, with null and mistyped fields, with a bare key or a lacking comma, cut off, or no JSON."""
-    raw, k = checks_raw(spark, d), F.col("rid")
+    raw, k = dealt(checks_raw(spark, d), "rid", table(spark, d, "orders").count()), F.col("rid")
     null, quote = F.lit(None).cast("string"), F.lit('"')
 
     def text(x: Column) -> Column:
