@@ -51,7 +51,9 @@ def _object(text: Column) -> Column:
 def parse(df: DataFrame, text: str = "response") -> DataFrame:
     """Adds ``record``, a map from field to text, and ``parsed``: as_is, repaired or failed."""
     first = df.withColumn("_first", _object(F.col(text)))
-    both = first.withColumn("_second", F.when(F.col("_first").isNull(), _object(repair(F.col(text)))))
+    # A column of its own, as _object reads it twice.
+    mended = first.withColumn("_mended", F.when(F.col("_first").isNull(), repair(F.col(text))))
+    both = mended.withColumn("_second", _object(F.col("_mended")))
     state = F.when(F.col("_first").isNotNull(), "as_is").when(F.col("_second").isNotNull(), "repaired").otherwise("failed")
     # A generator is where the optimiser stops: neither filters nor fields that are asked for later copy the parsing below it.
     one = F.struct(state.alias("parsed"), F.coalesce("_first", "_second").alias("record"))
