@@ -1,16 +1,17 @@
 """Near-duplicate texts of the pipeline: five-word shingles, Jaccard similarity of 0.8 or more.
 
-SimHash cannot decide this: at a similarity of 0.8 two 64-bit fingerprints
-differ in 9.7 bits on average, and any pigeonhole over so wide a radius makes
-candidates of a fixed share of all pairs.  So MinHash proposes, and the exact
-similarity of the two sets decides, in whole numbers.
+Op4's SimHash with its generalised pigeonhole proposes pairs; it alone cannot
+decide: at a similarity of 0.8 two 64-bit fingerprints differ in 9.7 bits on
+average, and any pigeonhole over so wide a radius makes candidates of a fixed
+share of all pairs.  So MinHash proposes what lies beyond 3 bits, and the exact
+similarity of the two sets decides on the pairs of both, in whole numbers.
 
 1. A text is its set of shingle hashes (XXH64); texts of fewer words are one
    shingle.  ``BANDS`` keys of ``ROWS`` least hashes each: two texts of
    similarity s share a key with chance 1 - (1 - s**7)**60; at 0.8 one pair in
    a million is missed.
-2. Texts that share keys, directly or over others, are a cluster; clusters are
-   found by star contraction over (key, text), without pairs.
+2. Texts that share keys, or that SimHash links, directly or over others, are a
+   cluster; clusters are found by star contraction, without pairs.
 3. A cluster's texts are shingled again and dealt into chunks of bounded size,
    of which any two meet in one task; most clusters are one chunk.  The task
    counts what all its sets have in common, and emits a spanning forest of the
@@ -38,7 +39,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from draftmill.llm.common import drop, free_name, save, text_of, with_row
-from draftmill.llm.simhash import components, shingle_hashes
+from draftmill.llm.simhash import components, fingerprints, shingle_hashes
+from draftmill.llm.simhash import links as simhash_links
 
 SHINGLE = 5
 #: Similarity as a fraction of whole numbers.
@@ -105,11 +107,26 @@ def keyed(sets: DataFrame, keep: list[str]) -> DataFrame:
     return sets.select(*keep, "d", "s").mapInArrow(run, schema)
 
 
-def clusters(rows: DataFrame) -> DataFrame:
-    """(d, root): the texts that share keys, directly or over others."""
+def simhash_proposals(docs: DataFrame, row: str, text: str, rows: DataFrame) -> DataFrame:
+    """(a, b): sets whose SimHash fingerprints op4 links or finds equal, each by the least set of its fingerprint; ``rows`` has row, d and n."""
+    fps = fingerprints(docs.select(row, text), [row], text)
+    sets = save(fps.join(rows.where("n > 0").select(row, "d"), row).select("fp", "d").distinct(), "near-simhash")
+    least = save(sets.groupBy("fp").agg(F.min("d").alias("lo"), F.count("*").alias("sets")), "near-simhash-distinct")
+    equal = sets.join(least.where("sets > 1"), "fp").where("d <> lo").select(F.col("d").alias("a"), F.col("lo").alias("b"))
+    near = simhash_links(least.select("fp"))
+    left, right = (least.select(F.col("fp").alias(c), F.col("lo").alias(f"_{c}")) for c in ("a", "b"))
+    near = near.join(left, "a").join(right, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    out = save(equal.unionByName(near).distinct(), "near-proposals")
+    drop(sets, least)
+    return out
+
+
+def clusters(rows: DataFrame, proposed: DataFrame) -> DataFrame:
+    """(d, root): the texts that are proposed as pairs or share keys, directly or over others."""
     keys = rows.select(F.explode("keys").alias("key"), "d")
     least = keys.groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select("key", "lo")
-    edges = save(keys.join(least, "key").where("d <> lo").select(F.col("d").alias("a"), F.col("lo").alias("b")).distinct(), "near-edges")
+    edges = keys.join(least, "key").where("d <> lo").select(F.col("d").alias("a"), F.col("lo").alias("b")).unionByName(proposed)
+    edges = save(edges.distinct(), "near-edges")
     found = components(edges).select(F.col("node").alias("d"), "root")
     drop(edges)
     return found.unionByName(found.select(F.col("root").alias("d"), "root").distinct())  # a root is no node of its own
@@ -197,7 +214,9 @@ def verified(parts: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, row: str, text: str, rows: DataFrame) -> DataFrame:
     """Links (a, b) of similar sets that connect all proposed pairs of the limit's similarity; ``rows`` has row, d, n and keys."""
-    found = clusters(rows)
+    proposed = simhash_proposals(docs, row, text, rows)
+    found = clusters(rows, proposed)
+    drop(proposed)
     # One row of each set in a cluster; what a cluster holds tells its chunks.
     members = rows.join(found, "d").groupBy("d").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.min(row).alias(row))
     members = save(members, "near-members")

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from draftmill.llm import near_text
@@ -78,3 +79,13 @@ def test_keys_do_not_depend_on_what_comes_together(monkeypatch):
     monkeypatch.setattr(near_text, "AT_ONCE", 64)
     assert (near_text.set_keys(begin, np.concatenate(sets)) == whole).all()
     assert all((near_text.set_keys(np.array([0, len(x)]), x)[0] == w).all() for x, w in zip(sets, whole, strict=True))
+
+
+def test_simhash_proposes_and_the_sets_decide(spark, monkeypatch):
+    """Without a single MinHash key, op4's links still bring near copies together; of what it links, only similar sets are one group."""
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(near_text, "keyed", lambda sets, keep, real=near_text.keyed: real(sets, keep).withColumn("keys", F.array().cast("array<bigint>")))
+    long = prose(rng, 900).split()
+    texts = [" ".join(long), " ".join([*long[:-1], "other"]), prose(rng, 200), "one two three", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_text.dedup_near(docs).collect()) == [0, 2, 3, 4]
