@@ -41,10 +41,12 @@ from draftmill.llm.common import SPACE_CLASS, save, text_of, with_row, work_dir
 
 #: Digests of hits with their state are broadcast up to this many (some 50 MB).
 BROADCAST_HITS = 200_000
-#: Settings of the stream: state on disk; no preallocated files, of which each state partition would hold several megabytes.
+#: Settings of the stream: state on disk; no preallocated files, of which each state partition would hold several megabytes;
+#: a partition's store is closed when its task ends, as it would else hold native memory long after the stream.
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 
@@ -52,6 +54,14 @@ def normalised(text: str = "text") -> Column:
     return F.regexp_replace(text_of(text), SPACE_CLASS + "+", "")
 
 
+def _stream_session(spark: SparkSession) -> SparkSession:
+    """A session of its own, with the state's settings and as many partitions as the caller's: a new session starts from the defaults."""
+    own = spark.newSession()
+    for k, v in {**_STATE, "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions")}.items():
+        own.conf.set(k, v)
+    return own
+
+
 def _sha(x: Column) -> Column:
     return F.sha2(x, 256)
 
@@ -100,9 +110,7 @@ def _best() -> Column:
 def _stream(spark: SparkSession, landing: str, bytes_per_batch: int, files_per_batch: int | None) -> DataFrame:
     out, at = work_dir(spark, "dedup-state"), work_dir(spark, "dedup-checkpoint")
     source = spark.read.parquet(landing)
-    own = spark.newSession()
-    for k, v in _STATE.items():
-        own.conf.set(k, v)
+    own = _stream_session(spark)
     limit = {"maxFilesPerTrigger": files_per_batch} if files_per_batch else {"maxBytesPerTrigger": bytes_per_batch}
     grouped = (
         own.readStream.schema(source.schema)
@@ -149,9 +157,7 @@ def dedup_delivery(docs: DataFrame, home: str, delivery: int, id_column: str = "
     landing = f"{home}/landing/{delivery}"
     if not _exists(spark, f"{landing}/_SUCCESS"):
         stays.withColumn("delivery", F.lit(delivery)).write.mode("overwrite").parquet(landing)
-    own = spark.newSession()
-    for k, v in _STATE.items():
-        own.conf.set(k, v)
+    own = _stream_session(spark)
     source = own.readStream.schema(stays.withColumn("delivery", F.lit(0)).schema).option("recursiveFileLookup", "true").parquet(f"{home}/landing")
     state = source.groupBy("digest").agg(F.collect_list(F.struct("delivery", "row")).alias("known"))
 

@@ -168,6 +168,15 @@ def test_imatch_levels_follow_the_longest_text(spark):
         assert 0 < r.near_edited < 1 or r.doc_id < 2  # the first texts hold the same terms
 
 
+def test_exact_stream_has_the_callers_partitions(spark, tmp_path):
+    """A stream's state has the partitions that the caller set, and not the default 200 of a new session, and no store stays loaded."""
+    spark.createDataFrame([(k, f"text {k % 7}") for k in range(40)], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    assert exact_dedup.dedup_exact(spark.read.parquet(str(tmp_path / "d"))).count() == 7
+    own = exact_dedup._stream_session(spark)
+    assert own.conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    assert own.conf.get("spark.sql.streaming.stateStore.unloadOnCommit") == "true"
+
+
 def test_imatch_many_null_ids(spark):
     rows = [(None, f"alpha beta {k}") for k in range(40)] + [(k, f"gamma {k}") for k in range(10)]
     assert imatch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).count() == 50
