@@ -21,8 +21,8 @@ Only DataFrame functions.  Frequencies cover all documents and combine before
 the shuffle.  The lexicon cannot outgrow the mean number of distinct terms a
 document over the least share of documents (200 times that number here), so it
 is broadcast behind a check of its size; beyond it the join shuffles.  Texts are
-shuffled twice, by digest to count each once, and by id for the join to the next
-document; terms are exploded, joined and gathered again within that
+shuffled by id for the join to the next document; to count each text once, only
+those that may have copies are shuffled, by digest.  Terms are exploded, joined and gathered again within that
 partitioning.  Within a chain only the three terms of the greatest depth tell
 what its slots are, so one short sort a chain gives them all.
 
@@ -54,6 +54,8 @@ MIXERS = tuple(int(hashlib.sha256(f"chain {c}".encode()).hexdigest()[:8], 16) >>
 #: The last pairs of chains keep terms that are rarer than the band.
 RARE_PAIRS = 3
 BROADCAST_TERMS = 200_000
+#: Hashes of texts that occur more than once are broadcast up to this many (some 30 MB); beyond it all texts are shuffled.
+BROADCAST_REPEATS = 1_000_000
 #: Rows of the null id are dealt by their text to so many keys.
 NULL_SALTS = 64
 TERM_BREAK = r"[^\p{L}\p{N}]+"
@@ -78,14 +80,27 @@ def depth_of(bits: Column) -> Column:
     return F.lit(MOST_LEVELS) - F.when(bits > 0, F.length(F.bin(bits))).otherwise(0)
 
 
+def distinct_texts(texts: DataFrame, t: str = "t") -> DataFrame:
+    """Each text once.  Only texts whose hash occurs more than once are shuffled, by digest: a text of a hash of its own has no copy."""
+    hashed = texts.select(F.col(t).alias("t"), F.xxhash64(t).alias("h"))
+    repeats = save(hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "imatch-repeats")
+
+    def once(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(F.md5("t").alias("d")).agg(F.first("t").alias("t")).select("t")
+
+    if repeats.count() > BROADCAST_REPEATS:
+        return once(hashed)
+    repeats = F.broadcast(repeats)
+    return hashed.join(repeats, "h", "left_anti").select("t").unionByName(once(hashed.join(repeats, "h", "left_semi")))
+
+
 def lexicon(docs: DataFrame, text: str = "text", least: float = LEAST_SHARE, most: float = MOST_SHARE) -> tuple[DataFrame, int]:
     """The terms that are not rare, (term, in_band), and the number of levels that the longest text needs."""
     texts = docs.select(text_of(text).alias("t"))
     facts = texts.agg(F.count_distinct(F.md5("t")).alias("n"), F.coalesce(F.max(F.length("t")), F.lit(0)).alias("longest")).first()
     # A text of so many characters has at most half as many terms.
     levels = max(1, min(MOST_LEVELS, math.ceil(math.log2(facts["longest"] / 2 + 1))))
-    once = texts.groupBy(F.md5("t").alias("d")).agg(F.first("t").alias("t"))
-    counts = once.select(F.explode(terms_of(F.col("t"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    counts = distinct_texts(texts).select(F.explode(terms_of(F.col("t"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     known = counts.where(F.col("df") >= F.lit(least) * facts["n"])
     return save(known.select("term", (F.col("df") <= F.lit(most) * facts["n"]).alias("in_band")), "imatch-lexicon"), levels
 

@@ -168,6 +168,19 @@ def test_imatch_levels_follow_the_longest_text(spark):
         assert 0 < r.near_edited < 1 or r.doc_id < 2  # the first texts hold the same terms
 
 
+@pytest.mark.parametrize("most", [1000, 0])
+def test_imatch_shuffles_only_texts_with_copies(spark, tmp_path, monkeypatch, most):
+    """Each text once; a text without copies stays in the partition where it was read."""
+    monkeypatch.setattr(imatch, "BROADCAST_REPEATS", most)
+    texts = [f"text {k} " + "x" * 50 for k in range(200)] + ["copy a"] * 30 + ["copy b"] * 2 + [""] * 3
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(t,) for t in texts], "t string").repartition(3).write.parquet(path)
+    once = imatch.distinct_texts(spark.read.parquet(path))
+    assert sorted(r.t for r in once.collect()) == sorted(set(texts))
+    assert sum("LeftAnti" in x for x in once._jdf.queryExecution().sparkPlan().toString().splitlines()) == (1 if most else 0)
+    assert imatch.lexicon(spark.read.parquet(path), "t", least=0.0, most=1.0)[0].count() == len({w for t in texts for w in t.split()})
+
+
 def test_exact_stream_has_the_callers_partitions(spark, tmp_path):
     """A stream's state has the partitions that the caller set, and not the default 200 of a new session, and no store stays loaded."""
     spark.createDataFrame([(k, f"text {k % 7}") for k in range(40)], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
