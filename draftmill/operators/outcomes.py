@@ -19,6 +19,14 @@ from draftmill.streaming import failures, ledger, mails
 ID_FIELDS = ("routing_number", "account_number", "check_number", "check_date", "amount")
 
 
+#: What a batch reads of its judged rows, where they have it; scores and other columns would only be shuffled and written.
+NEEDED = ("rid", *ID_FIELDS, "customer_name", "confidence", "review_reason", "error", "memo", "state", "file", "items", "message_id", "attempt", "route")
+
+
+def needed(judged: DataFrame) -> DataFrame:
+    return judged.select(*(c for c in NEEDED if c in judged.columns))
+
+
 def marked(judged: DataFrame) -> DataFrame:
     """Processed and manual-review rows with the text of their id, and whether they will be mapped: processed ones with all that a mapping requires."""
     whole = F.lit(True)
@@ -127,7 +135,7 @@ def write(judged: DataFrame, store: str, number: int, as_of: Column, settings: S
         rows.write.mode("overwrite").parquet(f"{held}/{name}")
         return spark.read.schema(rows.schema).parquet(f"{held}/{name}")
 
-    judged = hold(judged, "judged")
+    judged = hold(needed(judged), "judged")
     known = with_ids(judged, counts_before(judged, store, number), settings.unique_ids)
     rows = hold(settled(judged, known), "settled")
     parts = {

@@ -410,6 +410,26 @@ def test_a_batch_commits_as_a_whole(spark, tmp_path, monkeypatch):
     assert state(broken) == after and commits.sweep(spark, broken, list(outcomes.TABLES)) == []
 
 
+def test_a_batch_carries_only_what_it_reads(spark, tmp_path, monkeypatch):
+    """Scores and other columns of judged rows are neither held nor shuffled on; the tables stay whole."""
+    held, real = {}, DataFrameWriter.parquet
+
+    def watching(self, path, *more, **options):
+        if "/held/" in path:
+            held[path.rsplit("/", 1)[1]] = set(self._df.columns)
+        return real(self, path, *more, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", watching)
+    rows = submissions(spark)
+    intake.intake(str(tmp_path), "1998-08-02")(rows.withColumn("other", F.lit("x")), 0)
+    assert set(held) == {"judged", "settled"} and held["settled"] == held["judged"] | {"check_id", "shareable_id"}
+    assert held["judged"] <= set(outcomes.NEEDED)
+    judged = routing.judge(rows, "1998-08-02")
+    assert {r.rid: r.event_type for r in commits.read(spark, str(tmp_path), "logs").collect()} == {r.rid: r.route for r in judged.collect()}
+    want = {r.rid: r.review_reason for r in judged.where("route = 'manual_review'").collect()}
+    assert {r.rid: r.error_message for r in commits.read(spark, str(tmp_path), "checks").where("status = 'manual_review'").collect()} == want
+
+
 def test_updates_refuse_unknown_columns(spark):
     df = submissions(spark).withColumn("updated_at", F.lit(1))
     with pytest.raises(ValueError):
