@@ -54,7 +54,7 @@ def intake(store: str, as_of: str, settings: Settings = Settings()) -> Callable[
             swept.append(True)
             commits.sweep(batch.sparkSession, store, list(outcomes.TABLES))
         firsts = first_seen(batch, store, number)
-        judged = routing.judge_alone(batch, as_of, settings)
+        judged = outcomes.needed(routing.judge_alone(batch, as_of, settings))
         here = F.struct(F.lit(number).cast("long").alias("batch"), F.col("rid").cast("long").alias("rid"))
         judged = judged.join(firsts, list(dedup.KEY), "left")
         gate = validation.duplicate_gate(F.col("routing_number"), F.col("check_number"))
