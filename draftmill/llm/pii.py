@@ -219,10 +219,20 @@ FEATURES = ["kind", "length", "digits", "groups", "longest_group", "marks", "dot
 
 
 def features(s: Column, kind: str) -> Column:
-    return bound(digits(s["m"]), lambda d: _features(s, d, kind))
+    return of_kind(shape(s), kind)
 
 
-def _features(s: Column, d: Column, kind: str) -> Column:
+def of_kind(x: Column, kind: str) -> Column:
+    """The features of a proposal of the kind, from its shape."""
+    return F.concat(F.array(F.lit(float(KINDS.index(kind)))), x)
+
+
+def shape(s: Column) -> Column:
+    """All features but the first, which is the kind."""
+    return bound(digits(s["m"]), lambda d: _shape(s, d))
+
+
+def _shape(s: Column, d: Column) -> Column:
     m = s["m"]
     groups = F.filter(F.split(m, "[^0-9]+"), lambda g: g != "")
 
@@ -233,7 +243,6 @@ def _features(s: Column, d: Column, kind: str) -> Column:
         return F.length(m) - F.length(F.regexp_replace(m, chars, ""))
 
     values = [
-        F.lit(KINDS.index(kind)),
         F.length(m),
         F.length(d),
         F.size(groups),
@@ -269,21 +278,55 @@ class Judge:
     #: By kind: precision, recall and the number of right proposals among those held back from learning and calibrating.
     report: dict[str, tuple[float, float, int]] = field(default_factory=dict)
 
-    def probability(self, f: Column) -> Column:
-        def walk(node: tuple | float) -> Column:
-            if isinstance(node, float):
-                return F.lit(node)
-            at, most, low, high = node
-            return F.when(F.get(f, F.lit(at)) <= most, walk(low)).otherwise(walk(high))
+    def nodes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All trees as arrays, the nodes of each in the order of a walk that takes low branches first.
+
+        By node: its feature (a leaf: -1), the most that goes on to the node after it (a leaf: its weighted value)
+        and the node for what is above that (a leaf: itself).  By tree: its first node.
+        """
+        at, most, above, first = [], [], [], []
+
+        def put(node: tuple | float, weight: float) -> None:
+            k = len(at)
+            leaf = isinstance(node, float)
+            at.append(-1 if leaf else node[0])
+            most.append(node * weight if leaf else node[1])
+            above.append(k)
+            if not leaf:
+                put(node[2], weight)
+                above[k] = len(at)
+                put(node[3], weight)
 
-        margin = F.lit(0.0)
         for weight, tree in self.trees:
-            margin = margin + walk(tree) * weight
-        return 1 / (1 + F.exp(-(margin * self.slope + self.offset)))
+            first.append(len(at))
+            put(tree, weight)
+        return np.array(at, np.int32), np.array(most, np.float64), np.array(above, np.int32), np.array(first, np.int32)
+
+    def depth(self) -> int:
+        def of(node: tuple | float) -> int:
+            return 0 if isinstance(node, float) else 1 + max(of(node[2]), of(node[3]))
+
+        return max((of(tree) for _, tree in self.trees), default=0)
+
+    def probability(self) -> Callable[[Column], Column]:
+        """A function from an array of features to the probability.
+
+        The trees are literal arrays that one short expression walks.  As nested
+        conditions they would be thousands of expressions in each place of use,
+        which the driver holds and rewrites many times over.
+        """
+        at, most, above, first = map(F.lit, self.nodes())
+        steps = F.lit(np.arange(self.depth(), dtype=np.int32))
+
+        def of(f: Column) -> Column:
+            def step(n: Column, _: Column) -> Column:
+                # A leaf has no feature: null is not at most anything, and above a leaf is the leaf.
+                return F.when(F.get(f, F.get(at, n)) <= F.get(most, n), n + 1).otherwise(F.get(above, n))
+
+            margin = F.aggregate(first, F.lit(0.0), lambda acc, k: acc + F.get(most, F.aggregate(steps, k, step)))
+            return 1 / (1 + F.exp(-(margin * self.slope + self.offset)))
 
-    def of_span(self, s: Column, kind: str) -> Column:
-        """The probability that a proposal is of the kind; its features are bound once, not in every node."""
-        return bound(features(s, kind), self.probability)
+        return of
 
 
 def parse_tree(text: str) -> tuple | float:
@@ -453,7 +496,7 @@ def judge(docs: DataFrame, text: str = "text") -> Judge:
     model = GBTClassifier(maxIter=20, maxDepth=5, stepSize=0.4, seed=SEED).fit(known)
     trees = tuple((float(w), parse_tree(t.toDebugString)) for w, t in zip(model.treeWeights, model.trees, strict=True))
     plain = Judge(trees, 1.0, 0.0, {})
-    held = rows.where("part <= 1").select("part", "kind", "label", plain.probability(F.col("f")).alias("p")).collect()  # two fifths of a bounded sample
+    held = rows.where("part <= 1").select("part", "kind", "label", plain.probability()(F.col("f")).alias("p")).collect()  # two fifths of a bounded sample
     p = np.clip(np.array([r["p"] for r in held]), 1e-9, 1 - 1e-9)
     margin, y = np.log(p / (1 - p)), np.array([r["label"] for r in held])
     kinds, tune = np.array([r["kind"] for r in held]), np.array([r["part"] for r in held]) == 1
@@ -502,7 +545,7 @@ def find_spans(df: DataFrame, model: Judge, text: str = "text") -> tuple[DataFra
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end")))
 
     out = out.withColumn(cols["base"], F.array_sort(F.concat(*(shaped(base_spans(t, k), k) for k in KINDS))))
-    base = F.col(cols["base"])
+    base, probability = F.col(cols["base"]), model.probability()
 
     def apart(x: Column, y: Column) -> Column:
         return (x["end"] <= y["start"]) | (y["end"] <= x["start"])
@@ -512,8 +555,9 @@ def find_spans(df: DataFrame, model: Judge, text: str = "text") -> tuple[DataFra
 
     def judged(generator: str) -> Column:
         def best(s: Column) -> Column:
-            options = [bound(model.of_span(s, k), option(k)) for k in PROPOSES[generator]]
-            return bound(F.array_max(F.array(*options)), lambda top: F.struct((-top["p"]).alias("less"), (s["start"] - s["end"]).alias("short"), s["start"].alias("start"), s["end"].alias("end"), F.abs(top["less"]).alias("rank"), top["kind"].alias("kind"), top["over"].alias("over")))
+            # The shape is worked out once for all kinds, the features once for all nodes.
+            options = lambda x: F.array(*(bound(bound(of_kind(x, k), probability), option(k)) for k in PROPOSES[generator]))
+            return bound(F.array_max(bound(shape(s), options)), lambda top: F.struct((-top["p"]).alias("less"), (s["start"] - s["end"]).alias("short"), s["start"].alias("start"), s["end"].alias("end"), F.abs(top["less"]).alias("rank"), top["kind"].alias("kind"), top["over"].alias("over")))
 
         def chosen(cluster: Column) -> Column:
             """The likeliest of a cluster's proposals, those that overlap none of them, and so on."""
