@@ -19,9 +19,9 @@ places, numbers that fail the check digit, and all that the generators propose
 there without a base span.  ``MADE_DOCS`` made documents let a table without any
 base spans be handled too.  A fifth of the sample calibrates the thresholds,
 another fifth gives ``Judge.report``: precision and recall on documents that
-neither learned from.  The trained trees become SQL expressions, so finding
-spans needs no join, no shuffle and no Python: each text is handled where it is
-read.
+neither learned from.  The trained trees become literal arrays, which one SQL
+expression walks, so finding spans needs no join, no shuffle and no Python: each
+text is handled where it is read.
 
 Patterns are the contract's, written so that a search takes linear time and no
 recursion: quantifiers that need no backtracking are possessive, and a match
